@@ -141,7 +141,7 @@ def weekday_profile(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     ])
     out = wide.select(*keys, F.explode(spine).alias("d")).select(
         *keys,
-        F.col("d.dow").alias("dow"),
+        F.col("d.dow").cast("bigint").alias("dow"),
         weekday_name(F.col("d.dow")).alias("day"),
         money(F.col("d.s")).alias("amount"),
         F.col("d.c").cast("bigint").alias("count"),
@@ -160,7 +160,7 @@ def peak_weekday(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     best = ranked.getItem(0)
     return wide.select(
         *keys,
-        best.getField("dow").alias("peak_dow"),
+        best.getField("dow").cast("bigint").alias("peak_dow"),
         weekday_name(best.getField("dow")).alias("peak_day"),
         money(best.getField("s")).alias("amount"),
     )
