@@ -37,7 +37,9 @@ def stream_exports(spark: SparkSession, folder: str, header: Sequence[str], dial
         .na.fill("")
         .withColumn("account_id", F.lit(account_id))
         .withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-        .withColumn("txn_id", F.xxhash64(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
+        # Row position is not available to a stream: id = hash of the file
+        # and the raw cells (identical rows share it; they are indistinguishable).
+        .withColumn("txn_id", F.xxhash64(F.col("_metadata.file_path"), *[F.col(f"`{c}`") for c in header]))
         .withColumn("dialect", F.lit("B" if dialect == "capital_one" else "A"))
     )
     return prepare(normalize(raw, dialect))
@@ -107,13 +109,23 @@ def latest_upserts(spark: SparkSession, sink: str, keys: Sequence[str]) -> DataF
     return best.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in vals])
 
 
-def progress(query: StreamingQuery) -> DataFrame | None:
-    """The query's recent progress reports as rows (input rows,
-    processed rows per second, batch id, watermark)."""
-    spark = query.sparkSession
+def _field(report, name):
+    try:
+        return report[name]
+    except (KeyError, TypeError):
+        return getattr(report, name, None)
+
+
+def progress(spark: SparkSession, query: StreamingQuery) -> DataFrame | None:
+    """The query's recent progress reports as rows (batch id, input rows,
+    processed rows per second, watermark)."""
     reports = query.recentProgress
     if not reports:
         return None
-    rows = [(p["batchId"], int(p["numInputRows"]), float(p.get("processedRowsPerSecond") or 0.0),
-             (p.get("eventTime") or {}).get("watermark")) for p in reports]
+    rows = []
+    for p in reports:
+        event_time = _field(p, "eventTime") or {}
+        rows.append((int(_field(p, "batchId")), int(_field(p, "numInputRows") or 0),
+                     float(_field(p, "processedRowsPerSecond") or 0.0),
+                     event_time.get("watermark") if hasattr(event_time, "get") else None))
     return spark.createDataFrame(rows, "batch_id long, input_rows long, rows_per_second double, watermark string")
