@@ -75,6 +75,10 @@ DOMAIN_RE = "(?iU)" + _DOMAIN_BODY
 TRAILING_CODE_RE = "(?U)" + _TRAILING_CODE_BODY
 CODE_ONLY_RE = _CODE_ONLY_BODY
 WHITESPACE_RE = r"(?U)\s+"
+# A cleaned value that may be kept: at least 2 characters and not a code.
+KEEP_RE = r"(?s)^(?![A-Z0-9]{%d,}$).{2,}$" % CODE_MIN_LEN
+# A display merchant that may be kept: at least 3 characters.
+KEEP_DISPLAY_RE = r"(?s)^.{3,}$"
 
 PREFIX_RE2 = _PREFIX_BODY
 LOCATION_RE2 = _LOCATION_BODY
@@ -113,17 +117,22 @@ def squeeze(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, WHITESPACE_RE, " "), F.lit(EDGE_CHARS))
 
 
+def _keep_or(value: Column, pattern: str, fallback: Column) -> Column:
+    """``value`` if it matches ``pattern`` in full, else ``fallback``.
+    ``value`` appears once: a CASE that tested and returned it would run the
+    whole regex chain once per reference (no subexpression elimination
+    inside conditional branches)."""
+    return F.coalesce(F.nullif(F.regexp_extract(value, pattern, 0), F.lit("")), fallback)
+
+
 def clean_description(merchant: Column | str, description: Column | str) -> Column:
-    """The cleaned description used as the classification key."""
+    """The cleaned description used as the classification key.
+    An empty source cleans to "" and so also falls back to the merchant."""
     m = _text(merchant)
     d = _text(description)
     source = F.when(d != "", d).otherwise(m)                      # C1
     cleaned = squeeze(strip_trailing_code(strip_domains(strip_location(strip_prefix(source)))))
-    return (
-        F.when(source == "", m)
-        .when((F.length(cleaned) < 2) | cleaned.rlike(CODE_ONLY_RE), m)  # C7
-        .otherwise(cleaned)
-    )
+    return _keep_or(cleaned, KEEP_RE, m)                          # C7
 
 
 def display_merchant(description: Column | str) -> Column:
@@ -131,4 +140,4 @@ def display_merchant(description: Column | str) -> Column:
     removed; if fewer than 3 characters remain, the raw description."""
     d = _text(description)
     stripped = F.btrim(F.regexp_replace(d, PREFIX_RE, ""), F.lit(EDGE_CHARS))
-    return F.when(F.length(stripped) < 3, d).otherwise(stripped)
+    return _keep_or(stripped, KEEP_DISPLAY_RE, d)
