@@ -202,17 +202,29 @@ def request_line(position: Column, merchant: Column, description: Column) -> Col
                     F.lit('"  Description: "'), F.coalesce(description, F.lit("")), F.lit('"'))
 
 
-def build_prompts(batched: DataFrame) -> DataFrame:
-    """One request text per batch, lines numbered in batch order.
-    ``collect_list`` holds at most ``batch_size`` lines: bounded."""
+def _prompt_agg() -> Column:
     lines = F.array_sort(F.collect_list(F.struct(
         F.col("position"), request_line(F.col("position"), F.col("merchant"),
                                         F.col("parsed_description")).alias("line"))))
-    return batched.groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("items"),
-        F.concat_ws("\n", F.lit(REQUEST_HEADER),
-                    F.concat_ws("\n", F.transform(lines, lambda s: s.getField("line")))).alias("prompt"),
-    )
+    return F.concat_ws("\n", F.lit(REQUEST_HEADER),
+                       F.concat_ws("\n", F.transform(lines, lambda s: s.getField("line"))))
+
+
+def _items_agg() -> Column:
+    return F.to_json(F.array_sort(F.collect_list(F.struct(
+        "position", F.col("merchant"), F.col("parsed_description").alias("description")))))
+
+
+def build_prompts(batched: DataFrame, with_items: bool = False) -> DataFrame:
+    """One request text per batch, lines numbered in batch order.
+    ``collect_list`` holds at most ``batch_size`` lines: bounded. With
+    ``with_items`` the same aggregation also returns the batch's pairs as
+    JSON (what the classifier call needs), so there is one shuffle and no
+    join."""
+    aggs = [F.count(F.lit(1)).alias("items"), _prompt_agg().alias("prompt")]
+    if with_items:
+        aggs.append(_items_agg().alias("items_json"))
+    return batched.groupBy("batch_id").agg(*aggs)
 
 
 # ---------------------------------------------------------------------------
@@ -237,18 +249,14 @@ def _call_with_retry(fn: ClassifierFn, prompt: str, items: list[dict], retries:
     return None
 
 
-def call_classifier(prompts: DataFrame, batched: DataFrame, fn: ClassifierFn,
+def call_classifier(batched: DataFrame, fn: ClassifierFn,
                     retries: int = 1, pause: float = 1.0) -> DataFrame:
     """One call of ``fn`` per batch, from ``mapInPandas`` on the
     executors; a batch that still fails after ``retries`` gets reply NULL.
     ``fn(prompt)`` or ``fn(prompt, items)`` returns the reply JSON text (or
     an object that serialises to it). It must be idempotent: a retried
     task calls it again."""
-    items = batched.groupBy("batch_id").agg(
-        F.to_json(F.array_sort(F.collect_list(F.struct(
-            "position", F.col("merchant"), F.col("parsed_description").alias("description")))))
-        .alias("items_json"))
-    work = prompts.join(items, "batch_id")
+    work = build_prompts(batched, with_items=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -327,8 +335,7 @@ def categorize(df: DataFrame, classifier: Sequence[Rule] | BatchClassifier | Non
 
     if isinstance(classifier, BatchClassifier):
         batched = assign_batches(misses, classifier.batch_size)
-        replies = call_classifier(build_prompts(batched), batched, classifier.fn,
-                                  classifier.retries, classifier.pause)
+        replies = call_classifier(batched, classifier.fn, classifier.retries, classifier.pause)
         fresh = parse_replies(replies, batched)
         keep = F.lit(True) if cache_failures else F.col("answered")
         new_pairs = fresh.filter(keep).select(*PAIR_KEYS, "category")
