@@ -36,6 +36,16 @@ def month_axis(month: Column | str) -> Column:
     return F.date_format(F.to_date(F.concat(_col(month), F.lit("-01"))), MONTH_AXIS)
 
 
+def month_start(date: Column | str) -> Column:
+    """first day of the date's month (DATE)."""
+    return F.trunc(_col(date), "month")
+
+
+def day_span(first: Column | str, last: Column | str) -> Column:
+    """whole days from ``first`` to ``last``."""
+    return F.datediff(_col(last), _col(first))
+
+
 def weekday_index(date: Column | str) -> Column:
     """0 = Monday … 6 = Sunday."""
     return F.weekday(_col(date))

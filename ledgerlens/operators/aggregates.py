@@ -34,14 +34,18 @@ def _totals_window(keys: Sequence[str]) -> Window:
     return Window.partitionBy(*[F.col(k) for k in keys])
 
 
-def category_totals(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """A3 (+O2 for keys=()): total and count per category, largest first."""
+def category_totals(df: DataFrame, keys: Sequence[str] = (), ascending: bool = False) -> DataFrame:
+    """A3 (+O2 for keys=()): total and count per category, largest first
+    (``ascending=True``: smallest first, as the bar chart draws them)."""
     keys = _keys(keys)
     out = df.groupBy(*keys, "category").agg(
         money(F.sum("amount")).alias("amount"),
         F.count(F.lit(1)).alias("count"),
     )
-    return out if keys else out.orderBy(F.col("amount").desc(), F.col("category"))
+    if keys:
+        return out
+    amount = F.col("amount").asc() if ascending else F.col("amount").desc()
+    return out.orderBy(amount, F.col("category"))
 
 
 def category_share(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

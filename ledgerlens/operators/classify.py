@@ -166,6 +166,17 @@ def coverage(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def observe_coverage(df: DataFrame, name: str = "coverage"):
+    """U7, live: attach row-level counters (rows, rows categorised) that are
+    reported when an action on the returned frame finishes. Returns
+    (frame, Observation); read ``observation.get`` after the action."""
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"),
+                          F.count_if(F.col("category") != UNCATEGORIZED).alias("categorised"))
+    return observed, obs
+
+
 def taxonomy_audit(df: DataFrame) -> DataFrame:
     """U8: labels outside the eight categories (and not Uncategorized), with
     their row counts. Reported, not rewritten."""
@@ -270,6 +281,16 @@ def call_classifier(batched: DataFrame, fn: ClassifierFn,
     return work.mapInPandas(run, "batch_id long, reply string")
 
 
+# Fixed value: where a chat-completion response body keeps the reply text.
+ENVELOPE_CONTENT_PATH = "$.choices[0].message.content"
+
+
+def unwrap_envelope(replies: DataFrame, column: str = "reply") -> DataFrame:
+    """replace a chat-completion response body by the reply text it
+    carries (NULL when the body is not such an envelope)."""
+    return replies.withColumn(column, F.get_json_object(F.col(column), ENVELOPE_CONTENT_PATH))
+
+
 def parse_replies(replies: DataFrame, batched: DataFrame) -> DataFrame:
     """Parse each reply, match the echoed merchant+description
     back to the batch's pairs. Malformed reply → every pair of the batch

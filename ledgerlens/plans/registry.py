@@ -737,6 +737,96 @@ def q_records(spark, sf_dir):
     return sinks.to_records(o_posted(spark, sf_dir), include_category=True)
 
 
+# ---------------------------------------------------------------------------
+# CSV sources end to end (S1–S5, R1, R2): FEED_O written as export files in
+# the shared scratch folder, read back by the export reader / file stream.
+# ---------------------------------------------------------------------------
+
+EXPORT_A_HEADER = ["Date", "Amount", "Merchant", "Description", "Status", "Type"]
+
+
+def _write_exports(spark: SparkSession, sf_dir: str) -> str:
+    """Dialect-A files (no Time/Cardholder columns) and dialect-B files
+    (extra card-number column) side by side, with one header per file."""
+    base = scratch_path(spark, "exports")
+    a = orders_as_dialect_a(spark, sf_dir).select(*EXPORT_A_HEADER)
+    b = orders_as_dialect_b(spark, sf_dir).select(
+        "Transaction Date", "Posted Date", F.lit("0000").alias("Card No."), "Description", "Category", "Debit")
+    opts = {"header": True, "escape": '"', "quoteAll": False,
+            "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    a.write.options(**opts).csv(f"{base}/acct=a")
+    b.write.options(**opts).csv(f"{base}/acct=b")
+    return base
+
+
+EXPORT_OUT = ["dialect", "date", "amount", "merchant", "description", "status", "type"]
+
+
+@register("read_exports_roundtrip", _with(*O_ALL) + f"""
+SELECT 'A' AS dialect, date, CAST(amount AS DOUBLE) AS amount, merchant, description, status, type FROM feed_o
+UNION ALL
+SELECT 'B' AS dialect, date,
+       CASE WHEN status = 'Pending' THEN 0.0 ELSE CAST(amount AS DOUBLE) END AS amount,
+       {display_sql('description')} AS merchant, description, 'Posted' AS status,
+       CASE WHEN status = 'Pending' OR amount = 0 OR merchant = '5-LOW' THEN 'Payment' ELSE 'Purchase' END AS type
+FROM feed_o""")
+def q_read_exports_roundtrip(spark, sf_dir):
+    base = _write_exports(spark, sf_dir)
+    out = exports.read_exports(spark, f"{base}/*", account_pattern=r"acct=([^/]+)")
+    return out.select("dialect", "date", F.col("amount").cast("double").alias("amount"),
+                      "merchant", "description", "status", "type")
+
+
+@register("stream_exports_running", _with(*O_PREPARED, ("k", f"SELECT *, {rule_sql('merchant', 'parsed_description')} AS rule_cat FROM q")) + """
+SELECT month, rule_cat AS category, CAST(SUM(amount) AS DOUBLE) AS amount, COUNT(*) AS count FROM k GROUP BY ALL""")
+def q_stream_exports_running(spark, sf_dir):
+    """The dialect-A export files as a file stream, cleaned and
+    rule-categorised row by row, running month × category totals."""
+    from ledgerlens.streaming import ingest
+    base = _write_exports(spark, sf_dir)
+    stream = ingest.categorize_stream(
+        ingest.stream_exports(spark, f"{base}/acct=a", EXPORT_A_HEADER, exports.DIALECT_A))
+    out_base = scratch_path(spark, "stream-exports")
+    q = ingest.start_upserts(ingest.running_totals(stream), f"{out_base}/out", f"{out_base}/chk")
+    q.awaitTermination()
+    out = ingest.latest_upserts(spark, f"{out_base}/out", ["month", "category"])
+    return out.select("month", "category", F.col("amount").cast("double").alias("amount"),
+                      F.col("count").cast("bigint").alias("count"))
+
+
+@register("category_bars", _with(*L_POSTED) + """
+SELECT category, CAST(SUM(amount) AS DOUBLE) AS amount, COUNT(*) AS count FROM p GROUP BY category""")
+def q_category_bars(spark, sf_dir):
+    return agg.category_totals(l_posted(spark, sf_dir), ascending=True)
+
+
+@register("category_share_by_account", _with(*O_POSTED, ("g", "SELECT account_id, category, SUM(amount) AS s FROM p GROUP BY ALL")) + """
+SELECT account_id, category, CAST(s AS DOUBLE) AS amount,
+       CAST(s AS DOUBLE) / CAST(SUM(s) OVER (PARTITION BY account_id) AS DOUBLE) * 100 AS pct,
+       ROW_NUMBER() OVER (PARTITION BY account_id ORDER BY s DESC, category) AS rank
+FROM g""")
+def q_category_share_by_account(spark, sf_dir):
+    return agg.category_share(o_posted(spark, sf_dir), ACCT)
+
+
+@register("monthly_wide_by_account", _with(*O_POSTED) + "SELECT account_id, strftime(date, '%Y-%m') AS month, " + ", ".join(
+    f"CAST(COALESCE(SUM(amount) FILTER (WHERE category = '{c}'), 0) AS DOUBLE) AS \"{c}\""
+    for c in ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
+    + " FROM p WHERE date IS NOT NULL GROUP BY ALL")
+def q_monthly_wide_by_account(spark, sf_dir):
+    # Market segments given up front: one pass, no distinct job first.
+    return agg.monthly_wide(o_posted(spark, sf_dir),
+                            ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"], ACCT)
+
+
+@register("recurring_suppliers", _with(*L_POSTED, ("st", stats_sql("''", "merchant", "p"))) + """
+SELECT name, count, avg, total FROM st
+WHERE count >= 3 AND (COALESCE(std_pop < avg * 0.25, false) OR distinct_amounts <= 2)""")
+def q_recurring_suppliers(spark, sf_dir):
+    """A10 single-session over the line-item feed (merchant = supplier)."""
+    return ins.recurring(l_posted(spark, sf_dir))
+
+
 # ---------------------------------------------------------------------------
 # Streaming (R1–R5) over FEED_E, run to completion with availableNow
 # ---------------------------------------------------------------------------
