@@ -68,15 +68,19 @@ def sniff_dialects(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
-def _read_layout(spark: SparkSession, files: list[str], multiline: bool) -> DataFrame:
-    raw = (
+def _read_layout(spark: SparkSession, files: list[str], multiline: bool,
+                 glob: str | None = None) -> DataFrame:
+    reader = (
         spark.read.option("header", True)
         .option("multiLine", multiline)
         .option("escape", '"')
         .option("inferSchema", False)
+        .option("enforceSchema", False)   # every file's header is checked by name
         .option("mode", "PERMISSIVE")
-        .csv(files)
     )
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    raw = reader.csv(files)
     raw = raw.na.fill("")
     return raw.withColumn("_file", F.col("_metadata.file_path"))
 
@@ -134,13 +138,24 @@ def normalize(df: DataFrame, dialect: str | None = None) -> DataFrame:
 
 
 def read_exports(spark: SparkSession, path: str | Sequence[str], dialect: str | None = None,
-                 account_pattern: str | None = None, multiline: bool = True) -> DataFrame:
+                 account_pattern: str | None = None, multiline: bool = True,
+                 single_layout: bool = False) -> DataFrame:
     """Every ``.csv`` under ``path`` as one normalised DataFrame.
 
     Files are grouped by their exact header line and each group is read by
     one CSV scan, so column order and optional columns may differ between
     files. An unknown header raises. ``account_pattern`` (a regex with one
-    group on the file path) fills ``account_id``; otherwise it is ""."""
+    group on the file path) fills ``account_id``; otherwise it is "".
+
+    ``single_layout=True`` skips the sniffing scan when every file shares
+    one header: one CSV scan, and a file whose header differs fails the job
+    rather than being read out of alignment."""
+    if single_layout:
+        paths = [path] if isinstance(path, str) else list(path)
+        raw = _read_layout(spark, paths, multiline, CSV_GLOB)
+        found = dialect or detect_dialect(raw.columns)
+        tag = "A" if found == DIALECT_A else "B"
+        return normalize(_common(raw, tag, account_pattern), found).select(*NORMALIZED_COLUMNS)
     sniffed = sniff_dialects(spark, path)
     layouts = sniffed.groupBy("header", "dialect").agg(F.collect_list("file_path").alias("files"))
     plans = layouts.collect()      # one row per distinct header layout

@@ -108,3 +108,20 @@ def test_categorize_with_cache_writes_new_pairs(spark):
     assert cache_mod.load_cache(spark, root).count() == 2
     cov = cls.coverage(out).first()
     assert (cov.done, cov.total) == (2, 2)
+
+
+def test_unwrap_envelope_and_parse(spark):
+    reply = json.dumps({"results": [{"merchant": "m", "description": "d", "category": "Travel"}]})
+    body = json.dumps({"choices": [{"message": {"content": reply}}]})
+    replies = spark.createDataFrame([(0, body), (1, "{}")], "batch_id long, reply string")
+    batched = spark.createDataFrame([(0, 1, "m", "d"), (1, 1, "x", "y")],
+                                    "batch_id long, position long, merchant string, parsed_description string")
+    out = {r.merchant: r.category for r in cls.parse_replies(cls.unwrap_envelope(replies), batched).collect()}
+    assert out == {"m": "Travel", "x": UNCATEGORIZED}
+
+
+def test_observe_coverage(spark):
+    df = _pairs(spark, [("Uber", "Trip"), ("Q", "zzz"), ("Shell", "Oil")])
+    observed, obs = cls.observe_coverage(cls.categorize(df))
+    observed.write.format("noop").mode("overwrite").save()
+    assert obs.get == {"rows": 3, "categorised": 2}

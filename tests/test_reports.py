@@ -171,3 +171,14 @@ def test_invariants_sf001(spark):
     assert sum(r["count"] for r in cats) == total["count"] == 19927
     assert abs(sum(r.pct for r in agg.category_share(p).collect()) - 100) < 1e-9
     assert sum(r["count"] for r in agg.weekday_profile(p).collect()) == total["count"]
+
+
+def test_bar_order_and_month_start(spark, txns):
+    from ledgerlens.functions import formatting as fmt
+    df = txns([("a", 1, "2024-03-15", 5, "M", "", "B"), ("a", 2, "2024-03-16", 9, "M", "", "A")])
+    assert [r.category for r in agg.category_totals(df, ascending=True).collect()] == ["B", "A"]
+    assert [r.category for r in agg.category_totals(df).collect()] == ["A", "B"]
+    assert str(df.select(fmt.month_start("date")).first()[0]) == "2024-03-01"
+    assert df.select(fmt.fmt_compact(F.lit(2500.0)), fmt.fmt_compact(F.lit(1250000.0)),
+                     fmt.fmt_compact(F.lit(999.5)), fmt.fmt_currency(F.lit(-1234.5))).first() == \
+        ("$2k", "$1.2M", "$1,000", "-$1,234.50")

@@ -82,3 +82,14 @@ def test_normalize_b_amount_rules(spark):
     assert (out[0].merchant, out[0].type, out[0].status) == ("Joe's", "Payment", "Posted")
     assert (out[1].merchant, out[1].type) == ("SQ *AB", "Purchase")
     assert F is not None
+
+
+def test_single_layout_fast_path(spark, tmp_path):
+    head = "Date,Amount,Merchant,Description,Status,Type\n"
+    _write(tmp_path / "a.csv", head + "2024-01-05,12.50,Joe,SQ *Joe Cafe,Posted,Purchase\n")
+    _write(tmp_path / "b.csv", head + "2024-01-06,3.00,Ann,,Posted,Purchase\n")
+    df = exports.read_exports(spark, str(tmp_path), single_layout=True)
+    assert sorted(r.merchant for r in df.collect()) == ["Ann", "Joe"]
+    _write(tmp_path / "c.csv", "Date,Merchant,Amount,Description,Status,Type\n2024-01-07,Bob,1,,Posted,Purchase\n")
+    with pytest.raises(Exception):
+        exports.read_exports(spark, str(tmp_path), single_layout=True).collect()
