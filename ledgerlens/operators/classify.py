@@ -260,6 +260,13 @@ def _call_with_retry(fn: ClassifierFn, prompt: str, items: list[dict], retries:
     return None
 
 
+def _pickle_package_by_value() -> None:
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+
+
 def call_classifier(batched: DataFrame, fn: ClassifierFn,
                     retries: int = 1, pause: float = 1.0) -> DataFrame:
     """One call of ``fn`` per batch, from ``mapInPandas`` on the
@@ -268,6 +275,10 @@ def call_classifier(batched: DataFrame, fn: ClassifierFn,
     an object that serialises to it). It must be idempotent: a retried
     task calls it again."""
     work = build_prompts(batched, with_items=True)
+    # Ship this package's code with the closure, so executors whose Python
+    # path lacks ledgerlens can still run it (a user's own ``fn`` module is
+    # the user's to ship, e.g. with --py-files).
+    _pickle_package_by_value()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
