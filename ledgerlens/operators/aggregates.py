@@ -188,11 +188,14 @@ def busiest_day(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         df.filter(F.col("date").isNotNull())
         .groupBy(*keys, "date").agg(F.sum("amount").alias("_sum"))
     )
+    # Largest sum first, then earliest day, as one DECIMAL(38,0): the day
+    # (shifted positive, < 2^23) sits below the negated sum in cents, so
+    # ``min_by`` keeps a hash-aggregation buffer.
+    rank = ((-F.col("_sum") * 100).cast("decimal(38,0)") * F.lit(2 ** 23)
+            + (F.unix_date("date") + F.lit(1_000_000)))
     best = daily.groupBy(*keys).agg(
-        F.min_by(F.struct("date", "_sum"),
-                 F.struct((-F.col("_sum")).alias("a"), F.col("date").alias("b"))).alias("_best"))
-    return best.select(*keys, F.col("_best.date").alias("date"),
-                       money(F.col("_best._sum")).alias("amount"))
+        F.min_by("date", rank).alias("date"), F.max("_sum").alias("_sum"))
+    return best.select(*keys, "date", money(F.col("_sum")).alias("amount"))
 
 
 def daily_average(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.formatting import long_date, month_label
 from ledgerlens.operators.aggregates import money
+from ledgerlens.operators.ordering import newest_rank
 from ledgerlens.operators.prepare import month_key
 
 # The recurring-charge rule of the reference.
@@ -32,13 +33,14 @@ def merchant_stats(df: DataFrame, keys: Sequence[str] = (), by: str = "merchant"
     each map task to its distinct amounts, so a hot merchant cannot flood
     one reducer. Level 2 folds those rows into exact decimal sums and
     sums of squares; the deviations are computed once from them, in one
-    fixed IEEE expression, so every engine and partitioning agrees.
+    fixed IEEE expression, so every engine and partitioning agrees. The
+    latest charge is ``max_by`` over a numeric newest-first rank, so both
+    levels are hash aggregates.
     """
     keys = list(keys)
-    newest = F.struct(F.col("date"), (-F.col("txn_id")).alias("neg_txn"))
     lvl1 = df.groupBy(*keys, by, "amount").agg(
         F.count(F.lit(1)).alias("_n"),
-        F.max(newest).alias("_newest"),
+        F.max(newest_rank()).alias("_newest"),
     )
     lvl2 = lvl1.groupBy(*keys, by).agg(
         F.sum("_n").alias("count"),

@@ -7,6 +7,7 @@ pandas relied on row order for ties; here every ordering ends in
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,23 @@ def newest_first_key() -> list[Column]:
     return [F.col("date").desc_nulls_last(), F.col("txn_id").asc()]
 
 
+# A DATE is within about ±3.7 million days of the epoch; shifting by
+# _DAY_SHIFT makes every real date positive and a NULL date 0 (oldest).
+_DAY_SHIFT = 1_000_000
+_RANK = "decimal(38,0)"
+
+
+def newest_rank(date: str = "date", txn: str = "txn_id") -> Column:
+    """O1 as one number: larger = newer date, then lower txn_id; a NULL date
+    is oldest. ``(shifted day) * 2^64 + (2^63 - 1 - txn_id)`` fits a
+    DECIMAL(38,0), a type hash aggregation can keep in its buffer, so
+    ``max`` / ``max_by`` over it stay hash aggregates (a struct key would
+    force a sort of every input row before aggregating)."""
+    day = F.coalesce(F.unix_date(F.col(date)), F.lit(-_DAY_SHIFT)) + F.lit(_DAY_SHIFT)
+    span = F.lit(Decimal(2 ** 64)).cast(_RANK)
+    return day.cast(_RANK) * span + (F.lit(Decimal(2 ** 63 - 1)).cast(_RANK) - F.col(txn).cast(_RANK))
+
+
 def top_n_per_key(df: DataFrame, n: int, keys: Sequence[str], order: list[Column]) -> DataFrame:
     """First ``n`` rows per key under ``order``.
 
