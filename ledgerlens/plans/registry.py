@@ -232,6 +232,15 @@ def q_retain_recent(spark, sf_dir):
         "account_id", "txn_id", "ts", F.col("amount").cast("double").alias("amount"))
 
 
+@register("empty_accounts", _with(*O_ALL) + f"""
+SELECT account_id, COUNT(*) FILTER (WHERE {POSTED}) AS posted_count FROM feed_o
+GROUP BY account_id HAVING COUNT(*) FILTER (WHERE {POSTED}) = 0""")
+def q_empty_accounts(spark, sf_dir):
+    """S10, keyed: the accounts whose load holds no posted purchase (each
+    would be refused on its own)."""
+    return prep.empty_keys(feed_orders(spark, sf_dir), ACCT)
+
+
 # ---------------------------------------------------------------------------
 # Aggregates
 # ---------------------------------------------------------------------------
