@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.indexing import global_index
+from ledgerlens.operators.skew import HOT_ROWS, salted_join
 from ledgerlens.schema import CATEGORIES, REPLY_SCHEMA, UNCATEGORIZED
 
 # ---------------------------------------------------------------------------
@@ -142,18 +143,24 @@ def cache_split(pairs: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFram
             pairs.join(c, _pair_cond(pairs, c), "left_anti"))
 
 
-def attach_categories(df: DataFrame, mapping: DataFrame) -> DataFrame:
+def attach_categories(df: DataFrame, mapping: DataFrame, counts: DataFrame | None = None,
+                      hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every row gets its pair's category; a miss → Uncategorized.
     Null-safe equi-join; AQE turns it into a broadcast join when the
-    mapping measures small and splits skewed pair partitions otherwise."""
-    m = mapping.select(
-        F.col("merchant").alias("_m"), F.col("parsed_description").alias("_d"),
-        F.col("category").alias("_cat"))
+    mapping measures small. Given ``counts`` (rows per pair, materialised),
+    the rows of a pair with more than ``hot_rows`` rows are salted over
+    several join tasks (``skew.salted_join``); otherwise AQE's skew-join
+    split is the only guard."""
     base = df.drop("category") if "category" in df.columns else df
-    cond = base["merchant"].eqNullSafe(m["_m"]) & base["parsed_description"].eqNullSafe(m["_d"])
-    joined = base.join(m, cond, "left")
-    return joined.withColumn("category", F.coalesce(F.col("_cat"), F.lit(UNCATEGORIZED))) \
-        .drop("_m", "_d", "_cat")
+    m = mapping.select(*PAIR_KEYS, F.col("category").alias("_cat"))
+    if counts is not None:
+        salt_by = ["txn_id"] if "txn_id" in base.columns else base.columns
+        joined = salted_join(base, m, PAIR_KEYS, "left", counts, salt_by, hot_rows)
+    else:
+        m = m.select(F.col("merchant").alias("_m"), F.col("parsed_description").alias("_d"), "_cat")
+        cond = base["merchant"].eqNullSafe(m["_m"]) & base["parsed_description"].eqNullSafe(m["_d"])
+        joined = base.join(m, cond, "left").drop("_m", "_d")
+    return joined.withColumn("category", F.coalesce(F.col("_cat"), F.lit(UNCATEGORIZED))).drop("_cat")
 
 
 def coverage(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -343,14 +350,15 @@ class BatchClassifier:
 
 def categorize(df: DataFrame, classifier: Sequence[Rule] | BatchClassifier | None = None,
                cache: DataFrame | None = None, cache_root: str | None = None,
-               cache_failures: bool = False) -> DataFrame:
+               cache_failures: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``category`` to every row (row count unchanged).
 
     Rules and no cache: one column expression, no shuffle.
-    Otherwise: distinct pairs → cache hit/miss split → classify the misses →
+    Otherwise: distinct pairs with their row counts (written once to the
+    checkpoint folder) → cache hit/miss split → classify the misses →
     (optionally) upsert the new pairs into the versioned cache at
-    ``cache_root`` → join back. Failed batches are not cached unless
-    ``cache_failures``."""
+    ``cache_root`` → join back, salting pairs with more than ``hot_rows``
+    rows. Failed batches are not cached unless ``cache_failures``."""
     from ledgerlens.session import checkpoint_root
     from ledgerlens.sources.cache import upsert_cache
 
@@ -359,7 +367,8 @@ def categorize(df: DataFrame, classifier: Sequence[Rule] | BatchClassifier | Non
         return df.withColumn("category", rule_category(text, classifier))
 
     checkpoint_root(df.sparkSession)
-    pairs = distinct_pairs(df)
+    counts = df.groupBy(*PAIR_KEYS).agg(F.count(F.lit(1)).alias("count")).checkpoint(eager=True)
+    pairs = counts.select(*PAIR_KEYS)
     if cache is not None:
         _, misses = cache_split(pairs, cache)
     else:
@@ -379,7 +388,7 @@ def categorize(df: DataFrame, classifier: Sequence[Rule] | BatchClassifier | Non
     mapping = new_pairs if cache is None else cache.select(*PAIR_KEYS, "category").unionByName(new_pairs)
     if cache_root is not None:
         upsert_cache(df.sparkSession, cache_root, new_pairs)
-    return attach_categories(df, mapping)
+    return attach_categories(df, mapping, counts, hot_rows)
 
 
 def categorize_one(spark: SparkSession, merchant: str, description: str,

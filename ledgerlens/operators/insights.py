@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.formatting import long_date, month_label
 from ledgerlens.operators.aggregates import money
 from ledgerlens.operators.ordering import newest_rank
+from ledgerlens.operators.skew import HOT_ROWS, salted_join
 from ledgerlens.operators.prepare import month_key
+from ledgerlens.session import checkpoint_root
 
 # The recurring-charge rule of the reference.
 RECURRING_STD_RATIO = 0.25
@@ -107,18 +109,20 @@ def recurring_total(df: DataFrame, keys: Sequence[str] = (), min_count: int = 3,
 
 
 def frequent_merchant_rows(df: DataFrame, min_count: int = 2, keys: Sequence[str] = (),
-                           by: str = "merchant") -> DataFrame:
+                           by: str = "merchant", hot_rows: int = HOT_ROWS) -> DataFrame:
     """The rows of merchants charged at least ``min_count`` times.
-    Left-semi join on the (small) qualifying-merchant set; AQE splits a
-    skewed left side and broadcasts the right side when it measures small."""
+
+    The per-merchant counts (one partial aggregation) are written once to
+    the checkpoint folder; the rows are then left-semi joined with the
+    qualifying merchants, a merchant with more than ``hot_rows`` rows salted
+    over several tasks (``skew.salted_join``)."""
     keys = list(keys)
-    frequent = (
-        df.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= min_count).select(*keys, by)
-    )
     on = [*keys, by]
-    cond = [df[c].eqNullSafe(frequent[c]) for c in on]
-    return df.join(frequent, cond, "left_semi")
+    checkpoint_root(df.sparkSession)
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("count")).checkpoint(eager=True)
+    frequent = counts.filter(F.col("count") >= min_count).select(*on)
+    salt_by = ["txn_id"] if "txn_id" in df.columns else df.columns
+    return salted_join(df, frequent, on, "left_semi", counts, salt_by, hot_rows)
 
 
 def monthly_series(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
