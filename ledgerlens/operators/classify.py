@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.indexing import global_index
-from ledgerlens.operators.skew import HOT_ROWS, salted_join
+from ledgerlens.operators.skew import BROADCAST_ROWS, HOT_ROWS, balanced_join
 from ledgerlens.schema import CATEGORIES, REPLY_SCHEMA, UNCATEGORIZED
 
 # ---------------------------------------------------------------------------
@@ -144,18 +144,20 @@ def cache_split(pairs: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def attach_categories(df: DataFrame, mapping: DataFrame, counts: DataFrame | None = None,
-                      hot_rows: int = HOT_ROWS) -> DataFrame:
+                      hot_rows: int = HOT_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Every row gets its pair's category; a miss → Uncategorized.
-    Null-safe equi-join; AQE turns it into a broadcast join when the
-    mapping measures small. Given ``counts`` (rows per pair, materialised),
-    the rows of a pair with more than ``hot_rows`` rows are salted over
-    several join tasks (``skew.salted_join``); otherwise AQE's skew-join
-    split is the only guard."""
+
+    Given ``counts`` (rows per pair, materialised): a mapping of at most
+    ``broadcast_rows`` rows is broadcast (no shuffle of the rows), a larger
+    one is a sort-merge join with the pairs of more than ``hot_rows`` rows
+    salted over several tasks (``skew.balanced_join``). Without counts it is
+    a plain null-safe equi-join left to AQE (broadcast when the mapping
+    measures small, skew-join split otherwise)."""
     base = df.drop("category") if "category" in df.columns else df
     m = mapping.select(*PAIR_KEYS, F.col("category").alias("_cat"))
     if counts is not None:
         salt_by = ["txn_id"] if "txn_id" in base.columns else base.columns
-        joined = salted_join(base, m, PAIR_KEYS, "left", counts, salt_by, hot_rows)
+        joined = balanced_join(base, m, PAIR_KEYS, "left", counts, salt_by, hot_rows, broadcast_rows)
     else:
         m = m.select(F.col("merchant").alias("_m"), F.col("parsed_description").alias("_d"), "_cat")
         cond = base["merchant"].eqNullSafe(m["_m"]) & base["parsed_description"].eqNullSafe(m["_d"])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.formatting import long_date, month_label
 from ledgerlens.operators.aggregates import money
 from ledgerlens.operators.ordering import newest_rank
-from ledgerlens.operators.skew import HOT_ROWS, salted_join
+from ledgerlens.operators.skew import BROADCAST_ROWS, HOT_ROWS, balanced_join
 from ledgerlens.operators.prepare import month_key
 from ledgerlens.session import checkpoint_root
 
@@ -109,20 +109,23 @@ def recurring_total(df: DataFrame, keys: Sequence[str] = (), min_count: int = 3,
 
 
 def frequent_merchant_rows(df: DataFrame, min_count: int = 2, keys: Sequence[str] = (),
-                           by: str = "merchant", hot_rows: int = HOT_ROWS) -> DataFrame:
+                           by: str = "merchant", hot_rows: int = HOT_ROWS,
+                           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of merchants charged at least ``min_count`` times.
 
     The per-merchant counts (one partial aggregation) are written once to
     the checkpoint folder; the rows are then left-semi joined with the
-    qualifying merchants, a merchant with more than ``hot_rows`` rows salted
-    over several tasks (``skew.salted_join``)."""
+    qualifying merchants: broadcast when there are at most
+    ``broadcast_rows`` of them, else a sort-merge join with each merchant of
+    more than ``hot_rows`` rows salted over several tasks
+    (``skew.balanced_join``)."""
     keys = list(keys)
     on = [*keys, by]
     checkpoint_root(df.sparkSession)
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("count")).checkpoint(eager=True)
     frequent = counts.filter(F.col("count") >= min_count).select(*on)
     salt_by = ["txn_id"] if "txn_id" in df.columns else df.columns
-    return salted_join(df, frequent, on, "left_semi", counts, salt_by, hot_rows)
+    return balanced_join(df, frequent, on, "left_semi", counts, salt_by, hot_rows, broadcast_rows)
 
 
 def monthly_series(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

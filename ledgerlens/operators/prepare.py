@@ -57,12 +57,23 @@ def merge_exports(*dfs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 
+# Most removed-upload names turned into a broadcast anti-join.
+BROADCAST_NAMES = 1_000_000
+
+
 def exclude_sources(df: DataFrame, sources: Sequence[str] | DataFrame,
                     column: str = "source_file") -> DataFrame:
     """Drop the rows of removed uploads. A short list is an IN filter
-    (pushed to the scan); a DataFrame of names is a left-anti join."""
+    (pushed to the scan). A DataFrame of names is a left-anti join: the
+    names are counted first and broadcast when there are at most
+    ``BROADCAST_NAMES`` (no shuffle of the rows, so one big upload cannot
+    overload a task); beyond that a sort-merge anti-join, where AQE splits
+    a skewed source partition."""
     if isinstance(sources, DataFrame):
-        return df.join(sources.select(F.col(column)).distinct(), column, "left_anti")
+        names = sources.select(F.col(column)).distinct()
+        if names.count() <= BROADCAST_NAMES:
+            names = F.broadcast(names)
+        return df.join(names, column, "left_anti")
     if not sources:
         return df
     return df.filter(~F.col(column).isin(list(sources)))

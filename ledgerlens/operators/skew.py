@@ -1,9 +1,11 @@
 """Row-level joins that stay balanced when one key holds a large share of
 the rows (a blank merchant, one busy account, one big upload).
 
-A sort-merge join sends every row of a key to one task. The callers here
-already aggregate the join keys (distinct pairs to classify, merchants to
-count), so the per-key row counts come for free. Keys with more than
+When the lookup side is small (its row count is checked, not guessed) it is
+broadcast: a map-only join, indifferent to skew, with no shuffle of the
+rows. Otherwise a sort-merge join would send every row of a key to one
+task. The callers here already aggregate the join keys (distinct pairs to
+classify, merchants to count), so the per-key row counts come for free. Keys with more than
 ``hot_rows`` rows are few: at most ``total rows / hot_rows`` of them, and
 the count is checked before that table is broadcast. A row of a hot key
 gets a salt in ``[0, ceil(count / hot_rows))`` from a hash of its own
@@ -23,6 +25,9 @@ from pyspark.sql import functions as F
 
 # Rows of one key that one join task should take at most.
 HOT_ROWS = 2_000_000
+# Largest lookup side (rows) that is broadcast whole; beyond it the join is
+# a salted sort-merge join.
+BROADCAST_ROWS = 1_000_000
 # Largest hot-key table that is broadcast (a guard, far above the bound
 # total/HOT_ROWS of any realistic input).
 MAX_HOT_KEYS = 200_000
@@ -51,17 +56,34 @@ def _with_buckets(df: DataFrame, hot: DataFrame, on: Sequence[str]) -> DataFrame
     return joined.drop(*[f"_hot_{c}" for c in on])
 
 
+def balanced_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
+                  counts: DataFrame, salt_by: Sequence[str], hot_rows: int = HOT_ROWS,
+                  broadcast_rows: int = BROADCAST_ROWS, max_hot_keys: int = MAX_HOT_KEYS,
+                  count_col: str = "count") -> DataFrame:
+    """``left`` joined with ``right`` on the null-safe equality of ``on``
+    (``how`` in left, inner, left_semi, left_anti), never one task per key.
+
+    ``right`` with at most ``broadcast_rows`` rows (counted here, so it
+    should be materialised or cheap to count) is broadcast. Otherwise the
+    hot keys of ``left`` are salted: ``counts`` holds the row count of every
+    key of ``left`` (also counted here); ``salt_by`` are columns of ``left``
+    that vary within a key (e.g. a transaction id). ``right``'s columns
+    other than ``on`` must not clash with ``left``'s."""
+    on = list(on)
+    if right.count() <= broadcast_rows:
+        r = right.select(*[F.col(c).alias(f"_r_{c}") for c in on],
+                         *[c for c in right.columns if c not in on])
+        r_on = [f"_r_{c}" for c in on]
+        out = left.join(F.broadcast(r), _null_safe(left, r, list(zip(on, r_on))), how)
+        return out.drop(*r_on)
+    return salted_join(left, right, on, how, counts, salt_by, hot_rows, max_hot_keys, count_col)
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
                 counts: DataFrame, salt_by: Sequence[str], hot_rows: int = HOT_ROWS,
                 max_hot_keys: int = MAX_HOT_KEYS, count_col: str = "count") -> DataFrame:
-    """``left`` joined with ``right`` on the null-safe equality of ``on``
-    (``how`` in left, inner, left_semi, left_anti), with hot keys of
-    ``left`` spread over several tasks.
-
-    ``counts`` holds the row count of every key of ``left`` (it should be
-    materialised: it is counted here to check the broadcast); ``salt_by``
-    are columns of ``left`` that vary within a key (e.g. a transaction id).
-    ``right``'s columns other than ``on`` must not clash with ``left``'s."""
+    """The sort-merge branch of ``balanced_join``: hot keys of ``left``
+    (more than ``hot_rows`` rows in ``counts``) spread over several tasks."""
     on = list(on)
     hot = hot_keys(counts, on, hot_rows, count_col)
     n_hot = hot.count()

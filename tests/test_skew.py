@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.classify import attach_categories
 from ledgerlens.operators.insights import frequent_merchant_rows
-from ledgerlens.operators.skew import BUCKETS, SALT, _with_buckets, hot_keys, salted_join
+from ledgerlens.operators.skew import BUCKETS, SALT, _with_buckets, balanced_join, hot_keys, salted_join
 
 
 @pytest.fixture
@@ -29,9 +29,12 @@ def test_salted_attach_equals_plain(spark, skewed):
         "merchant string, parsed_description string, category string")
     counts = _counts(skewed, ["merchant", "parsed_description"])
     plain = attach_categories(skewed, mapping)
-    salted = attach_categories(skewed, mapping, counts, hot_rows=10)
-    assert _rows(salted) == _rows(plain)
+    salted = attach_categories(skewed, mapping, counts, hot_rows=10, broadcast_rows=0)
+    broadcast = attach_categories(skewed, mapping, counts, hot_rows=10)
+    assert _rows(salted) == _rows(plain) == _rows(broadcast)
     assert salted.count() == skewed.count()
+    plan = broadcast._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
 
 
 @pytest.mark.parametrize("how", ["left_semi", "left_anti", "inner"])
@@ -55,6 +58,16 @@ def test_hot_key_rows_spread_over_buckets(spark, skewed):
     assert len(per_bucket) == 8 and max(per_bucket) < 100
 
 
+@pytest.mark.parametrize("how", ["left_semi", "left_anti", "left"])
+def test_broadcast_branch_equals_salted(spark, skewed, how):
+    on = ["merchant"]
+    counts = _counts(skewed, on)
+    right = counts.filter(F.col("count") >= 60).select("merchant", F.lit(1).alias("flag"))
+    small = balanced_join(skewed, right, on, how, counts, ["txn_id"], hot_rows=25)
+    big = balanced_join(skewed, right, on, how, counts, ["txn_id"], hot_rows=25, broadcast_rows=0)
+    assert _rows(small) == _rows(big)
+
+
 def test_too_many_hot_keys_refused(spark, skewed):
     counts = _counts(skewed, ["txn_id"])
     with pytest.raises(ValueError, match="hot_rows"):
@@ -63,7 +76,7 @@ def test_too_many_hot_keys_refused(spark, skewed):
 
 
 def test_frequent_rows_salted_equals_plain(spark, skewed):
-    plain = frequent_merchant_rows(skewed, 90, (), "merchant", hot_rows=10 ** 9)
-    salted = frequent_merchant_rows(skewed, 90, (), "merchant", hot_rows=30)
+    plain = frequent_merchant_rows(skewed, 90, (), "merchant", hot_rows=10 ** 9, broadcast_rows=0)
+    salted = frequent_merchant_rows(skewed, 90, (), "merchant", hot_rows=30, broadcast_rows=0)
     assert _rows(salted) == _rows(plain)
     assert {r.merchant for r in plain.collect()} == {"HOT"}
