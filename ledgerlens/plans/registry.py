@@ -892,3 +892,18 @@ def q_stream_running(spark, sf_dir):
     return out.select("month", "category", F.col("amount").cast("double").alias("amount"),
                       F.col("count").cast("bigint").alias("count"))
 
+
+
+@register("stream_progress", "SELECT COUNT(*) AS input_rows FROM events")
+def q_stream_progress(spark, sf_dir):
+    """The progress reports of the daily-totals stream over the events
+    table; the input rows of its micro-batches add up to the table."""
+    from ledgerlens.streaming import ingest
+    base = scratch_path(spark, "stream-progress")
+    q = ingest.start_append(ingest.daily_totals_watermarked(_events_stream(spark, sf_dir)),
+                            f"{base}/out", f"{base}/chk")
+    q.awaitTermination()
+    prog = ingest.progress(spark, q)
+    if prog is None:
+        return spark.range(1).select(F.lit(0).cast("bigint").alias("input_rows"))
+    return prog.agg(F.coalesce(F.sum("input_rows"), F.lit(0)).cast("bigint").alias("input_rows"))
