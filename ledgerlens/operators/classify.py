@@ -352,15 +352,18 @@ class BatchClassifier:
 
 def categorize(df: DataFrame, classifier: Sequence[Rule] | BatchClassifier | None = None,
                cache: DataFrame | None = None, cache_root: str | None = None,
-               cache_failures: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+               cache_failures: bool = False, hot_rows: int = HOT_ROWS,
+               broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Add ``category`` to every row (row count unchanged).
 
     Rules and no cache: one column expression, no shuffle.
     Otherwise: distinct pairs with their row counts (written once to the
     checkpoint folder) → cache hit/miss split → classify the misses →
     (optionally) upsert the new pairs into the versioned cache at
-    ``cache_root`` → join back, salting pairs with more than ``hot_rows``
-    rows. Failed batches are not cached unless ``cache_failures``."""
+    ``cache_root`` → join back: a broadcast of a mapping of at most
+    ``broadcast_rows`` pairs, else a sort-merge join salting the pairs of
+    more than ``hot_rows`` rows. Failed batches are not cached unless
+    ``cache_failures``."""
     from ledgerlens.session import checkpoint_root
     from ledgerlens.sources.cache import upsert_cache
 
@@ -390,7 +393,7 @@ def categorize(df: DataFrame, classifier: Sequence[Rule] | BatchClassifier | Non
     mapping = new_pairs if cache is None else cache.select(*PAIR_KEYS, "category").unionByName(new_pairs)
     if cache_root is not None:
         upsert_cache(df.sparkSession, cache_root, new_pairs)
-    return attach_categories(df, mapping, counts, hot_rows)
+    return attach_categories(df, mapping, counts, hot_rows, broadcast_rows)
 
 
 def categorize_one(spark: SparkSession, merchant: str, description: str,
