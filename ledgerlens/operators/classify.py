@@ -204,6 +204,9 @@ def taxonomy_audit(df: DataFrame) -> DataFrame:
 # One request line per pair, and the line before them.
 REQUEST_HEADER = "Classify these transactions:"
 LINE_TEMPLATE = '{n}. Merchant: "{m}"  Description: "{d}"'
+# Reply budget of a request, max(256, 40 × pairs) tokens.
+REPLY_BUDGET_MIN = 256
+REPLY_BUDGET_PER_ITEM = 40
 
 
 def assign_batches(pairs: DataFrame, batch_size: int = 20) -> DataFrame:
@@ -236,15 +239,17 @@ def _items_agg() -> Column:
 
 
 def build_prompts(batched: DataFrame, with_items: bool = False) -> DataFrame:
-    """One request text per batch, lines numbered in batch order.
-    ``collect_list`` holds at most ``batch_size`` lines: bounded. With
-    ``with_items`` the same aggregation also returns the batch's pairs as
-    JSON (what the classifier call needs), so there is one shuffle and no
-    join."""
+    """One request text per batch, lines numbered in batch order,
+    with its reply budget (``max_tokens``). ``collect_list`` holds at most
+    ``batch_size`` lines: bounded. With ``with_items`` the same aggregation
+    also returns the batch's pairs as JSON (what the classifier call
+    needs), so there is one shuffle and no join."""
     aggs = [F.count(F.lit(1)).alias("items"), _prompt_agg().alias("prompt")]
     if with_items:
         aggs.append(_items_agg().alias("items_json"))
-    return batched.groupBy("batch_id").agg(*aggs)
+    out = batched.groupBy("batch_id").agg(*aggs)
+    budget = F.greatest(F.lit(REPLY_BUDGET_MIN), F.col("items") * REPLY_BUDGET_PER_ITEM)
+    return out.withColumn("max_tokens", budget.cast("bigint"))
 
 
 # ---------------------------------------------------------------------------
@@ -254,12 +259,12 @@ def build_prompts(batched: DataFrame, with_items: bool = False) -> DataFrame:
 ClassifierFn = Callable[..., object]
 
 
-def _call_with_retry(fn: ClassifierFn, prompt: str, items: list[dict], retries: int,
-                     pause: float) -> str | None:
-    wants_items = len(inspect.signature(fn).parameters) >= 2
+def _call_with_retry(fn: ClassifierFn, prompt: str, items: list[dict], max_tokens: int,
+                     retries: int, pause: float) -> str | None:
+    args = (prompt, items, max_tokens)[:max(1, min(3, len(inspect.signature(fn).parameters)))]
     for attempt in range(retries + 1):
         try:
-            reply = fn(prompt, items) if wants_items else fn(prompt)
+            reply = fn(*args)
             if reply is None:
                 return None
             return reply if isinstance(reply, str) else json.dumps(reply)
@@ -280,9 +285,9 @@ def call_classifier(batched: DataFrame, fn: ClassifierFn,
                     retries: int = 1, pause: float = 1.0) -> DataFrame:
     """One call of ``fn`` per batch, from ``mapInPandas`` on the
     executors; a batch that still fails after ``retries`` gets reply NULL.
-    ``fn(prompt)`` or ``fn(prompt, items)`` returns the reply JSON text (or
-    an object that serialises to it). It must be idempotent: a retried
-    task calls it again."""
+    ``fn(prompt)``, ``fn(prompt, items)`` or ``fn(prompt, items,
+    max_tokens)`` returns the reply JSON text (or an object that serialises
+    to it). It must be idempotent: a retried task calls it again."""
     work = build_prompts(batched, with_items=True)
     # Ship this package's code with the closure, so executors whose Python
     # path lacks ledgerlens can still run it (a user's own ``fn`` module is
@@ -292,10 +297,10 @@ def call_classifier(batched: DataFrame, fn: ClassifierFn,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             replies = []
-            for prompt, items_json in zip(pdf["prompt"], pdf["items_json"]):
+            for prompt, items_json, budget in zip(pdf["prompt"], pdf["items_json"], pdf["max_tokens"]):
                 its = [{"merchant": i["merchant"], "description": i["description"]}
                        for i in json.loads(items_json)]
-                replies.append(_call_with_retry(fn, prompt, its, retries, pause))
+                replies.append(_call_with_retry(fn, prompt, its, int(budget), retries, pause))
             yield pd.DataFrame({"batch_id": pdf["batch_id"], "reply": replies})
 
     return work.mapInPandas(run, "batch_id long, reply string")

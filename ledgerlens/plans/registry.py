@@ -648,7 +648,8 @@ O_BATCHED = (*O_PREPARED, ("pairs", "SELECT DISTINCT merchant, parsed_descriptio
 SELECT batch_id, COUNT(*) AS items,
        'Classify these transactions:' || chr(10) || string_agg(
            CAST(position AS VARCHAR) || '. Merchant: "' || merchant || '"  Description: "' || parsed_description || '"',
-           chr(10) ORDER BY position) AS prompt
+           chr(10) ORDER BY position) AS prompt,
+       CAST(greatest(256, COUNT(*) * 40) AS BIGINT) AS max_tokens
 FROM bt GROUP BY batch_id""")
 def q_build_prompts(spark, sf_dir):
     batched = cls.assign_batches(cls.distinct_pairs(o_prepared(spark, sf_dir)), 20)

@@ -54,6 +54,19 @@ def test_batch_classifier_paths(spark):
     assert [(r.category, r["count"]) for r in audit] == [("Pets", 1)]
 
 
+def test_reply_budget_reaches_the_classifier(spark):
+    def fn(prompt, items, max_tokens):
+        ok = max_tokens == max(256, 40 * len(items))
+        return {"results": [{"merchant": it["merchant"], "description": it["description"],
+                             "category": "Shopping" if ok else "Travel"} for it in items]}
+
+    df = _pairs(spark, [("m", f"d{i:02d}") for i in range(27)])
+    budgets = cls.build_prompts(cls.assign_batches(cls.distinct_pairs(df), 20)).collect()
+    assert sorted((r["items"], r.max_tokens) for r in budgets) == [(7, 280), (20, 800)]
+    out = cls.categorize(df, cls.BatchClassifier(fn, batch_size=20, pause=0))
+    assert {r.category for r in out.collect()} == {"Shopping"}
+
+
 def test_malformed_reply_and_retry(spark):
     state = {"n": 0}
 
