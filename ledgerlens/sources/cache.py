@@ -58,15 +58,26 @@ def load_cache(spark: SparkSession, root: str) -> DataFrame:
         return empty_cache(spark)
 
 
+# Most new pairs broadcast into the anti-join against the old version.
+BROADCAST_PAIRS = 1_000_000
+
+
 def upsert_cache(spark: SparkSession, root: str, new_pairs: DataFrame) -> int:
     """Write version n+1 = new pairs ∪ (old pairs not re-labelled); newest
-    label wins. Returns the new version number."""
+    label wins. Returns the new version number.
+
+    Pairs are unique on both sides, so the anti-join cannot skew. The new
+    pairs (materialised by ``categorize``, cheap to count) are broadcast
+    when there are at most ``BROADCAST_PAIRS``: the old version is then
+    scanned and rewritten without a shuffle."""
     vs = versions(spark, root)
     old = load_cache(spark, root)
     fresh = new_pairs.select(*PAIR_KEYS, "category").dropDuplicates(PAIR_KEYS)
-    cond = (old["merchant"].eqNullSafe(fresh["merchant"])
-            & old["parsed_description"].eqNullSafe(fresh["parsed_description"]))
-    kept = old.join(fresh, cond, "left_anti")
+    probe = fresh.select(F.col("merchant").alias("_m"), F.col("parsed_description").alias("_d"))
+    if probe.count() <= BROADCAST_PAIRS:
+        probe = F.broadcast(probe)
+    cond = old["merchant"].eqNullSafe(probe["_m"]) & old["parsed_description"].eqNullSafe(probe["_d"])
+    kept = old.join(probe, cond, "left_anti")
     merged = kept.unionByName(fresh)
     nxt = (vs[-1] + 1) if vs else 1
     merged.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/v={nxt}")
