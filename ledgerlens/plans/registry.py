@@ -664,8 +664,8 @@ SELECT batch_id, position, merchant, parsed_description,
 FROM bt""")
 def q_parse_replies(spark, sf_dir):
     """Replies derived from the data: every 7th batch (id ≡ 3) comes back
-    truncated (malformed), and in every batch the 5th echo alters the
-    merchant name; both leave their pairs Uncategorized."""
+    wrapped in non-JSON text (malformed), and in every batch the 5th echo
+    alters the merchant name; both leave their pairs Uncategorized."""
     batched = cls.assign_batches(cls.distinct_pairs(o_prepared(spark, sf_dir)), 20)
     echoed = batched.withColumn(
         "merchant", F.when(F.col("position") == 5, F.concat(F.lit("ALTERED "), F.col("merchant")))
@@ -673,7 +673,8 @@ def q_parse_replies(spark, sf_dir):
     replies = cls.rule_replies(echoed)
     damaged = replies.select(
         "batch_id",
-        F.when(F.col("batch_id") % 7 == 3, F.substring("reply", 1, 40)).otherwise(F.col("reply")).alias("reply"))
+        F.when(F.col("batch_id") % 7 == 3, F.concat(F.lit("<error>"), F.col("reply"), F.lit("</error>")))
+        .otherwise(F.col("reply")).alias("reply"))
     return cls.parse_replies(damaged, batched)
 
 
