@@ -281,27 +281,40 @@ def _pickle_package_by_value() -> None:
     cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
 
-def call_classifier(batched: DataFrame, fn: ClassifierFn,
-                    retries: int = 1, pause: float = 1.0) -> DataFrame:
+def call_classifier(batched: DataFrame, fn: ClassifierFn, retries: int = 1, pause: float = 1.0,
+                    tasks: int | None = None, threads: int = 1) -> DataFrame:
     """One call of ``fn`` per batch, from ``mapInPandas`` on the
     executors; a batch that still fails after ``retries`` gets reply NULL.
     ``fn(prompt)``, ``fn(prompt, items)`` or ``fn(prompt, items,
     max_tokens)`` returns the reply JSON text (or an object that serialises
-    to it). It must be idempotent: a retried task calls it again."""
-    work = build_prompts(batched, with_items=True)
+    to it). It must be idempotent: a retried task calls it again.
+
+    The request table is tiny next to the time a call takes, so AQE would
+    coalesce it into one partition and make every call wait for the one
+    before. It is hash-partitioned by batch into ``tasks`` partitions
+    (default: the cluster's default parallelism; a fixed partition count
+    is not coalesced), and each task keeps up to ``threads`` calls in
+    flight: ``tasks × threads`` concurrent calls in all."""
+    spark = batched.sparkSession
+    n_tasks = tasks or spark.sparkContext.defaultParallelism
+    work = build_prompts(batched, with_items=True).repartition(n_tasks, "batch_id")
     # Ship this package's code with the closure, so executors whose Python
     # path lacks ledgerlens can still run it (a user's own ``fn`` module is
     # the user's to ship, e.g. with --py-files).
     _pickle_package_by_value()
 
+    def one(prompt: str, items_json: str, budget: int) -> str | None:
+        its = [{"merchant": i["merchant"], "description": i["description"]}
+               for i in json.loads(items_json)]
+        return _call_with_retry(fn, prompt, its, int(budget), retries, pause)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            replies = []
-            for prompt, items_json, budget in zip(pdf["prompt"], pdf["items_json"], pdf["max_tokens"]):
-                its = [{"merchant": i["merchant"], "description": i["description"]}
-                       for i in json.loads(items_json)]
-                replies.append(_call_with_retry(fn, prompt, its, int(budget), retries, pause))
-            yield pd.DataFrame({"batch_id": pdf["batch_id"], "reply": replies})
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
+            for pdf in batches:
+                replies = list(pool.map(one, pdf["prompt"], pdf["items_json"], pdf["max_tokens"]))
+                yield pd.DataFrame({"batch_id": pdf["batch_id"], "reply": replies})
 
     return work.mapInPandas(run, "batch_id long, reply string")
 
@@ -348,11 +361,14 @@ def parse_replies(replies: DataFrame, batched: DataFrame) -> DataFrame:
 
 @dataclass
 class BatchClassifier:
-    """U3 plug: ``fn`` called with 20 pairs at a time, retried once."""
+    """U3 plug: ``fn`` called with 20 pairs at a time, retried once;
+    ``tasks`` × ``threads`` calls in flight (see ``call_classifier``)."""
     fn: ClassifierFn
     batch_size: int = 20
     retries: int = 1
     pause: float = 1.0
+    tasks: int | None = None
+    threads: int = 1
 
 
 def categorize(df: DataFrame, classifier: Sequence[Rule] | BatchClassifier | None = None,
@@ -386,7 +402,8 @@ def categorize(df: DataFrame, classifier: Sequence[Rule] | BatchClassifier | Non
 
     if isinstance(classifier, BatchClassifier):
         batched = assign_batches(misses, classifier.batch_size)
-        replies = call_classifier(batched, classifier.fn, classifier.retries, classifier.pause)
+        replies = call_classifier(batched, classifier.fn, classifier.retries, classifier.pause,
+                                  classifier.tasks, classifier.threads)
         fresh = parse_replies(replies, batched)
         keep = F.lit(True) if cache_failures else F.col("answered")
         new_pairs = fresh.filter(keep).select(*PAIR_KEYS, "category")

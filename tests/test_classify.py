@@ -67,6 +67,22 @@ def test_reply_budget_reaches_the_classifier(spark):
     assert {r.category for r in out.collect()} == {"Shopping"}
 
 
+def test_classifier_calls_spread_over_tasks(spark):
+    import os
+    import threading
+
+    def fn(prompt, items):
+        # Which Python worker and thread served the call.
+        tag = f"{os.getpid()}-{threading.get_ident()}"
+        return {"results": [{"merchant": it["merchant"], "description": it["description"],
+                             "category": tag} for it in items]}
+
+    df = _pairs(spark, [("m", f"d{i:03d}") for i in range(160)])
+    out = cls.categorize(df, cls.BatchClassifier(fn, batch_size=20, pause=0, tasks=4, threads=2))
+    assert out.count() == 160
+    assert len({r.category for r in out.select("category").distinct().collect()}) > 1
+
+
 def test_malformed_reply_and_retry(spark):
     state = {"n": 0}
 
