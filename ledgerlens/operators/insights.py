@@ -176,12 +176,23 @@ def month_over_month(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def largest_purchase(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The whole row of the largest amount per key; a tie goes to the
     first row in newest-first order (later date, then lower txn_id).
-    ``max_by`` aggregates partially on every map task: skew-safe."""
+
+    Without keys it is a top-1 (``orderBy().limit(1)`` → TakeOrderedAndProject):
+    each task keeps one row in a bounded heap, no sort of the input. Keyed,
+    ``max_by`` aggregates partially on every map task (skew-safe); its
+    struct value keeps it a sort-based aggregate, which sorts each task's
+    rows locally but ships one row per key per task — cheaper at scale than
+    a second scan to fetch the winning rows."""
     keys = list(keys)
-    order = F.struct(F.col("amount"), F.col("date"), (-F.col("txn_id")).alias("neg_txn"))
     fields = [c for c in ["txn_id", "date", "merchant", "description", "amount", "category"]
               if c in df.columns]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*fields), order).alias("_row"))
+    if not keys:
+        top = df.orderBy(F.col("amount").desc_nulls_last(), F.col("date").desc_nulls_last(),
+                         F.col("txn_id").asc_nulls_last()).limit(1)
+        best = top.select(F.struct(*fields).alias("_row"))
+    else:
+        order = F.struct(F.col("amount"), F.col("date"), (-F.col("txn_id")).alias("neg_txn"))
+        best = df.groupBy(*keys).agg(F.max_by(F.struct(*fields), order).alias("_row"))
     return best.filter(F.col("_row").isNotNull()).select(
         *keys,
         *[F.col(f"_row.{c}").alias(c) for c in fields if c != "amount"],

@@ -100,6 +100,10 @@ def test_largest_and_busiest_tie_breaks(spark, txns):
                ("a", 6, "2024-01-03", 50, "NewLowId", "", "C"), ("a", 8, "2024-01-02", 10, "X", "", "C")])
     r = ins.largest_purchase(df).first()
     assert (r.merchant, r.date_label) == ("NewLowId", "Jan 03, 2024")
+    keyed = ins.largest_purchase(df, ["account_id"]).first()
+    assert (keyed.merchant, keyed.date_label) == ("NewLowId", "Jan 03, 2024")
+    plan = ins.largest_purchase(df)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "SortAggregate" not in plan
     assert str(agg.busiest_day(df).first().date) == "2024-01-03"
 
 
