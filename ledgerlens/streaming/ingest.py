@@ -102,11 +102,15 @@ def start_upserts(df: DataFrame, sink: str, checkpoint: str, available_now: bool
 
 
 def latest_upserts(spark: SparkSession, sink: str, keys: Sequence[str]) -> DataFrame:
-    """Current state of an upsert log: per key, the row of the latest batch."""
+    """Current state of an upsert log: per key, the row of the latest batch.
+
+    A key has one row per batch (a retried batch rewrites the same values
+    under the same id), so each value column can take its own ``max_by``
+    over ``batch_id``: numeric value columns keep the buffers fixed-width,
+    a hash aggregate instead of a sort of the log."""
     log = spark.read.parquet(sink)
     vals = [c for c in log.columns if c not in set(keys) | {"batch_id"}]
-    best = log.groupBy(*keys).agg(F.max_by(F.struct(*vals), "batch_id").alias("_v"))
-    return best.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in vals])
+    return log.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in vals])
 
 
 def _field(report, name):
