@@ -35,3 +35,18 @@ def test_stream_exports_running_totals_equal_batch(spark, tmp_path):
     want = {(r.month, r.category): (float(r.amount), r["count"])
             for r in ingest.running_totals(batch).collect()}
     assert want == got
+
+
+def test_latest_upserts_takes_newest_batch_per_key(spark):
+    """A retried batch appears twice with the same id and values; every key
+    gets its newest batch's values, read back by a hash aggregate."""
+    from decimal import Decimal
+    rows = [("2024-01", "Travel", Decimal("1.00"), 1, 0), ("2024-01", "Travel", Decimal("3.00"), 3, 2),
+            ("2024-01", "Travel", Decimal("3.00"), 3, 2), ("2024-02", "Travel", Decimal("2.00"), 2, 1)]
+    log = spark.createDataFrame(rows, "month string, category string, amount decimal(28,2), count long, batch_id int")
+    base = scratch_path(spark, "t-upserts")
+    log.write.partitionBy("batch_id").parquet(f"{base}/out")
+    latest = ingest.latest_upserts(spark, f"{base}/out", ["month", "category"])
+    got = {r.month: (float(r.amount), r["count"]) for r in latest.collect()}
+    assert got == {"2024-01": (3.0, 3), "2024-02": (2.0, 2)}
+    assert "SortAggregate" not in latest._jdf.queryExecution().executedPlan().toString()
