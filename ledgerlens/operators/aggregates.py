@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.formatting import weekday_name
 from ledgerlens.operators.prepare import month_key
+from ledgerlens.session import checkpoint_root
 
 
 def _keys(keys: Sequence[str]) -> list[str]:
@@ -105,17 +106,31 @@ def monthly_totals(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def monthly_wide(df: DataFrame, categories: Sequence[str] | None = None,
                  keys: Sequence[str] = ()) -> DataFrame:
     """One row per (keys, month), one column per category, 0-filled,
-    columns alphabetical. Given ``categories`` it is a single pass; without,
-    Spark first collects the distinct category names (small metadata)."""
+    columns alphabetical. Given ``categories`` it is a single pass. Without,
+    the rows are still read once: the (keys, month, category) sums — small,
+    bounded by keys × months × categories — are written to the checkpoint
+    folder, the names are read from them, and the columns are conditional
+    sums over that small table (a plain ``pivot`` would first scan the whole
+    input for its distinct values). A NULL category becomes column "null",
+    as in ``pivot``."""
     keys = _keys(keys)
     dated = df.filter(F.col("date").isNotNull()).withColumn("month", month_key("date"))
-    grouped = dated.groupBy(*keys, "month")
     if categories is None:
-        pivoted = grouped.pivot("category").agg(F.sum("amount"))
-        names = sorted(c for c in pivoted.columns if c not in set(keys) | {"month"})
+        checkpoint_root(df.sparkSession)
+        sums = dated.groupBy(*keys, "month", "category").agg(F.sum("amount").alias("_s")) \
+            .checkpoint(eager=True)
+        cap = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
+        found = [r[0] for r in sums.select("category").distinct().limit(cap + 1).collect()]
+        if len(found) > cap:
+            raise ValueError(f"more than spark.sql.pivotMaxValues={cap} categories; pass categories")
+        label = {("null" if v is None else v): v for v in found}
+        names = sorted(label)
+        pivoted = sums.groupBy(*keys, "month").agg(*[
+            F.sum(F.when(F.col("category").eqNullSafe(F.lit(label[c])), F.col("_s"))).alias(c)
+            for c in names])
     else:
         names = sorted(categories)
-        pivoted = grouped.pivot("category", names).agg(F.sum("amount"))
+        pivoted = dated.groupBy(*keys, "month").pivot("category", names).agg(F.sum("amount"))
     return pivoted.select(
         *keys, "month",
         *[F.coalesce(money(F.col(f"`{c}`")), F.lit(0.0)).alias(c) for c in names],

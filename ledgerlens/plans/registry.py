@@ -292,7 +292,7 @@ P_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
     f"CAST(COALESCE(SUM(amount) FILTER (WHERE category = '{c}'), 0) AS DOUBLE) AS \"{c}\"" for c in P_TYPES)
     + " FROM p WHERE date IS NOT NULL GROUP BY 1")
 def q_monthly_wide(spark, sf_dir):
-    # Category columns discovered from the data (one small distinct first).
+    # Category columns discovered from the (month, category) sums after one read of the rows.
     return agg.monthly_wide(l_posted(spark, sf_dir))
 
 

@@ -186,3 +186,14 @@ def test_bar_order_and_month_start(spark, txns):
     assert df.select(fmt.fmt_compact(F.lit(2500.0)), fmt.fmt_compact(F.lit(1250000.0)),
                      fmt.fmt_compact(F.lit(999.5)), fmt.fmt_currency(F.lit(-1234.5))).first() == \
         ("$2k", "$1.2M", "$1,000", "-$1,234.50")
+
+
+def test_monthly_wide_discovers_columns_in_one_read(spark, txns):
+    df = txns([("a", 1, "2024-01-05", 10, "M", "", "B"), ("a", 2, "2024-01-09", 5, "M", "", "A"),
+               ("a", 3, "2024-02-01", 7, "M", "", None), ("a", 4, None, 9, "M", "", "C")])
+    wide = agg.monthly_wide(df)
+    assert wide.columns == ["month", "A", "B", "null"]
+    got = {r.month: (r.A, r.B, r["null"]) for r in wide.collect()}
+    assert got == {"2024-01": (5.0, 10.0, 0.0), "2024-02": (0.0, 0.0, 7.0)}
+    keyed = agg.monthly_wide(df, ["A", "B"], keys=["account_id"])
+    assert keyed.columns == ["account_id", "month", "A", "B"]
