@@ -143,6 +143,17 @@ def cache_split(pairs: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFram
             pairs.join(c, _pair_cond(pairs, c), "left_anti"))
 
 
+def cache_labels(pairs: DataFrame, cache: DataFrame) -> DataFrame:
+    """J2 in one join: every pair with ``_hit`` (the cache holds it) and the
+    cached ``category``. Pairs are unique on both sides, so the join cannot
+    skew or multiply rows; its size is the data's pairs, not the cache's."""
+    c = cache.select(F.col("merchant").alias("_cm"), F.col("parsed_description").alias("_cd"),
+                     F.col("category").alias("_cc"), F.lit(True).alias("_hit"))
+    cond = pairs["merchant"].eqNullSafe(c["_cm"]) & pairs["parsed_description"].eqNullSafe(c["_cd"])
+    return pairs.join(c, cond, "left").select(
+        *PAIR_KEYS, F.col("_cc").alias("category"), F.coalesce(F.col("_hit"), F.lit(False)).alias("_hit"))
+
+
 def attach_categories(df: DataFrame, mapping: DataFrame, counts: DataFrame | None = None,
                       hot_rows: int = HOT_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Every row gets its pair's category; a miss → Uncategorized.
@@ -379,7 +390,8 @@ def categorize(df: DataFrame, classifier: Sequence[Rule] | BatchClassifier | Non
 
     Rules and no cache: one column expression, no shuffle.
     Otherwise: distinct pairs with their row counts (written once to the
-    checkpoint folder) → cache hit/miss split → classify the misses →
+    checkpoint folder) → one left join with the cache labels them (hit with
+    its cached label, or miss) → classify the misses →
     (optionally) upsert the new pairs into the versioned cache at
     ``cache_root`` → join back: a broadcast of a mapping of at most
     ``broadcast_rows`` pairs, else a sort-merge join salting the pairs of
@@ -395,8 +407,13 @@ def categorize(df: DataFrame, classifier: Sequence[Rule] | BatchClassifier | Non
     checkpoint_root(df.sparkSession)
     counts = df.groupBy(*PAIR_KEYS).agg(F.count(F.lit(1)).alias("count")).checkpoint(eager=True)
     pairs = counts.select(*PAIR_KEYS)
+    hits = None
     if cache is not None:
-        _, misses = cache_split(pairs, cache)
+        # One pair-level join, written once: hits keep their cached label,
+        # misses go to the classifier.
+        labelled = cache_labels(pairs, cache).checkpoint(eager=True)
+        hits = labelled.filter(F.col("_hit")).select(*PAIR_KEYS, "category")
+        misses = labelled.filter(~F.col("_hit")).select(*PAIR_KEYS)
     else:
         misses = pairs
 
@@ -412,7 +429,9 @@ def categorize(df: DataFrame, classifier: Sequence[Rule] | BatchClassifier | Non
     # Write once before the two uses below (cache upsert, attach).
     new_pairs = new_pairs.checkpoint(eager=True)
 
-    mapping = new_pairs if cache is None else cache.select(*PAIR_KEYS, "category").unionByName(new_pairs)
+    # Labels for the pairs of this data only: bounded by its distinct pairs,
+    # however large the cache has grown.
+    mapping = new_pairs if hits is None else hits.unionByName(new_pairs)
     if cache_root is not None:
         upsert_cache(df.sparkSession, cache_root, new_pairs)
     return attach_categories(df, mapping, counts, hot_rows, broadcast_rows)
