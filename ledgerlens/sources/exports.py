@@ -48,8 +48,13 @@ def sniff_dialects(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """S2, per file: (file_path, header, dialect or NULL when unknown).
 
     The first line of a file is the first line of its first split
-    (``file_block_start = 0``), in read order within that split. One row per
-    file comes back to the driver to plan one scan per header layout."""
+    (``file_block_start = 0``), in read order within that split. Spark does
+    not skip a file's later splits for that filter (measured: a 4-split file
+    runs the same tasks with and without it), so the sniff is one text scan
+    of the exports, lighter than the CSV parse; exports are small files, one
+    split each. With one known layout, ``read_exports(single_layout=True)``
+    skips it. One row per file comes back to the driver (paths only) to plan
+    one scan per header layout."""
     paths = [path] if isinstance(path, str) else list(path)
     lines = (
         spark.read.option("pathGlobFilter", CSV_GLOB).text(paths)
