@@ -139,6 +139,25 @@ def test_categorize_with_cache_writes_new_pairs(spark):
     assert (cov.done, cov.total) == (2, 2)
 
 
+def test_cache_labels_only_the_datas_pairs(spark):
+    """J2 as one left join: hits keep the cached label (even a NULL one, which
+    attaches as Uncategorized), misses are classified, and a cache far
+    larger than the data adds nothing to the row join's lookup side."""
+    big = spark.range(5000).select(F.lit("C").alias("merchant"),
+                                   F.concat(F.lit("d"), F.col("id").cast("string")).alias("parsed_description"),
+                                   F.lit("Travel").alias("category"))
+    cache = big.unionByName(spark.createDataFrame(
+        [("N", "x", None)], "merchant string, parsed_description string, category string"))
+    pairs = _pairs(spark, [("C", "d7"), ("N", "x"), ("Uber", "Trip"), (None, "d7")]).select(*cls.PAIR_KEYS)
+    labelled = {(r.merchant, r.parsed_description): (r._hit, r.category)
+                for r in cls.cache_labels(pairs, cache).collect()}
+    assert labelled == {("C", "d7"): (True, "Travel"), ("N", "x"): (True, None),
+                        ("Uber", "Trip"): (False, None), (None, "d7"): (False, None)}
+    df = _pairs(spark, [("C", "d7"), ("C", "d7"), ("N", "x"), ("Uber", "Trip")])
+    out = {(r.merchant, r.parsed_description): r.category for r in cls.categorize(df, cache=cache).collect()}
+    assert out == {("C", "d7"): "Travel", ("N", "x"): UNCATEGORIZED, ("Uber", "Trip"): "Transport"}
+
+
 def test_unwrap_envelope_and_parse(spark):
     reply = json.dumps({"results": [{"merchant": "m", "description": "d", "category": "Travel"}]})
     body = json.dumps({"choices": [{"message": {"content": reply}}]})
