@@ -21,3 +21,28 @@ def test_entry_smoke(spark):
     df = se.entry(spark)
     assert df.columns == ["category", "amount", "pct", "rank"]
     assert df.count() > 0
+
+
+TIE_SENSITIVE = ["preview_top12", "preview_by_account", "sort_page", "metrics_by_account",
+                 "largest_purchase_by_account", "busiest_day_by_account", "recurring_by_account",
+                 "month_over_month_by_account", "build_prompts", "parse_replies", "monthly_wide"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF01), reason="sf0.01 tables not present")
+def test_results_do_not_depend_on_partitioning(spark):
+    """Tie-breaks, top-n, the global batch index and ranks give the same rows
+    whatever the shuffle partition count."""
+    import collections
+
+    import __spark_entry__ as se
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        runs = []
+        for parts in ("3", "11"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            runs.append({name: collections.Counter(tuple(r) for r in se.queries()[name](spark, SF01).collect())
+                         for name in TIE_SENSITIVE})
+        for name in TIE_SENSITIVE:
+            assert runs[0][name] == runs[1][name], name
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
