@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlens.operators.classify import classify_text, rule_category
 from ledgerlens.operators.prepare import month_key, prepare
+from ledgerlens.operators.skew import BROADCAST_ROWS
 from ledgerlens.sources.exports import CSV_GLOB, normalize
 
 
@@ -45,13 +46,21 @@ def stream_exports(spark: SparkSession, folder: str, header: Sequence[str], dial
     return prepare(normalize(raw, dialect))
 
 
-def categorize_stream(df: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
-    """R2: stream–static category attach. With a cache ``mapping`` it is a
-    left join against the static dimension; otherwise the rule column."""
+def categorize_stream(df: DataFrame, mapping: DataFrame | None = None,
+                      broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """R2: stream–static category attach. With a cache ``mapping`` (one row
+    per pair) it is a left join against the static dimension; otherwise the
+    rule column. The mapping is counted once when the stream is defined: up
+    to ``broadcast_rows`` pairs it is broadcast, so a micro-batch joins
+    map-side; a larger one is a shuffle join, which shuffles the static side
+    again in every micro-batch — keep such a cache's pairs to those a feed
+    can meet, or categorise in batch."""
     if mapping is None:
         return df.withColumn("category", rule_category(classify_text()))
     m = mapping.select(F.col("merchant").alias("_m"), F.col("parsed_description").alias("_d"),
                        F.col("category").alias("_cat"))
+    if m.count() <= broadcast_rows:
+        m = F.broadcast(m)
     cond = df["merchant"].eqNullSafe(m["_m"]) & df["parsed_description"].eqNullSafe(m["_d"])
     return (df.join(m, cond, "left")
             .withColumn("category", F.coalesce(F.col("_cat"), F.lit("Uncategorized")))

@@ -50,3 +50,27 @@ def test_latest_upserts_takes_newest_batch_per_key(spark):
     got = {r.month: (float(r.amount), r["count"]) for r in latest.collect()}
     assert got == {"2024-01": (3.0, 3), "2024-02": (2.0, 2)}
     assert "SortAggregate" not in latest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stream_static_attach_broadcasts_a_small_cache(spark, tmp_path):
+    folder = tmp_path / "drop2"
+    folder.mkdir()
+    (folder / "a.csv").write_text(",".join(HEADER) + "\n"
+                                  "2024-01-05,,10.00,Uber,UBER *EATS,Posted,Purchase\n"
+                                  "2024-01-06,,5.00,Shell,Shell Oil,Posted,Purchase\n")
+    mapping = spark.createDataFrame([("Uber", "EATS", "Travel")],
+                                    "merchant string, parsed_description string, category string")
+    stream = ingest.categorize_stream(ingest.stream_exports(spark, str(folder), HEADER, "robinhood"), mapping)
+    base = scratch_path(spark, "t-stream-static")
+    seen = []
+
+    def capture(batch, batch_id):
+        seen.append(batch._jdf.queryExecution().executedPlan().toString())
+        batch.write.mode("append").parquet(f"{base}/out")
+
+    q = stream.writeStream.foreachBatch(capture).option("checkpointLocation", f"{base}/chk") \
+        .trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.merchant, r.category) for r in spark.read.parquet(f"{base}/out").collect()}
+    assert got == {("Uber", "Travel"), ("Shell", "Uncategorized")}
+    assert seen and all("SortMergeJoin" not in p for p in seen)
