@@ -161,17 +161,20 @@ def read_exports(spark: SparkSession, path: str | Sequence[str], dialect: str |
         found = dialect or detect_dialect(raw.columns)
         tag = "A" if found == DIALECT_A else "B"
         return normalize(_common(raw, tag, account_pattern), found).select(*NORMALIZED_COLUMNS)
-    sniffed = sniff_dialects(spark, path)
-    layouts = sniffed.groupBy("header", "dialect").agg(F.collect_list("file_path").alias("files"))
-    plans = layouts.collect()      # one row per distinct header layout
+    # One small row per file (the paths the scans need anyway; Spark's file
+    # index holds the same list), grouped by header layout here rather than
+    # by a collect_list that would put every path of a layout in one task.
+    plans: dict[tuple[str, str | None], list[str]] = {}
+    for row in sniff_dialects(spark, path).collect():
+        plans.setdefault((row["header"], row["dialect"]), []).append(row["file_path"])
     if not plans:
         raise ValueError(f"no CSV export found under {path!r}")
     parts = []
-    for row in plans:
-        found = row["dialect"] if dialect is None else dialect
+    for (header, sniffed_dialect), files in sorted(plans.items(), key=lambda kv: kv[0][0]):
+        found = sniffed_dialect if dialect is None else dialect
         if found is None:
-            raise ValueError(f"Unrecognized CSV format (header: {row['header']!r})")
-        raw = _read_layout(spark, sorted(row["files"]), multiline)
+            raise ValueError(f"Unrecognized CSV format (header: {header!r})")
+        raw = _read_layout(spark, sorted(files), multiline)
         detect_dialect(raw.columns)  # the parsed header must agree with the sniff
         parts.append(normalize(_common(raw, "A" if found == DIALECT_A else "B", account_pattern), found))
     out = reduce(lambda a, b: a.unionByName(b), parts)
