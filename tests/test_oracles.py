@@ -25,7 +25,8 @@ def test_entry_smoke(spark):
 
 TIE_SENSITIVE = ["preview_top12", "preview_by_account", "sort_page", "metrics_by_account",
                  "largest_purchase_by_account", "busiest_day_by_account", "recurring_by_account",
-                 "month_over_month_by_account", "build_prompts", "parse_replies", "monthly_wide"]
+                 "month_over_month_by_account", "build_prompts", "parse_replies", "monthly_wide",
+                 "categorize_cached", "categorize_batch", "frequent_merchant_rows"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF01), reason="sf0.01 tables not present")
