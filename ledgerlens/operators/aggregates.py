@@ -125,11 +125,15 @@ def monthly_wide(df: DataFrame, categories: Sequence[str] | None = None,
             raise ValueError(f"more than spark.sql.pivotMaxValues={cap} categories; pass categories")
         label = {("null" if v is None else v): v for v in found}
         names = sorted(label)
+        if not names:   # empty input: no category columns, no rows
+            return sums.select(*keys, "month")
         pivoted = sums.groupBy(*keys, "month").agg(*[
             F.sum(F.when(F.col("category").eqNullSafe(F.lit(label[c])), F.col("_s"))).alias(c)
             for c in names])
     else:
         names = sorted(categories)
+        if not names:   # no columns asked for: the (keys, month) rows alone
+            return dated.select(*keys, "month").distinct()
         pivoted = dated.groupBy(*keys, "month").pivot("category", names).agg(F.sum("amount"))
     return pivoted.select(
         *keys, "month",

@@ -197,3 +197,16 @@ def test_monthly_wide_discovers_columns_in_one_read(spark, txns):
     assert got == {"2024-01": (5.0, 10.0, 0.0), "2024-02": (0.0, 0.0, 7.0)}
     keyed = agg.monthly_wide(df, ["A", "B"], keys=["account_id"])
     assert keyed.columns == ["account_id", "month", "A", "B"]
+    empty = df.filter("false")
+    assert agg.monthly_wide(empty).columns == ["month"] and agg.monthly_wide(empty).count() == 0
+    assert agg.monthly_wide(df, []).count() == 2
+
+
+def test_dashboard_over_an_empty_set(spark, txns):
+    from ledgerlens.plans.report import dashboard
+    empty = txns([("a", 1, "2024-01-05", 10, "M", "", "C")]).filter("false")
+    board = dashboard(empty, persist=False)
+    assert board["monthly_series"].count() == 0 and board["metrics"].count() == 1
+    assert board["insights"]["day_of_week"].count() == 7
+    keyed = dashboard(empty, ["account_id"], persist=False)
+    assert all(v.count() == 0 for v in keyed["insights"].values())
