@@ -64,7 +64,9 @@ BROADCAST_PAIRS = 1_000_000
 
 def upsert_cache(spark: SparkSession, root: str, new_pairs: DataFrame) -> int:
     """Write version n+1 = new pairs ∪ (old pairs not re-labelled); newest
-    label wins. Returns the new version number.
+    label wins. Returns the new version number (the current one, with no
+    write, when there are no new pairs: a run that found every pair cached
+    does not copy the cache).
 
     Pairs are unique on both sides, so the anti-join cannot skew. The new
     pairs (materialised by ``categorize``, cheap to count) are broadcast
@@ -74,7 +76,10 @@ def upsert_cache(spark: SparkSession, root: str, new_pairs: DataFrame) -> int:
     old = load_cache(spark, root)
     fresh = new_pairs.select(*PAIR_KEYS, "category").dropDuplicates(PAIR_KEYS)
     probe = fresh.select(F.col("merchant").alias("_m"), F.col("parsed_description").alias("_d"))
-    if probe.count() <= BROADCAST_PAIRS:
+    n_new = probe.count()
+    if n_new == 0 and vs:
+        return vs[-1]   # nothing to add (every pair was cached): no rewrite
+    if n_new <= BROADCAST_PAIRS:
         probe = F.broadcast(probe)
     cond = old["merchant"].eqNullSafe(probe["_m"]) & old["parsed_description"].eqNullSafe(probe["_d"])
     kept = old.join(probe, cond, "left_anti")

@@ -122,6 +122,8 @@ def test_cache_upsert_versions(spark):
     v2 = cache_mod.upsert_cache(spark, root, spark.createDataFrame(
         [("m", "b", "Travel"), ("m", "c", "Transport")], "merchant string, parsed_description string, category string"))
     assert (v1, v2) == (1, 2)
+    none = spark.createDataFrame([], "merchant string, parsed_description string, category string")
+    assert cache_mod.upsert_cache(spark, root, none) == 2 and cache_mod.versions(spark, root) == [1, 2]
     got = {r.parsed_description: r.category for r in cache_mod.load_cache(spark, root).collect()}
     assert got == {"a": "Travel", "b": "Travel", "c": "Transport"}
 
