@@ -23,14 +23,19 @@ from ledgerlens.sources.exports import CSV_GLOB, normalize
 
 
 def stream_exports(spark: SparkSession, folder: str, header: Sequence[str], dialect: str,
-                   account_id: str = "") -> DataFrame:
+                   account_id: str = "", max_files_per_trigger: int | None = None) -> DataFrame:
     """A file stream of one exact header layout. A file stream needs a
     schema and maps it by position, so each header layout gets its own
     folder; ``enforceSchema=false`` makes a file with another header fail
-    instead of being read misaligned."""
+    instead of being read misaligned. ``max_files_per_trigger`` bounds a
+    micro-batch, so a backlog (also under ``availableNow``) is taken in
+    several bounded batches instead of one."""
     schema = ", ".join(f"`{c}` string" for c in header)
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     raw = (
-        spark.readStream.schema(schema)
+        reader
         .option("header", True)
         .option("enforceSchema", False)
         .option("pathGlobFilter", CSV_GLOB)

@@ -18,7 +18,9 @@ def test_stream_exports_running_totals_equal_batch(spark, tmp_path):
                                   "2024-01-06,,5.00,Shell,Shell Oil,Posted,Purchase\n"
                                   "2024-02-01,,7.00,Shell,Shell Oil,Pending,Purchase\n")
     (folder / "b.csv").write_text(",".join(HEADER) + "\n2024-02-03,,2.50,Uber,Uber Trip,Posted,Purchase\n")
-    stream = ingest.categorize_stream(ingest.stream_exports(spark, str(folder), HEADER, "robinhood"))
+    # One file per micro-batch: two batches, the upsert log keeps each key's newest totals.
+    stream = ingest.categorize_stream(ingest.stream_exports(spark, str(folder), HEADER, "robinhood",
+                                                            max_files_per_trigger=1))
     base = scratch_path(spark, "t-stream")
     q = ingest.start_upserts(ingest.running_totals(stream), f"{base}/out", f"{base}/chk")
     q.awaitTermination()
@@ -28,6 +30,7 @@ def test_stream_exports_running_totals_equal_batch(spark, tmp_path):
                    ("2024-02", "Transport"): (2.5, 1)}
     prog = ingest.progress(spark, q)
     assert prog is not None and sum(r.input_rows for r in prog.collect()) == 4
+    assert sum(1 for r in prog.collect() if r.input_rows > 0) == 2
 
     batch = cls.categorize(prep.prepare(exports.read_exports(spark, str(folder))))
     assert batch.count() == 3
