@@ -340,12 +340,13 @@ def repeated_starts(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     """(doc_id, th, a, b): stretches of starts whose ``length`` bytes also start elsewhere."""
     ship_by_value()
     runs = written(find_runs(keyed, length, gram), "runs")
-    twice = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # written, so that the join below reads plain exchanges, which may be split where an anchor is hot
+    twice = written(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "twice")
     runs = written(runs.join(twice, "anchor", "left_semi"), "anchored")
     different = written(runs.groupBy("anchor", "r1", "r2").agg(
         F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "th", "a", "b")]), "different")
     whole = runs.join(different.where("n > 1").select("anchor", "r1", "r2"), ["anchor", "r1", "r2"], "left_semi").select("doc_id", "th", "a", "b")
-    several = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
+    several = written(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1"), "several")
     shards = F.ceil(F.col("kinds") / SHARD_RUNS)
     asked = (different.join(several, "anchor").withColumn("part", F.pmod("r1", shards).cast("int"))
              .select("doc_id", "th", F.struct("anchor", "part", (shards > 1).alias("spread"), (F.col("n") > 1).alias("many"), "a", "b").alias("run"))
