@@ -16,11 +16,12 @@ radius and routing distance allow; children whose stored parent distance
 already shows that they are too far are dropped without computing theirs, and
 so are entries; it ends when no node can hold one of the k best.
 
-Queries go in blocks of one pivot. First each block visits its own pivot's
-shards, which gives each query a bound; then the other shards whose pivot's
-radius does not rule out all its queries, each query starting from its bound.
-The shards' answers (k rows a query at most) are merged by rank. Exact tests
-use integers; bounds keep a slack for rounding.
+First each query visits its own pivot's shards, which gives it a bound; then
+the other shards, unless their pivot's radius rules them out. Queries are
+dealt to blocks of about ``BLOCK``, and a task holds one shard and one block,
+so neither side of it grows with the data. The shards' answers (k rows a query
+at most) are merged by rank. Exact tests use integers; bounds keep a slack for
+rounding.
 
 Null vectors and such with null or non-finite components take no part;
 shorter vectors count as filled with zeros. Rows with the query's own id are
@@ -49,7 +50,7 @@ PIVOTS = 32
 SHARD_ROWS = 1 << 15
 PAGE = 128
 FAN = 16
-BLOCK = 1 << 10
+BLOCK = 1 << 15
 SLACK = 1e-6
 
 
@@ -161,7 +162,7 @@ def _floored(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFra
 
 
 def top_products(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = TOP, every: int = EVERY,
-                 scale: int = SCALE, pivots: int = PIVOTS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+                 scale: int = SCALE, pivots: int = PIVOTS, shard_rows: int = SHARD_ROWS, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by
     ``every`` the k best other rows by integer inner product."""
     ship_by_value()
@@ -200,13 +201,14 @@ def top_products(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     rows = dealt.withColumn("shard", (first[F.col("pivot")] + F.pmod(F.xxhash64("vec_id", "v"), parts[F.col("pivot")])).cast("int")).select("shard", "vec_id", "v")
     asked = dealt.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min_by(F.struct("pivot", "v"), F.struct("pivot", "v")).alias("q"))
     asked = written(asked.select(F.col("vec_id").alias("query_id"), "q.pivot", "q.v"), "queries")
+    blocks = max(1, -(-asked.count() // block))
 
-    def solve(key: tuple, members: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+    def solve(members: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, int]] = []
-        if len(members) and len(blocks):
+        if len(members) and len(asks):
             whole = lambda c: _matrix(pa.array(c, pa.list_(pa.int64())), width)
             tree = Tree(members["vec_id"].to_numpy(), whole(members["v"]), longest)
-            for query, q, bound in zip(blocks["query_id"].tolist(), whole(blocks["v"]), blocks["bound"].tolist()):
+            for query, q, bound in zip(asks["query_id"].tolist(), whole(asks["v"]), asks["bound"].tolist()):
                 found += [(query, -i, int(s)) for s, i in tree.search(query, q, k, bound)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
@@ -215,7 +217,9 @@ def top_products(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     def visit(to: DataFrame) -> DataFrame:
         """Answers of the shards that ``to`` (shard, query_id, v, bound) names."""
-        return rows.groupBy("shard").cogroup(to.groupBy("shard")).applyInPandas(solve, schema)
+        each = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else rows.withColumn("block", F.lit(0))
+        asks = to.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        return each.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInPandas(solve, schema)
 
     home = asked.select(F.explode(F.sequence(first[F.col("pivot")], first[F.col("pivot")] + parts[F.col("pivot")] - 1)).alias("shard"), "query_id", "v", F.lit(float("-inf")).alias("bound"))
     near_home = written(visit(home).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "home")

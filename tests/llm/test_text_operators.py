@@ -42,8 +42,8 @@ def naive_top(rows, k, every, scale=64):
     return out
 
 
-@pytest.mark.parametrize("shard_rows", [7, 1000])
-def test_search_odd_rows(spark, shard_rows):
+@pytest.mark.parametrize("shard_rows, block", [(7, 5), (1000, 1000)])
+def test_search_odd_rows(spark, shard_rows, block):
     rng = np.random.default_rng(1)
     one = rng.normal(size=6)
     rows = [(i, (one + rng.normal(size=6) * (0.02 if i % 3 else 2.0)).tolist()) for i in range(300)]
@@ -51,7 +51,7 @@ def test_search_odd_rows(spark, shard_rows):
     rows += [(2000, None), (2020, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2040, [float("nan")] * 6), (2060, [float("inf")] * 6), (2080, [0.0] * 6), (None, [1.0] * 6), (2100, []), (2120, [1.0, 2.0])]
     rows += [(40, rows[40][1]), (41, rows[41][1]), (41, rows[41][1])]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, score int, rank string")
-    got = {tuple(r) for r in metric.top_products(df, pivots=4, shard_rows=shard_rows).collect()}
+    got = {tuple(r) for r in metric.top_products(df, pivots=4, shard_rows=shard_rows, block=block).collect()}
     assert got == naive_top(rows, 20, 20)
     assert metric.top_products(df.limit(0)).count() == 0
     few = {tuple(r) for r in metric.top_products(df.where("vec_id < 5")).collect()}
