@@ -119,10 +119,8 @@ def monthly_wide(df: DataFrame, categories: Sequence[str] | None = None,
         checkpoint_root(df.sparkSession)
         sums = dated.groupBy(*keys, "month", "category").agg(F.sum("amount").alias("_s")) \
             .checkpoint(eager=True)
-        cap = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
-        found = [r[0] for r in sums.select("category").distinct().limit(cap + 1).collect()]
-        if len(found) > cap:
-            raise ValueError(f"more than spark.sql.pivotMaxValues={cap} categories; pass categories")
+        # the names become the result's columns, so they belong to the plan; ``monthly_series`` is the long form
+        found = [r[0] for r in sums.select("category").distinct().collect()]
         label = {("null" if v is None else v): v for v in found}
         names = sorted(label)
         if not names:   # empty input: no category columns, no rows

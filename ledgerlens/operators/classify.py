@@ -77,15 +77,19 @@ def seed_rules() -> list[Rule]:
     return sorted(rules, key=lambda r: r.priority)
 
 
-def rules_from_table(df: DataFrame, max_rules: int = 10_000) -> list[Rule]:
+def rules_from_table(df: DataFrame) -> list[Rule]:
     """A user rule table (priority, pattern, category) becomes a column
-    expression. Rules are configuration, not data: the size is checked
-    before anything is brought to the driver."""
-    n = df.count()
-    if n > max_rules:
-        raise ValueError(f"rule table has {n} rows, more than max_rules={max_rules}")
+    expression: rules are configuration, not data. Neighbours in priority
+    order with one category become one rule (any of their patterns), so the
+    expression grows with the changes of category, not with the rules."""
     rows = df.select("priority", "category", "pattern").collect()
-    return sorted((Rule(int(r[0]), r[1], r[2]) for r in rows), key=lambda r: r.priority)
+    out: list[Rule] = []
+    for r in sorted((Rule(int(r[0]), r[1], r[2]) for r in rows), key=lambda r: r.priority):
+        if out and out[-1].category == r.category:
+            out[-1] = Rule(out[-1].priority, r.category, f"{out[-1].pattern}|(?:{r.pattern})")
+        else:
+            out.append(Rule(r.priority, r.category, f"(?:{r.pattern})"))
+    return out
 
 
 def classify_text(merchant: Column | str = "merchant",
@@ -270,6 +274,12 @@ def build_prompts(batched: DataFrame, with_items: bool = False) -> DataFrame:
 ClassifierFn = Callable[..., object]
 
 
+class PermanentClassifierError(RuntimeError):
+    """Raised by a classifier function for an error that no retry mends (a
+    rejected key, an exhausted account): it stops the run instead of turning
+    the batch into Uncategorized."""
+
+
 def _call_with_retry(fn: ClassifierFn, prompt: str, items: list[dict], max_tokens: int,
                      retries: int, pause: float) -> str | None:
     args = (prompt, items, max_tokens)[:max(1, min(3, len(inspect.signature(fn).parameters)))]
@@ -279,7 +289,9 @@ def _call_with_retry(fn: ClassifierFn, prompt: str, items: list[dict], max_token
             if reply is None:
                 return None
             return reply if isinstance(reply, str) else json.dumps(reply)
-        except Exception:  # noqa: BLE001 - any failure of the plug → retry, then give up
+        except PermanentClassifierError:
+            raise
+        except Exception:  # noqa: BLE001 - any other failure of the plug → retry, then give up
             if attempt < retries:
                 time.sleep(pause * (attempt + 1))
     return None
@@ -340,24 +352,30 @@ def unwrap_envelope(replies: DataFrame, column: str = "reply") -> DataFrame:
     return replies.withColumn(column, F.get_json_object(F.col(column), ENVELOPE_CONTENT_PATH))
 
 
+def failed_batches(replies: DataFrame) -> DataFrame:
+    """Number of batches without a reply."""
+    return replies.agg(F.count(F.when(F.col("reply").isNull(), 1)).alias("failed_batches"), F.count(F.lit(1)).alias("batches"))
+
+
 def parse_replies(replies: DataFrame, batched: DataFrame) -> DataFrame:
     """Parse each reply, match the echoed merchant+description
     back to the batch's pairs. Malformed reply → every pair of the batch
     Uncategorized; an echo that names no pair of its batch is ignored, so
-    that pair stays Uncategorized. Labels outside the taxonomy pass through
-    (see taxonomy_audit)."""
+    that pair stays Uncategorized. A missing merchant or description is "",
+    on both sides; of several echoes of a pair the last one counts. Labels
+    outside the taxonomy pass through (see taxonomy_audit)."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
     parsed = replies.select("batch_id", F.from_json("reply", REPLY_SCHEMA).alias("r"))
-    echoes = parsed.select("batch_id", F.explode_outer("r.results").alias("e")).select(
-        F.col("batch_id").alias("_b"),
-        F.col("e.merchant").alias("_m"),
-        F.col("e.description").alias("_d"),
+    echoes = parsed.select("batch_id", F.posexplode_outer("r.results").alias("_pos", "e")).select(
+        F.col("batch_id").alias("_b"), "_pos",
+        blank(F.col("e.merchant")).alias("_m"),
+        blank(F.col("e.description")).alias("_d"),
         F.col("e.category").alias("_cat"),
     ).filter(F.col("_cat").isNotNull())
-    # One label per echoed pair when a reply names the same pair twice.
-    echoes = echoes.groupBy("_b", "_m", "_d").agg(F.max("_cat").alias("_cat"))
+    echoes = echoes.groupBy("_b", "_m", "_d").agg(F.max_by("_cat", "_pos").alias("_cat"))
     cond = ((batched["batch_id"] == echoes["_b"])
-            & batched["merchant"].eqNullSafe(echoes["_m"])
-            & batched["parsed_description"].eqNullSafe(echoes["_d"]))
+            & (blank(batched["merchant"]) == echoes["_m"])
+            & (blank(batched["parsed_description"]) == echoes["_d"]))
     joined = batched.join(echoes, cond, "left")
     return joined.select(
         batched["batch_id"], "position", *PAIR_KEYS,
@@ -439,10 +457,15 @@ def categorize(df: DataFrame, classifier: Sequence[Rule] | BatchClassifier | Non
 
 def categorize_one(spark: SparkSession, merchant: str, description: str,
                    classifier: Sequence[Rule] | BatchClassifier | None = None,
-                   cache: DataFrame | None = None) -> DataFrame:
-    """One pair, same path as ``categorize``."""
-    one = spark.createDataFrame([(merchant, description)], "merchant string, parsed_description string")
-    return categorize(one, classifier, cache)
+                   cache: DataFrame | None = None, cache_root: str | None = None) -> DataFrame:
+    """One pair, same path as ``categorize``; with ``cache_root`` its
+    answer is saved there."""
+    one = spark.createDataFrame([(merchant, description, 1)], "merchant string, parsed_description string, txn_id long")
+    if cache is None and cache_root is not None:
+        from ledgerlens.sources.cache import load_cache
+
+        cache = load_cache(spark, cache_root)
+    return categorize(one, classifier, cache, cache_root=cache_root).drop("txn_id")
 
 
 def rule_replies(batched: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:

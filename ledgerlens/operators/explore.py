@@ -90,16 +90,23 @@ def page(df: DataFrame, number: int = 1, column: str = "date", direction: str |
 
 
 def page_after(df: DataFrame, last: dict, column: str = "date", direction: str = "desc",
-               size: int = PAGE_SIZE) -> DataFrame:
-    """Keyset page: the ``size`` rows after the row ``last`` (its sort value
-    and txn_id). Cost is independent of how deep the page is."""
+               size: int = PAGE_SIZE, locale: bool = False, shown: int = 1) -> DataFrame:
+    """Keyset page: the ``size`` rows after the row ``last`` (its sort value,
+    which may be None, and txn_id). Cost is independent of how deep the page
+    is. NULLs come first ascending and last descending, as in ``page``. Rows
+    that repeat both keys of ``last`` go on where the page before stopped:
+    ``shown`` is how many of them have been shown."""
     c, t = F.col(column), F.col("txn_id")
-    v, tid = F.lit(last[column]), F.lit(last["txn_id"])
-    if direction == "asc":
-        after = (c > v) | ((c == v) & (t > tid))
+    v = F.lit(last[column]).cast(df.schema[column].dataType)
+    if locale and column in ("merchant", "category"):
+        c, v = F.collate(c, "UNICODE"), F.collate(v, "UNICODE")
+    tied = c.eqNullSafe(v) & (t >= F.lit(last["txn_id"]))
+    if last[column] is None:
+        beyond = c.isNotNull() if direction == "asc" else F.lit(False)
     else:
-        after = (c < v) | ((c == v) & (t > tid)) | c.isNull()
-    return df.filter(after).orderBy(*sort_key(column, direction)).limit(size)
+        beyond = (c > v) if direction == "asc" else (c < v) | c.isNull()
+    after = tied | F.coalesce(beyond, F.lit(False))
+    return df.filter(after).orderBy(*sort_key(column, direction, locale)).offset(shown).limit(size)
 
 
 def page_count(df: DataFrame, size: int = PAGE_SIZE, keys: Sequence[str] = ()) -> DataFrame:

@@ -46,12 +46,13 @@ def merchant_stats(df: DataFrame, keys: Sequence[str] = (), by: str = "merchant"
     )
     lvl2 = lvl1.groupBy(*keys, by).agg(
         F.sum("_n").alias("count"),
-        F.count(F.lit(1)).alias("distinct_amounts"),
+        F.sum(F.when(F.col("amount").isNotNull(), F.col("_n"))).alias("_known"),
+        F.count("amount").alias("distinct_amounts"),
         F.sum(F.col("amount") * F.col("_n")).alias("_sum"),
         F.sum(F.col("amount") * F.col("amount") * F.col("_n")).alias("_sumsq"),
         F.max_by("amount", "_newest").alias("_latest"),
     )
-    n = F.col("count").cast("double")
+    n = F.col("_known").cast("double")   # rows without an amount say nothing about it
     s = money(F.col("_sum"))
     ss = money(F.col("_sumsq"))
     dev = ss - s * s / n
@@ -61,7 +62,7 @@ def merchant_stats(df: DataFrame, keys: Sequence[str] = (), by: str = "merchant"
         F.col("count").cast("bigint").alias("count"),
         (s / n).alias("avg"),
         F.sqrt(F.greatest(dev / n, F.lit(0.0))).alias("std_pop"),
-        F.when(F.col("count") > 1, F.sqrt(F.greatest(dev / (n - 1), F.lit(0.0)))).alias("std_samp"),
+        F.when(n > 1, F.sqrt(F.greatest(dev / (n - 1), F.lit(0.0)))).alias("std_samp"),
         F.col("distinct_amounts").cast("bigint").alias("distinct_amounts"),
         s.alias("total"),
         money(F.col("_latest")).alias("latest_amount"),

@@ -87,9 +87,10 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
     on = list(on)
     hot = hot_keys(counts, on, hot_rows, count_col)
     n_hot = hot.count()
-    if n_hot > max_hot_keys:
-        raise ValueError(f"{n_hot} keys have more than {hot_rows} rows; raise hot_rows "
-                         f"(broadcast limit max_hot_keys={max_hot_keys})")
+    while n_hot > max_hot_keys:   # at most rows / hot_rows keys are hot: fewer, each spread in larger parts
+        hot_rows = max(1, 2 * hot_rows)
+        hot = hot_keys(counts, on, hot_rows, count_col)
+        n_hot = hot.count()
     r = right.select(*[F.col(c).alias(f"_r_{c}") for c in on],
                      *[c for c in right.columns if c not in on])
     r_on = [f"_r_{c}" for c in on]

@@ -843,10 +843,11 @@ def q_recurring_suppliers(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A file stream watches a folder; the glob picks the events table.
-    src = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    stream = (spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    # The table is one file or a folder of part files. A file stream takes a
+    # path without wildcard for a folder; [t] lets it take either.
+    path = f"{sf_dir.rstrip('/')}/events.parque"
+    stream = (spark.readStream.schema(spark.read.parquet(path + "t").schema)
+              .option("maxFilesPerTrigger", 1).parquet(path + "[t]"))
     return stream.select(
         F.col("user_id").cast("string").alias("account_id"),
         F.col("event_id").alias("txn_id"),
@@ -902,10 +903,13 @@ def q_stream_progress(spark, sf_dir):
     table; the input rows of its micro-batches add up to the table."""
     from ledgerlens.streaming import ingest
     base = scratch_path(spark, "stream-progress")
-    q = ingest.start_append(ingest.daily_totals_watermarked(_events_stream(spark, sf_dir)),
-                            f"{base}/out", f"{base}/chk")
-    q.awaitTermination()
-    prog = ingest.progress(spark, q)
-    if prog is None:
-        return spark.range(1).select(F.lit(0).cast("bigint").alias("input_rows"))
-    return prog.agg(F.coalesce(F.sum("input_rows"), F.lit(0)).cast("bigint").alias("input_rows"))
+    log = ingest.ProgressLog(spark, f"{base}/progress")
+    spark.streams.addListener(log)
+    try:
+        q = ingest.start_append(ingest.daily_totals_watermarked(_events_stream(spark, sf_dir)),
+                                f"{base}/out", f"{base}/chk")
+        q.awaitTermination()
+        prog = log.reports(q)
+    finally:
+        spark.streams.removeListener(log)
+    return prog.agg(F.sum("input_rows").cast("bigint").alias("input_rows"))

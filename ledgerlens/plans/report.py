@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from ledgerlens.operators import aggregates as agg
 from ledgerlens.operators import insights as ins
+from ledgerlens.operators.ordering import newest_first_key
 from ledgerlens.sources.sinks import to_records
 
 
@@ -48,10 +49,13 @@ def alternative_cards(df: DataFrame, keys: Sequence[str] = (), named_category: s
 
 def dashboard(categorised: DataFrame, keys: Sequence[str] = (),
               categories: Sequence[str] | None = None, persist: bool = True) -> dict[str, object]:
-    """transactions, category_totals, monthly_series, metrics, insights."""
+    """transactions (newest first), category_totals, monthly_series, metrics,
+    insights, and release: call it when the results are no longer used, it
+    gives the persisted input back."""
     df = categorised.persist(StorageLevel.MEMORY_AND_DISK) if persist else categorised
     return {
-        "transactions": to_records(df, include_category=True),
+        "release": df.unpersist if persist else lambda: df,
+        "transactions": to_records(df.orderBy(*newest_first_key()), include_category=True),
         "category_totals": agg.category_totals(df, keys),
         "monthly_series": agg.monthly_wide(df, categories, keys),
         "metrics": agg.metrics(df, keys),

@@ -9,6 +9,8 @@ missing or unreadable cache reads as empty.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,15 +49,18 @@ def empty_cache(spark: SparkSession) -> DataFrame:
 
 
 def load_cache(spark: SparkSession, root: str) -> DataFrame:
-    vs = versions(spark, root)
-    if not vs:
-        return empty_cache(spark)
-    try:
-        df = spark.read.schema(CACHE_SCHEMA).parquet(f"{root.rstrip('/')}/v={vs[-1]}")
-        df.schema  # noqa: B018 - resolve now so a corrupt folder falls back
-        return df
-    except Exception:  # noqa: BLE001
-        return empty_cache(spark)
+    """The newest complete version that can be read; empty if there is none.
+    A version is tried by counting it, which reads every file's footer and
+    no rows: one that is corrupt is passed over for the one before, so a
+    later upsert builds on the last good history."""
+    for v in reversed(versions(spark, root)):
+        df = spark.read.schema(CACHE_SCHEMA).parquet(f"{root.rstrip('/')}/v={v}")
+        try:
+            df.count()
+            return df
+        except Exception as broken:  # noqa: BLE001 - whatever a reader raises on a damaged file
+            warnings.warn(f"category cache version {v} under {root} cannot be read, trying the one before: {str(broken)[:200]}", stacklevel=2)
+    return empty_cache(spark)
 
 
 # Most new pairs broadcast into the anti-join against the old version.

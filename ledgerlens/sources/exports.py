@@ -7,7 +7,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.cleaning import display_merchant
@@ -73,16 +73,22 @@ def sniff_dialects(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
+def csv_options(multiline: bool = True) -> dict[str, object]:
+    """How exports are read, in batch and as a stream: quotes are doubled
+    inside quoted cells, and every file's header is checked by name."""
+    return {"header": True, "multiLine": multiline, "escape": '"', "enforceSchema": False, "mode": "PERMISSIVE"}
+
+
+def row_id(file: Column, cells: Sequence[str]) -> Column:
+    """Id of a row, the same in batch and stream and under any file packing:
+    a hash of its file and raw cells, by the columns' names. Rows of a file
+    that are equal in every cell share it (nothing tells them apart)."""
+    return F.xxhash64(file, *[F.col(f"`{c}`") for c in sorted(cells)])
+
+
 def _read_layout(spark: SparkSession, files: list[str], multiline: bool,
                  glob: str | None = None) -> DataFrame:
-    reader = (
-        spark.read.option("header", True)
-        .option("multiLine", multiline)
-        .option("escape", '"')
-        .option("inferSchema", False)
-        .option("enforceSchema", False)   # every file's header is checked by name
-        .option("mode", "PERMISSIVE")
-    )
+    reader = spark.read.options(**csv_options(multiline), inferSchema=False)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     raw = reader.csv(files)
@@ -93,10 +99,11 @@ def _read_layout(spark: SparkSession, files: list[str], multiline: bool,
 def _common(df: DataFrame, dialect_tag: str, account_pattern: str | None) -> DataFrame:
     acct = (F.regexp_extract(F.col("_file"), account_pattern, 1) if account_pattern
             else F.lit(""))
+    cells = [c for c in df.columns if c != "_file"]
     return (
-        df.withColumn("account_id", acct)
+        df.withColumn("txn_id", row_id(F.col("_file"), cells))
+        .withColumn("account_id", acct)
         .withColumn("source_file", F.element_at(F.split(F.col("_file"), "/"), -1))
-        .withColumn("txn_id", F.xxhash64(F.col("_file"), F.monotonically_increasing_id()))
         .withColumn("dialect", F.lit(dialect_tag))
     )
 

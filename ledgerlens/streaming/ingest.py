@@ -10,24 +10,29 @@ checkpoint there, so a restarted query resumes where it stopped.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ledgerlens.operators.classify import classify_text, rule_category
 from ledgerlens.operators.prepare import month_key, prepare
 from ledgerlens.operators.skew import BROADCAST_ROWS
-from ledgerlens.sources.exports import CSV_GLOB, normalize
+from ledgerlens.session import checkpoint_root
+from ledgerlens.sources.exports import CSV_GLOB, csv_options, normalize, row_id
 
 
 def stream_exports(spark: SparkSession, folder: str, header: Sequence[str], dialect: str,
-                   account_id: str = "", max_files_per_trigger: int | None = None) -> DataFrame:
+                   account_id: str = "", max_files_per_trigger: int | None = None,
+                   multiline: bool = True) -> DataFrame:
     """A file stream of one exact header layout. A file stream needs a
     schema and maps it by position, so each header layout gets its own
     folder; ``enforceSchema=false`` makes a file with another header fail
-    instead of being read misaligned. ``max_files_per_trigger`` bounds a
+    instead of being read misaligned. Cells are read as the batch reader
+    reads them (quoted commas, doubled quotes, line breaks), and rows get the
+    batch reader's ids. ``max_files_per_trigger`` bounds a
     micro-batch, so a backlog (also under ``availableNow``) is taken in
     several bounded batches instead of one."""
     schema = ", ".join(f"`{c}` string" for c in header)
@@ -36,16 +41,13 @@ def stream_exports(spark: SparkSession, folder: str, header: Sequence[str], dial
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     raw = (
         reader
-        .option("header", True)
-        .option("enforceSchema", False)
+        .options(**csv_options(multiline))
         .option("pathGlobFilter", CSV_GLOB)
         .csv(folder)
         .na.fill("")
-        .withColumn("account_id", F.lit(account_id))
+        .withColumn("txn_id", row_id(F.col("_metadata.file_path"), header))
         .withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-        # Row position is not available to a stream: id = hash of the file
-        # and the raw cells (identical rows share it; they are indistinguishable).
-        .withColumn("txn_id", F.xxhash64(F.col("_metadata.file_path"), *[F.col(f"`{c}`") for c in header]))
+        .withColumn("account_id", F.lit(account_id))
         .withColumn("dialect", F.lit("B" if dialect == "capital_one" else "A"))
     )
     return prepare(normalize(raw, dialect))
@@ -127,23 +129,46 @@ def latest_upserts(spark: SparkSession, sink: str, keys: Sequence[str]) -> DataF
     return log.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in vals])
 
 
-def _field(report, name):
-    try:
-        return report[name]
-    except (KeyError, TypeError):
-        return getattr(report, name, None)
-
-
-def progress(spark: SparkSession, query: StreamingQuery) -> DataFrame | None:
-    """The query's recent progress reports as rows (batch id, input rows,
-    processed rows per second, watermark)."""
-    reports = query.recentProgress
-    if not reports:
-        return None
-    rows = []
-    for p in reports:
-        event_time = _field(p, "eventTime") or {}
-        rows.append((int(_field(p, "batchId")), int(_field(p, "numInputRows") or 0),
-                     float(_field(p, "processedRowsPerSecond") or 0.0),
-                     event_time.get("watermark") if hasattr(event_time, "get") else None))
-    return spark.createDataFrame(rows, "batch_id long, input_rows long, rows_per_second double, watermark string")
+class ProgressLog(StreamingQueryListener):
+    """Every progress report of every query of the session, one JSON file
+    per micro-batch in a shared folder. (A query's own ``recentProgress``
+    keeps the newest reports only.) Register it before the query starts:
+    ``spark.streams.addListener(log)``."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        checkpoint_root(spark)
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.ended: dict[str, threading.Event] = {}
+
+    def _end(self, run_id: object) -> threading.Event:
+        return self.ended.setdefault(str(run_id), threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        self._end(event.runId)
+
+    def onQueryProgress(self, event) -> None:
+        jvm, report = self.spark._jvm, event.progress
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/run={report.runId}/batch={report.batchId}.json")
+        out = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True)
+        try:
+            out.write(bytearray(" ".join(report.json.split("\n")).encode()))
+        finally:
+            out.close()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._end(event.runId).set()
+
+    def reports(self, query: StreamingQuery, timeout: float = 60.0) -> DataFrame:
+        """The query's reports as rows (batch id, input rows, processed rows
+        per second, watermark). Reports arrive after their batch: of an ended
+        query this waits for the last one, and fails if it does not come."""
+        if not query.isActive and not self._end(query.runId).wait(timeout):
+            raise TimeoutError(f"the end of streaming run {query.runId} was not reported")
+        schema = ("batchId long, numInputRows long, processedRowsPerSecond double, eventTime struct<watermark:string>")
+        rows = self.spark.read.schema(schema).json(f"{self.folder}/run={query.runId}")
+        return rows.select(F.col("batchId").alias("batch_id"), F.coalesce("numInputRows", F.lit(0)).alias("input_rows"),
+                           F.coalesce("processedRowsPerSecond", F.lit(0.0)).alias("rows_per_second"),
+                           F.col("eventTime.watermark").alias("watermark"))
