@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.indexing import global_index
-from ledgerlens.operators.skew import BROADCAST_ROWS, HOT_ROWS, balanced_join
+from ledgerlens.operators.skew import BROADCAST_ROWS, HOT_ROWS, balanced_join, small_enough
 from ledgerlens.schema import CATEGORIES, REPLY_SCHEMA, UNCATEGORIZED
 
 # ---------------------------------------------------------------------------
@@ -109,6 +109,15 @@ def rule_category(text: Column, rules: Sequence[Rule] | None = None) -> Column:
     return F.lit(UNCATEGORIZED) if expr is None else expr.otherwise(F.lit(UNCATEGORIZED))
 
 
+def with_rule_category(df: DataFrame, rules: Sequence[Rule] | None = None, first: str | None = None) -> DataFrame:
+    """``df`` with ``category`` by rules. The lowered text is a column of its
+    own projection, so it is made once per row and not once per rule.
+    ``first`` names a column whose value, if there is one, goes before."""
+    ruled = rule_category(F.col("_rule_text"), rules)
+    return (df.withColumn("_rule_text", classify_text())
+            .withColumn("category", ruled if first is None else F.coalesce(F.col(first), ruled)).drop("_rule_text"))
+
+
 def rule_category_sql(text_sql: str, rules: Sequence[Rule] | None = None) -> str:
     """The same rules as a DuckDB CASE (oracle side)."""
     rules = sorted(rules if rules is not None else seed_rules(), key=lambda r: r.priority)
@@ -135,16 +144,11 @@ def distinct_pairs(df: DataFrame) -> DataFrame:
     return df.select(*PAIR_KEYS).distinct()
 
 
-def _pair_cond(left: DataFrame, right: DataFrame) -> Column:
-    return (left["merchant"].eqNullSafe(right["merchant"])
-            & left["parsed_description"].eqNullSafe(right["parsed_description"]))
-
-
 def cache_split(pairs: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs the cache holds, pairs it does not)."""
-    c = cache.select(*PAIR_KEYS)
-    return (pairs.join(c, _pair_cond(pairs, c), "left_semi"),
-            pairs.join(c, _pair_cond(pairs, c), "left_anti"))
+    labelled = cache_labels(pairs, cache)
+    return (labelled.filter(F.col("_hit")).select(*PAIR_KEYS),
+            labelled.filter(~F.col("_hit")).select(*PAIR_KEYS))
 
 
 def cache_labels(pairs: DataFrame, cache: DataFrame) -> DataFrame:
@@ -218,7 +222,6 @@ def taxonomy_audit(df: DataFrame) -> DataFrame:
 
 # One request line per pair, and the line before them.
 REQUEST_HEADER = "Classify these transactions:"
-LINE_TEMPLATE = '{n}. Merchant: "{m}"  Description: "{d}"'
 # Reply budget of a request, max(256, 40 × pairs) tokens.
 REPLY_BUDGET_MIN = 256
 REPLY_BUDGET_PER_ITEM = 40
@@ -407,6 +410,9 @@ def categorize(df: DataFrame, classifier: Sequence[Rule] | BatchClassifier | Non
     """Add ``category`` to every row (row count unchanged).
 
     Rules and no cache: one column expression, no shuffle.
+    Rules and a cache to read that is small enough to broadcast: one
+    map-only join, the rule column where the cache has no label; the rows
+    are read once.
     Otherwise: distinct pairs with their row counts (written once to the
     checkpoint folder) → one left join with the cache labels them (hit with
     its cached label, or miss) → classify the misses →
@@ -418,9 +424,14 @@ def categorize(df: DataFrame, classifier: Sequence[Rule] | BatchClassifier | Non
     from ledgerlens.session import checkpoint_root
     from ledgerlens.sources.cache import upsert_cache
 
-    text = classify_text()
-    if cache is None and not isinstance(classifier, BatchClassifier):
-        return df.withColumn("category", rule_category(text, classifier))
+    if not isinstance(classifier, BatchClassifier):
+        if cache is None:
+            return with_rule_category(df, classifier)
+        if cache_root is None and small_enough(cache, broadcast_rows):
+            base = df.drop("category")
+            c = F.broadcast(cache.select(F.col("merchant").alias("_m"), F.col("parsed_description").alias("_d"), F.col("category").alias("_cat")))
+            cond = base["merchant"].eqNullSafe(c["_m"]) & base["parsed_description"].eqNullSafe(c["_d"])
+            return with_rule_category(base.join(c, cond, "left"), classifier, first="_cat").drop("_m", "_d", "_cat")
 
     checkpoint_root(df.sparkSession)
     counts = df.groupBy(*PAIR_KEYS).agg(F.count(F.lit(1)).alias("count")).checkpoint(eager=True)
@@ -443,7 +454,7 @@ def categorize(df: DataFrame, classifier: Sequence[Rule] | BatchClassifier | Non
         keep = F.lit(True) if cache_failures else F.col("answered")
         new_pairs = fresh.filter(keep).select(*PAIR_KEYS, "category")
     else:
-        new_pairs = misses.withColumn("category", rule_category(text, classifier))
+        new_pairs = with_rule_category(misses, classifier)
     # Write once before the two uses below (cache upsert, attach).
     new_pairs = new_pairs.checkpoint(eager=True)
 

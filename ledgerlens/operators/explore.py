@@ -56,10 +56,10 @@ def toggle_sort(current: str, direction: str, clicked: str) -> tuple[str, str]:
     return clicked, default_direction(clicked)
 
 
-def sort_key(column: str = "date", direction: str = "desc", locale: bool = False) -> list[Column]:
+def sort_key(column: str = "date", direction: str = "desc", locale: bool = True) -> list[Column]:
     """O3: ordering by one of date/merchant/amount/category, then txn_id.
-    ``locale=True`` compares text under the UNICODE collation (a, A, b, B),
-    like the browser's localeCompare; the default is binary order."""
+    Text is compared under the UNICODE collation (a, A, b, B), like the
+    browser's localeCompare; ``locale=False`` gives binary order."""
     if column not in SORT_COLUMNS:
         raise ValueError(f"cannot sort by {column!r}; choose one of {SORT_COLUMNS}")
     c = F.col(column)
@@ -70,13 +70,13 @@ def sort_key(column: str = "date", direction: str = "desc", locale: bool = False
 
 
 def sort_transactions(df: DataFrame, column: str = "date", direction: str | None = None,
-                      locale: bool = False) -> DataFrame:
+                      locale: bool = True) -> DataFrame:
     direction = direction or ("desc" if column == "date" else default_direction(column))
     return df.orderBy(*sort_key(column, direction, locale))
 
 
 def page(df: DataFrame, number: int = 1, column: str = "date", direction: str | None = None,
-         size: int = PAGE_SIZE, locale: bool = False) -> DataFrame:
+         size: int = PAGE_SIZE, locale: bool = True) -> DataFrame:
     """Page ``number`` (1-based) of ``size`` rows under the chosen sort.
     Plans as a top-(offset+size) per partition plus a merge, so shallow
     pages never sort the whole set; use ``page_after`` for deep pages."""
@@ -90,7 +90,7 @@ def page(df: DataFrame, number: int = 1, column: str = "date", direction: str |
 
 
 def page_after(df: DataFrame, last: dict, column: str = "date", direction: str = "desc",
-               size: int = PAGE_SIZE, locale: bool = False, shown: int = 1) -> DataFrame:
+               size: int = PAGE_SIZE, locale: bool = True, shown: int = 1) -> DataFrame:
     """Keyset page: the ``size`` rows after the row ``last`` (its sort value,
     which may be None, and txn_id). Cost is independent of how deep the page
     is. NULLs come first ascending and last descending, as in ``page``. Rows

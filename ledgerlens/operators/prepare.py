@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.cleaning import clean_description
 from ledgerlens.schema import PREVIEW_ROWS, STATUS_POSTED, TYPE_PURCHASE
 from ledgerlens.operators.ordering import newest_first_key, top_n_per_key
+from ledgerlens.operators.skew import small_enough
 
 
 def posted_purchases(df: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def exclude_sources(df: DataFrame, sources: Sequence[str] | DataFrame,
     a skewed source partition."""
     if isinstance(sources, DataFrame):
         names = sources.select(F.col(column)).distinct()
-        if names.count() <= BROADCAST_NAMES:
+        if small_enough(names, BROADCAST_NAMES):
             names = F.broadcast(names)
         return df.join(names, column, "left_anti")
     if not sources:

@@ -28,6 +28,8 @@ HOT_ROWS = 2_000_000
 # Largest lookup side (rows) that is broadcast whole; beyond it the join is
 # a salted sort-merge join.
 BROADCAST_ROWS = 1_000_000
+# And its largest size in bytes of cell text.
+BROADCAST_BYTES = 256 << 20
 # Largest hot-key table that is broadcast (a guard, far above the bound
 # total/HOT_ROWS of any realistic input).
 MAX_HOT_KEYS = 200_000
@@ -36,6 +38,19 @@ SALT = "_salt"
 BUCKETS = "_buckets"
 
 
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df`` and bytes of its cells as text, by one aggregate."""
+    cells = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in df.columns]
+    n, size = df.agg(F.count(F.lit(1)), F.sum(reduce(lambda a, b: a + b, cells))).first()
+    return n, size or 0
+
+
+def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` may be broadcast: both its rows and its bytes are counted."""
+    n, size = measured(df)
+    return n <= max_rows and size <= max_bytes
+
+
 def hot_keys(counts: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS,
              count_col: str = "count") -> DataFrame:
     """Keys of ``counts`` with more than ``hot_rows`` rows and the number of
@@ -63,14 +78,15 @@ def balanced_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str
     """``left`` joined with ``right`` on the null-safe equality of ``on``
     (``how`` in left, inner, left_semi, left_anti), never one task per key.
 
-    ``right`` with at most ``broadcast_rows`` rows (counted here, so it
-    should be materialised or cheap to count) is broadcast. Otherwise the
+    ``right`` with at most ``broadcast_rows`` rows and ``BROADCAST_BYTES``
+    bytes (counted here, so it should be materialised or cheap to read) is
+    broadcast. Otherwise the
     hot keys of ``left`` are salted: ``counts`` holds the row count of every
     key of ``left`` (also counted here); ``salt_by`` are columns of ``left``
     that vary within a key (e.g. a transaction id). ``right``'s columns
     other than ``on`` must not clash with ``left``'s."""
     on = list(on)
-    if right.count() <= broadcast_rows:
+    if small_enough(right, broadcast_rows):
         r = right.select(*[F.col(c).alias(f"_r_{c}") for c in on],
                          *[c for c in right.columns if c not in on])
         r_on = [f"_r_{c}" for c in on]

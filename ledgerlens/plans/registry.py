@@ -20,9 +20,10 @@ from ledgerlens.operators import classify as cls
 from ledgerlens.operators import explore as ex
 from ledgerlens.operators import insights as ins
 from ledgerlens.operators import prepare as prep
+from ledgerlens.plans.report import dashboard
 from ledgerlens.schema import CATEGORIES
 from ledgerlens.session import scratch_path
-from ledgerlens.sources import exports, sinks
+from ledgerlens.sources import cache, exports, sinks
 from ledgerlens.sources.feeds import (
     FEED_E_SQL, FEED_L_SQL, FEED_O_SQL, feed_events, feed_lineitem, feed_orders,
 )
@@ -203,7 +204,25 @@ def q_exclude_sources(spark, sf_dir):
         "source_file", "txn_id", F.col("amount").cast("double").alias("amount"))
 
 
-@register("preview_top12", _with(*O_PREPARED) + """
+@register("exclude_sources_table", _with(*O_ALL) + """
+SELECT source_file, txn_id, CAST(amount AS DOUBLE) AS amount FROM feed_o
+WHERE source_file NOT IN (SELECT source_file FROM feed_o WHERE merchant IN ('5-LOW', '1-URGENT'))""")
+def q_exclude_sources_table(spark, sf_dir):
+    """S7 with a table of names."""
+    o = feed_orders(spark, sf_dir)
+    gone = o.filter(F.col("merchant").isin("5-LOW", "1-URGENT")).select("source_file")
+    return prep.exclude_sources(o, gone).select("source_file", "txn_id", F.col("amount").cast("double").alias("amount"))
+
+
+@register("positive_only", _with(*O_ALL) + """
+SELECT txn_id, date, CAST(amount AS DOUBLE) AS amount FROM feed_o WHERE status <> 'Pending' AND amount > 0""")
+def q_positive_only(spark, sf_dir):
+    """P8 on dialect-B rows, where a blank debit reads as amount 0."""
+    out = prep.positive_only(exports.normalize_b(orders_as_dialect_b(spark, sf_dir)))
+    return out.select("txn_id", "date", F.col("amount").cast("double").alias("amount"))
+
+
+@register("preview_top12",_with(*O_PREPARED) + """
 SELECT txn_id, date, merchant, description, CAST(amount AS DOUBLE) AS amount FROM q
 ORDER BY date DESC NULLS LAST, txn_id LIMIT 12""")
 def q_preview_top12(spark, sf_dir):
@@ -560,7 +579,44 @@ def q_sort_page_merchant(spark, sf_dir):
         "txn_id", "merchant", F.col("amount").cast("double").alias("amount"))
 
 
-@register("page_count", _with(*O_POSTED) + """
+@register("sort_page_locale", _with(*O_POSTED, ("x", """
+SELECT txn_id, CASE WHEN txn_id % 2 = 0 THEN lower(merchant) ELSE merchant END AS merchant, amount FROM p""")) + """
+SELECT txn_id, merchant, CAST(amount AS DOUBLE) AS amount FROM x
+ORDER BY lower(merchant), merchant DESC, txn_id LIMIT 400 OFFSET 400""")
+def q_sort_page_locale(spark, sf_dir):
+    """O3 on text of mixed case: a letter's lower case goes before its upper case."""
+    mixed = o_posted(spark, sf_dir).withColumn(
+        "merchant", F.when(F.col("txn_id") % 2 == 0, F.lower("merchant")).otherwise(F.col("merchant")))
+    return ex.page(mixed, 2, "merchant", "asc", size=400).select(
+        "txn_id", "merchant", F.col("amount").cast("double").alias("amount"))
+
+
+UNDATED = ("x", "SELECT txn_id, CASE WHEN txn_id % 3 <> 0 THEN date END AS date, amount FROM p")
+
+
+def _page_after_first(spark: SparkSession, sf_dir: str, direction: str) -> DataFrame:
+    """Second page by the key of the first one's last row; a third of the rows have no date."""
+    rows = o_posted(spark, sf_dir).withColumn("date", F.when(F.col("txn_id") % 3 != 0, F.col("date")))
+    shown = ex.page(rows, 1, "date", direction).select("txn_id", "date").collect()  # one page
+    if not shown:
+        return rows.select("txn_id", "date", F.col("amount").cast("double").alias("amount"))
+    return ex.page_after(rows, shown[-1].asDict(), "date", direction).select(
+        "txn_id", "date", F.col("amount").cast("double").alias("amount"))
+
+
+@register("page_after_desc", _with(*O_POSTED, UNDATED) + """
+SELECT txn_id, date, CAST(amount AS DOUBLE) AS amount FROM x ORDER BY date DESC NULLS LAST, txn_id LIMIT 25 OFFSET 25""")
+def q_page_after_desc(spark, sf_dir):
+    return _page_after_first(spark, sf_dir, "desc")
+
+
+@register("page_after_asc", _with(*O_POSTED, UNDATED) + """
+SELECT txn_id, date, CAST(amount AS DOUBLE) AS amount FROM x ORDER BY date ASC NULLS FIRST, txn_id LIMIT 25 OFFSET 25""")
+def q_page_after_asc(spark, sf_dir):
+    return _page_after_first(spark, sf_dir, "asc")
+
+
+@register("page_count",_with(*O_POSTED) + """
 SELECT account_id, COUNT(*) AS rows, greatest(1, CAST(ceil(COUNT(*) / 25) AS BIGINT)) AS pages
 FROM p GROUP BY account_id""")
 def q_page_count(spark, sf_dir):
@@ -591,6 +647,26 @@ def q_category_share_rules(spark, sf_dir):
     return agg.category_share(out)
 
 
+@register("category_share_rules_by_account", _with(*O_RULED, ("g", """
+SELECT account_id, rule_cat AS category, SUM(amount) AS s FROM k GROUP BY ALL""")) + """
+SELECT account_id, category, CAST(s AS DOUBLE) AS amount,
+       CAST(s AS DOUBLE) / CAST(SUM(s) OVER (PARTITION BY account_id) AS DOUBLE) * 100 AS pct,
+       ROW_NUMBER() OVER (PARTITION BY account_id ORDER BY s DESC, category) AS rank
+FROM g""")
+def q_category_share_rules_by_account(spark, sf_dir):
+    """A3/A4 keyed, with several categories per account."""
+    out = cls.categorize(o_prepared(spark, sf_dir).drop("category"), cls.seed_rules())
+    return agg.category_share(out, ACCT)
+
+
+@register("dashboard_metrics", _with(*O_PREPARED, ("p2", f"SELECT account_id, amount, {rule_sql('merchant', 'parsed_description')} AS category FROM q"))
+          + METRICS_SQL.format(keys_sel="account_id,", group="GROUP BY account_id").replace("FROM p ", "FROM p2 "))
+def q_dashboard_metrics(spark, sf_dir):
+    """The metrics of the dashboard bundle over the categorised set."""
+    out = cls.categorize(o_prepared(spark, sf_dir).drop("category"), cls.seed_rules())
+    return dashboard(out, ACCT, CATEGORIES, persist=False)["metrics"]
+
+
 @register("coverage", _with(*O_RULED, ("pp", """
 SELECT account_id, merchant, parsed_description, bool_or(rule_cat <> 'Uncategorized') AS ok FROM k GROUP BY ALL""")) + """
 SELECT account_id, COUNT(*) FILTER (WHERE ok) AS done, COUNT(*) AS total FROM pp GROUP BY account_id""")
@@ -609,6 +685,17 @@ def q_taxonomy_audit(spark, sf_dir):
     return cls.taxonomy_audit(o_posted(spark, sf_dir))
 
 
+@register("taxonomy_audit_mixed", _with(*O_RULED, ("x", "SELECT CASE WHEN txn_id % 3 = 0 THEN category ELSE rule_cat END AS category FROM k")) + f"""
+SELECT category, COUNT(*) AS count FROM x
+WHERE category NOT IN ({', '.join("'" + c + "'" for c in [*CATEGORIES, 'Uncategorized'])}) GROUP BY category""")
+def q_taxonomy_audit_mixed(spark, sf_dir):
+    """U8 where two thirds of the rows carry labels of the taxonomy."""
+    prepared = o_prepared(spark, sf_dir).withColumnRenamed("category", "segment")
+    out = cls.with_rule_category(prepared).withColumn(
+        "category", F.when(F.col("txn_id") % 3 == 0, F.col("segment")).otherwise(F.col("category")))
+    return cls.taxonomy_audit(out)
+
+
 def _cache_from_rules(prepared: DataFrame) -> DataFrame:
     """A cache built from the pairs of the 'HIGH'-priority orders: the
     pairs every later run finds already labelled."""
@@ -625,17 +712,33 @@ FROM pairs""")
 def q_cache_split(spark, sf_dir):
     prepared = o_prepared(spark, sf_dir)
     pairs = cls.distinct_pairs(prepared)
-    hits, misses = cls.cache_split(pairs, _cache_from_rules(prepared))
-    return hits.withColumn("cached", F.lit(True)).unionByName(misses.withColumn("cached", F.lit(False)))
+    return cls.cache_labels(pairs, _cache_from_rules(prepared)).select(*cls.PAIR_KEYS, F.col("_hit").alias("cached"))
+
+
+@register("cache_upsert", _with(*O_RULED, ("c", "SELECT DISTINCT merchant, parsed_description, rule_cat FROM k")) + """
+SELECT merchant, parsed_description, CASE WHEN merchant = '2-HIGH' THEN 'Travel' ELSE rule_cat END AS category
+FROM c WHERE merchant <> '5-LOW'""")
+def q_cache_upsert(spark, sf_dir):
+    """Two upserts into a versioned cache. The second one labels the
+    '2-HIGH' pairs anew and adds those of '3-MEDIUM'; the newest label wins."""
+    ruled = cls.with_rule_category(cls.distinct_pairs(o_prepared(spark, sf_dir)))
+    root = scratch_path(spark, "category-cache")
+    cache.upsert_cache(spark, root, ruled.filter(~F.col("merchant").isin("3-MEDIUM", "5-LOW")))
+    later = ruled.filter(F.col("merchant").isin("2-HIGH", "3-MEDIUM"))
+    cache.upsert_cache(spark, root, later.withColumn(
+        "category", F.when(F.col("merchant") == "2-HIGH", F.lit("Travel")).otherwise(F.col("category"))))
+    return cache.load_cache(spark, root)
 
 
 @register("categorize_cached", _with(*O_RULED) + """
 SELECT txn_id, merchant, parsed_description, rule_cat AS category FROM k""")
 def q_categorize_cached(spark, sf_dir):
-    """U1 with a cache: hits come from the cache, misses from the rules,
-    then every row is joined to its pair's label."""
+    """U1 with a cache that an earlier run has written: its label where it
+    has one, the rules elsewhere."""
     prepared = o_prepared(spark, sf_dir).drop("category")
-    out = cls.categorize(prepared, cls.seed_rules(), cache=_cache_from_rules(prepared))
+    root = scratch_path(spark, "category-cache")
+    cache.upsert_cache(spark, root, _cache_from_rules(prepared))
+    out = cls.categorize(prepared, cls.seed_rules(), cache=cache.load_cache(spark, root))
     return out.select("txn_id", "merchant", "parsed_description", "category")
 
 
@@ -753,16 +856,18 @@ def q_records(spark, sf_dir):
 # the shared scratch folder, read back by the export reader / file stream.
 # ---------------------------------------------------------------------------
 
-EXPORT_A_HEADER = ["Date", "Amount", "Merchant", "Description", "Status", "Type"]
+EXPORT_A_HEADER = ["Date", "Amount", "Cardholder", "Merchant", "Description", "Status", "Type"]
+EXPORT_B_HEADER = ["Transaction Date", "Posted Date", "Card No.", "Description", "Category", "Debit"]
 
 
 def _write_exports(spark: SparkSession, sf_dir: str) -> str:
-    """Dialect-A files (no Time/Cardholder columns) and dialect-B files
-    (extra card-number column) side by side, with one header per file."""
+    """Dialect-A files (no Time column) and dialect-B files (extra
+    card-number column) side by side, with one header per file. The cells
+    of Cardholder and Card No. hold commas, quotes and line breaks."""
     base = scratch_path(spark, "exports")
-    a = orders_as_dialect_a(spark, sf_dir).select(*EXPORT_A_HEADER)
-    b = orders_as_dialect_b(spark, sf_dir).select(
-        "Transaction Date", "Posted Date", F.lit("0000").alias("Card No."), "Description", "Category", "Debit")
+    odd = F.concat(F.lit('Doe, "J"\n'), F.col("txn_id").cast("string"), F.lit(",x"))
+    a = orders_as_dialect_a(spark, sf_dir).withColumn("Cardholder", odd).select(*EXPORT_A_HEADER)
+    b = orders_as_dialect_b(spark, sf_dir).withColumn("Card No.", odd).select(*[F.col(f"`{c}`") for c in EXPORT_B_HEADER])
     opts = {"header": True, "escape": '"', "quoteAll": False,
             "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     a.write.options(**opts).csv(f"{base}/acct=a")
@@ -788,15 +893,44 @@ def q_read_exports_roundtrip(spark, sf_dir):
                       "merchant", "description", "status", "type")
 
 
-@register("stream_exports_running", _with(*O_PREPARED, ("k", f"SELECT *, {rule_sql('merchant', 'parsed_description')} AS rule_cat FROM q")) + """
+B_PREPARED = (("b", f"""
+SELECT date, amount, {display_sql('description')} AS merchant, description FROM feed_o
+WHERE status <> 'Pending' AND amount > 0 AND merchant <> '5-LOW'"""),
+              ("qb", f"SELECT *, strftime(date, '%Y-%m') AS month, {clean_sql('merchant', 'description')} AS parsed_description FROM b"))
+
+
+def _export_stream(spark: SparkSession, base: str, account: str, header: list[str], dialect: str) -> DataFrame:
+    from ledgerlens.streaming import ingest
+    return ingest.stream_exports(spark, f"{base}/acct={account}", header, dialect)
+
+
+@register("stream_attach", _with(*O_RULED, ("x", "SELECT CASE WHEN merchant = '2-HIGH' THEN rule_cat ELSE 'Uncategorized' END AS category, amount FROM k")) + """
+SELECT category, CAST(SUM(amount) AS DOUBLE) AS amount, COUNT(*) AS count FROM x GROUP BY category""")
+def q_stream_attach(spark, sf_dir):
+    """R2: a stream of dialect-A exports joined with a cache that an earlier
+    run has written; pairs that it lacks stay Uncategorized."""
+    from ledgerlens.streaming import ingest
+    root = scratch_path(spark, "category-cache")
+    cache.upsert_cache(spark, root, _cache_from_rules(o_prepared(spark, sf_dir)))
+    rows = _export_stream(spark, _write_exports(spark, sf_dir), "a", EXPORT_A_HEADER, exports.DIALECT_A)
+    out = scratch_path(spark, "stream-attach")
+    q = ingest.start_append(ingest.categorize_stream(rows, cache.load_cache(spark, root)).select("category", "amount"), f"{out}/out", f"{out}/chk")
+    q.awaitTermination()
+    return agg.category_totals(spark.read.parquet(f"{out}/out"))
+
+
+@register("stream_exports_running", _with(*O_PREPARED, *B_PREPARED, ("k", f"""
+SELECT month, {rule_sql('merchant', 'parsed_description')} AS rule_cat, amount FROM q
+UNION ALL SELECT month, {rule_sql('merchant', 'parsed_description')} AS rule_cat, amount FROM qb""")) + """
 SELECT month, rule_cat AS category, CAST(SUM(amount) AS DOUBLE) AS amount, COUNT(*) AS count FROM k GROUP BY ALL""")
 def q_stream_exports_running(spark, sf_dir):
-    """The dialect-A export files as a file stream, cleaned and
-    rule-categorised row by row, running month × category totals."""
+    """The export files of both dialects as file streams, cleaned
+    and rule-categorised row by row, running month × category totals."""
     from ledgerlens.streaming import ingest
     base = _write_exports(spark, sf_dir)
-    stream = ingest.categorize_stream(
-        ingest.stream_exports(spark, f"{base}/acct=a", EXPORT_A_HEADER, exports.DIALECT_A))
+    rows = [_export_stream(spark, base, *layout) for layout in (
+        ("a", EXPORT_A_HEADER, exports.DIALECT_A), ("b", EXPORT_B_HEADER, exports.DIALECT_B))]
+    stream = ingest.categorize_stream(rows[0].unionByName(rows[1]))
     out_base = scratch_path(spark, "stream-exports")
     q = ingest.start_upserts(ingest.running_totals(stream), f"{out_base}/out", f"{out_base}/chk")
     q.awaitTermination()

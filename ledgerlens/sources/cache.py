@@ -14,6 +14,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.skew import BROADCAST_BYTES, measured
 from ledgerlens.schema import CACHE_SCHEMA
 
 PAIR_KEYS = ["merchant", "parsed_description"]
@@ -81,10 +82,10 @@ def upsert_cache(spark: SparkSession, root: str, new_pairs: DataFrame) -> int:
     old = load_cache(spark, root)
     fresh = new_pairs.select(*PAIR_KEYS, "category").dropDuplicates(PAIR_KEYS)
     probe = fresh.select(F.col("merchant").alias("_m"), F.col("parsed_description").alias("_d"))
-    n_new = probe.count()
+    n_new, size = measured(probe)
     if n_new == 0 and vs:
         return vs[-1]   # nothing to add (every pair was cached): no rewrite
-    if n_new <= BROADCAST_PAIRS:
+    if n_new <= BROADCAST_PAIRS and size <= BROADCAST_BYTES:
         probe = F.broadcast(probe)
     cond = old["merchant"].eqNullSafe(probe["_m"]) & old["parsed_description"].eqNullSafe(probe["_d"])
     kept = old.join(probe, cond, "left_anti")
@@ -92,7 +93,3 @@ def upsert_cache(spark: SparkSession, root: str, new_pairs: DataFrame) -> int:
     nxt = (vs[-1] + 1) if vs else 1
     merged.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/v={nxt}")
     return nxt
-
-
-def cache_lookup(cache: DataFrame) -> DataFrame:
-    return cache.select(*PAIR_KEYS, F.col("category"))

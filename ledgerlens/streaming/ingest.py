@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ledgerlens.operators.classify import classify_text, rule_category
+from ledgerlens.operators.classify import with_rule_category
 from ledgerlens.operators.prepare import month_key, prepare
-from ledgerlens.operators.skew import BROADCAST_ROWS
+from ledgerlens.operators.skew import BROADCAST_ROWS, small_enough
 from ledgerlens.session import checkpoint_root
 from ledgerlens.sources.exports import CSV_GLOB, csv_options, normalize, row_id
 
@@ -63,10 +63,10 @@ def categorize_stream(df: DataFrame, mapping: DataFrame | None = None,
     again in every micro-batch — keep such a cache's pairs to those a feed
     can meet, or categorise in batch."""
     if mapping is None:
-        return df.withColumn("category", rule_category(classify_text()))
+        return with_rule_category(df)
     m = mapping.select(F.col("merchant").alias("_m"), F.col("parsed_description").alias("_d"),
                        F.col("category").alias("_cat"))
-    if m.count() <= broadcast_rows:
+    if small_enough(m, broadcast_rows):
         m = F.broadcast(m)
     cond = df["merchant"].eqNullSafe(m["_m"]) & df["parsed_description"].eqNullSafe(m["_d"])
     return (df.join(m, cond, "left")

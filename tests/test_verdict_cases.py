@@ -118,6 +118,36 @@ def test_merchant_statistics_without_unknown_amounts(txns):
     assert r["avg"] == pytest.approx(17 / 3) and r.distinct_amounts == 2 and r.std_samp == pytest.approx(1.1547005)
 
 
+def test_deviations_agree_with_the_built_in_ones(spark, txns):
+    from pyspark.sql import functions as F
+
+    df = txns([("x", i, "2024-01-05", Decimal(100 + i * i % 17), f"m{i % 4}", "d", "c") for i in range(60)])
+    want = {r["merchant"]: r for r in df.groupBy("merchant").agg(F.stddev_pop("amount").alias("p"), F.stddev_samp("amount").alias("s")).collect()}
+    for r in ins.merchant_stats(df).collect():
+        assert r["std_pop"] == pytest.approx(want[r["name"]].p) and r["std_samp"] == pytest.approx(want[r["name"]].s)
+
+
+def test_text_sorts_as_in_the_browser_by_default(spark):
+    df = spark.createDataFrame([(1, "B"), (2, "a"), (3, "b"), (4, "A")], "txn_id long, merchant string")
+    assert [r.merchant for r in ex.sort_transactions(df, "merchant").collect()] == ["a", "A", "b", "B"]
+    assert [r.merchant for r in ex.sort_transactions(df, "merchant", locale=False).collect()] == ["A", "B", "a", "b"]
+
+
+def test_lookup_side_is_bounded_by_bytes(spark):
+    wide = spark.range(10).selectExpr("id AS k", "repeat('x', 1000) AS t")
+    assert skew.small_enough(wide, 10, 20_000) and not skew.small_enough(wide, 10, 9_000) and not skew.small_enough(wide, 9, 20_000)
+
+
+def test_cached_label_goes_before_the_rules(spark, txns):
+    df = txns([("x", 1, "2024-01-05", 1, "Shell", "shell oil", "c"), ("x", 2, "2024-01-05", 1, "Lyft", "lyft", "c")]).withColumnRenamed("description", "parsed_description")
+    known = spark.createDataFrame([("Shell", "shell oil", "Travel")], "merchant string, parsed_description string, category string")
+    for rows in (10, 0):  # broadcast, and the pairs' path
+        got = cls.categorize(df, cache=known, broadcast_rows=rows)
+        assert {r.txn_id: r.category for r in got.collect()} == {1: "Travel", 2: "Transport"}
+    hits, misses = cls.cache_split(cls.distinct_pairs(df), known)
+    assert [r.merchant for r in hits.collect()] == ["Shell"] and [r.merchant for r in misses.collect()] == ["Lyft"]
+
+
 def test_dashboard_lists_newest_first_and_releases(spark, txns):
     df = txns([("x", i, f"2024-01-0{1 + (i * 2) % 5}", 1, "m", "d", "c") for i in range(5)])
     board = dashboard(df)
