@@ -1,8 +1,11 @@
 """Named queries over the driver's tables and their DuckDB oracles.
 
-Each entry of ``QUERIES`` takes ``(spark, sf_dir)`` and returns a lazy
-DataFrame built from ledgerlens operators over whole tables; ``ORACLES``
-holds independent SQL for the same answer. Names and types match: sums as
+Each entry of ``QUERIES`` takes ``(spark, sf_dir)`` and returns a DataFrame
+built from ledgerlens operators over whole tables. Most are lazy; those that
+classify pairs, use the cache, page by key, write exports or run a stream do
+jobs while they are built. ``ORACLES`` holds SQL for the same answer; the
+cleaning and rule oracles share the fixed patterns, the recurring-charge ones
+the formula of the deviation (unit tests check both otherwise). Names and types match: sums as
 DOUBLE from exact decimals, counts as BIGINT, days as DATE.
 """
 
@@ -21,7 +24,7 @@ from ledgerlens.operators import explore as ex
 from ledgerlens.operators import insights as ins
 from ledgerlens.operators import prepare as prep
 from ledgerlens.plans.report import dashboard
-from ledgerlens.schema import CATEGORIES
+from ledgerlens.schema import CATEGORIES, REPLY_SCHEMA
 from ledgerlens.session import scratch_path
 from ledgerlens.sources import cache, exports, sinks
 from ledgerlens.sources.feeds import (
@@ -768,12 +771,16 @@ FROM bt""")
 def q_parse_replies(spark, sf_dir):
     """Replies derived from the data: every 7th batch (id ≡ 3) comes back
     wrapped in non-JSON text (malformed), and in every batch the 5th echo
-    alters the merchant name; both leave their pairs Uncategorized."""
+    alters the merchant name; both leave their pairs Uncategorized. Every
+    pair is echoed twice, with another label at first: the last one counts."""
     batched = cls.assign_batches(cls.distinct_pairs(o_prepared(spark, sf_dir)), 20)
     echoed = batched.withColumn(
         "merchant", F.when(F.col("position") == 5, F.concat(F.lit("ALTERED "), F.col("merchant")))
         .otherwise(F.col("merchant")))
-    replies = cls.rule_replies(echoed)
+    said = cls.rule_replies(echoed).withColumn("said", F.from_json("reply", REPLY_SCHEMA)["results"])
+    first = F.transform("said", lambda e: F.struct(e["merchant"].alias("merchant"), e["description"].alias("description"), F.lit("Travel").alias("category")))
+    last = F.transform("said", lambda e: F.struct(e["merchant"].alias("merchant"), e["description"].alias("description"), e["category"].alias("category")))
+    replies = said.select("batch_id", F.to_json(F.struct(F.concat(first, last).alias("results"))).alias("reply"))
     damaged = replies.select(
         "batch_id",
         F.when(F.col("batch_id") % 7 == 3, F.concat(F.lit("<error>"), F.col("reply"), F.lit("</error>")))
