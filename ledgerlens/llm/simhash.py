@@ -6,9 +6,13 @@ shingle hashes. Documents link when their fingerprints differ in at most
 ``max_bits`` bits.
 
 Search: equal fingerprints are folded first. Two fingerprints within d bits
-agree on one of d + 1 bit blocks, so each distinct fingerprint goes to d + 1
-buckets (block, value): the work is dealt by key and no bucket holds more
-than its distinct fingerprints. In a bucket the fingerprints are sorted by
+agree on a of d + a bit blocks, so each distinct fingerprint goes to one
+bucket (mask, value) per choice of a blocks; a is the least that leaves
+``BUCKET_ROWS`` to a bucket if values are even (1 up to 2**28 fingerprints).
+A bucket that holds more is cut at quantiles of its Gray rank into chunks,
+the uppermost nodes: chunk pairs whose shared bits differ in more than d
+places are dropped, each other pair is a bucket of its own, so a task's
+bucket is bounded. In a bucket the fingerprints are sorted by
 Gray rank; nodes of ``FAN`` neighbours keep the bits all members share (mask
 and pattern), upper nodes the bits all children share. Node pairs whose
 shared bits already differ in more than d places are dropped with all the
@@ -24,18 +28,21 @@ empty table gives an empty result; repeated rows are grouped like copies.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import components, cut, ship_by_value, text_buffer
+from ledgerlens.llm.common import components, cut, ship_by_value, text_buffer, written
 
 SHINGLE = 4
 MAX_BITS = 4
 FAN = 16
+#: Fingerprints of a bucket that a task sorts; larger buckets are cut into chunks of so many.
+BUCKET_ROWS = 1 << 16
 #: Node pairs that are looked at together.
 FRONT = 1 << 15
 #: Bits of each byte value, the lowest first.
@@ -157,24 +164,77 @@ def bucket_links(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]
     return fp[moved], fp[label[moved]]
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def block_masks(max_bits: int, agree: int) -> list[int]:
+    """Masks (as signed longs) of all choices of ``agree`` out of
+    ``max_bits + agree`` bit blocks: two fingerprints within ``max_bits``
+    bits are equal under one of them."""
+    parts = max_bits + agree
+    edge = [round(64 * k / parts) for k in range(parts + 1)]
+    masks = [sum(c) for c in combinations([(1 << b) - (1 << a) for a, b in zip(edge, edge[1:])], agree)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def agreeing_blocks(rows: int, max_bits: int, bucket_rows: int) -> int:
+    """The least number of agreeing blocks that deals ``rows`` even
+    fingerprints into buckets of at most ``bucket_rows``."""
+    agree = 1
+    while rows >> (64 * agree // (max_bits + agree)) > bucket_rows:
+        agree += 1
+    return agree
+
+
+def _gray(fp: Column) -> Column:
+    """``gray_rank`` as a column (signed)."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, shift))
+    return fp
+
+
+def buckets(distinct: DataFrame, max_bits: int, bucket_rows: int) -> DataFrame:
+    """(mask, value, part, fp): the buckets' rows; a bucket of more than
+    ``bucket_rows`` has one part per pair of chunks that may hold links."""
+    masks = block_masks(max_bits, agreeing_blocks(distinct.count(), max_bits, bucket_rows))
+    keys = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("value")) for m in masks])
+    dealt = distinct.select("fp", F.explode(keys).alias("k")).select("k.mask", "k.value", "fp")
+    large = written(dealt.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows), "large-buckets")
+    small = dealt.join(large, ["mask", "value"], "left_anti").select("mask", "value", F.lit(0).cast("long").alias("part"), "fp")
+    if large.isEmpty():
+        return small
+    # sorted by signed Gray rank: the halves trade places, neighbours stay neighbours
+    ranked = dealt.join(large, ["mask", "value"]).withColumn("rank", _gray(F.col("fp")))
+    most = large.agg(F.max("n")).first()[0]
+    chunks = -(-most // bucket_rows)
+    sketch = F.percentile_approx("rank", [k / chunks for k in range(1, chunks)], max(10_000, 100 * chunks))
+    edges = ranked.groupBy("mask", "value").agg(sketch.alias("edges"))
+    chunk = F.size(F.filter("edges", lambda e: e < F.col("rank"))).cast("long")
+    placed = written(ranked.join(edges, ["mask", "value"]).select("mask", "value", chunk.alias("chunk"), "fp"), "chunks")
+    nodes = placed.groupBy("mask", "value", "chunk").agg(
+        F.bit_and("fp").alias("ones"), F.bitwise_not(F.bit_and("fp").bitwiseXOR(F.bit_or("fp"))).alias("shared"))
+    left, right = (nodes.select("mask", "value", *[F.col(c).alias(c + side) for c in ("chunk", "ones", "shared")]) for side in "12")
+    apart = F.bit_count(F.col("ones1").bitwiseXOR(F.col("ones2")).bitwiseAND(F.col("shared1")).bitwiseAND(F.col("shared2")))
+    pairs = left.join(right, ["mask", "value"]).where((F.col("chunk1") <= F.col("chunk2")) & (apart <= max_bits))
+    parts = pairs.select("mask", "value", F.shiftleft("chunk1", 32).bitwiseOR(F.col("chunk2")).alias("part"),
+                         F.explode(F.array_distinct(F.array("chunk1", "chunk2"))).alias("chunk"))
+    return small.unionByName(placed.join(parts, ["mask", "value", "chunk"]).select("mask", "value", "part", "fp"))
+
+
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(src, dst) links that connect all distinct fingerprints ``fp`` within
     ``max_bits`` bits of each other (a spanning forest per bucket)."""
     ship_by_value()
-    parts = max_bits + 1
-    edge = [round(64 * k / parts) for k in range(parts + 1)]
-    keys = F.array(*[F.struct(F.lit(k).alias("block"), F.expr(f"shiftrightunsigned(fp, {a}) & {(1 << (b - a)) - 1}L").alias("value"))
-                     for k, (a, b) in enumerate(zip(edge, edge[1:]))])
-    dealt = (distinct.select("fp", F.explode(keys).alias("k")).select("k.block", "k.value", "fp")
-             .repartition("block", "value").sortWithinPartitions("block", "value"))
+    key = ["mask", "value", "part"]
+    dealt = buckets(distinct, max_bits, bucket_rows).repartition(*key).sortWithinPartitions(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.empty(0, np.int64), np.empty(0, np.uint64))
+        held = np.empty((4, 0), np.int64)  # mask, value, part and fp of the bucket that is not over
+
+        def cuts(rows: np.ndarray) -> np.ndarray:
+            return np.flatnonzero(np.r_[True, (rows[:3, 1:] != rows[:3, :-1]).any(0)])
 
-        def solve(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            ends, src, dst = np.r_[cuts[1:], len(key)], [], []
-            for a, b in zip(cuts.tolist(), ends.tolist()):
+        def solve(rows: np.ndarray) -> pa.RecordBatch:
+            at, src, dst = cuts(rows) if rows.shape[1] else np.empty(0, np.int64), [], []
+            fp = rows[3].view(np.uint64)
+            for a, b in zip(at.tolist(), [*at[1:].tolist(), len(fp)]):
                 if b - a > 1:
                     s, d = bucket_links(fp[a:b], max_bits)
                     src.append(s)
@@ -183,27 +243,25 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             return pa.RecordBatch.from_arrays([flat(src), flat(dst)], ["src", "dst"])
 
         for b in batches:
-            key = (b.column(0).to_numpy(zero_copy_only=False).astype(np.int64) << 58) | b.column(1).to_numpy(zero_copy_only=False)
-            fp = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            key, fp = np.r_[held[0], key], np.r_[held[1], fp]
-            if not len(key):
+            rows = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns])], 1)
+            if not rows.shape[1]:
                 continue
-            last = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])
-            held = (key[last:], fp[last:])
-            yield solve(key[:last], fp[:last])
-        if len(held[0]):
-            yield solve(*held)
+            last = int(cuts(rows)[-1])
+            held = rows[:, last:]
+            yield solve(np.ascontiguousarray(rows[:, :last]))
+        if held.shape[1]:
+            yield solve(np.ascontiguousarray(held))
 
     return dealt.mapInArrow(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+                    shingle: int = SHINGLE, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id that
     can be reached over links, the document itself included."""
     marked = cut(fingerprints(docs, id_col, text_col, shingle))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(distinct, max_bits))
+    roots = components(links(distinct, max_bits, bucket_rows))
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))

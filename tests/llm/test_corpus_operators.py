@@ -3,6 +3,7 @@
 import bisect
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -10,6 +11,7 @@ import pytest
 import xxhash
 
 from ledgerlens.llm import langid, mixing, packing, queries, simhash, suffixes
+from ledgerlens.llm.common import components
 
 SF001 = "/root/testdata/sf0.001"
 SF01 = "/root/testdata/sf0.01"
@@ -106,6 +108,36 @@ def test_simhash_bucket_index_finds_every_component():
         assert len({root(x) for x in want}) == len({tuple(g) for g in want.values()})
 
 
+def test_simhash_large_buckets_are_cut(spark, documents):
+    """Buckets beyond the limit give the same groups by pairs of chunks."""
+    rng = random.Random(7)
+    centre = [rng.getrandbits(64) for _ in range(3)]
+    near = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(12))) for c in centre for _ in range(150)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    distinct = spark.createDataFrame([(signed(x),) for x in near], "fp long")
+    dealt = simhash.buckets(distinct, 4, 20)
+    assert dealt.where("part > 0").count() > 0
+    assert dealt.groupBy("mask", "value", "part").count().agg({"count": "max"}).first()[0] <= 60
+    root = {r.node: r.root for r in components(simhash.links(distinct, 4, bucket_rows=20)).collect()}
+    found = collections.defaultdict(set)
+    for x in near:
+        found[root.get(signed(x), signed(x))].add(x)
+    assert {frozenset(g) for g in found.values()} == {frozenset(g) for g in naive_components({x: x for x in near}).values()}
+    table = spark.read.parquet(f"{SF01}/documents.parquet").where("doc_id < 1500")
+    few, many = ({r.doc_id: r.component_id for r in simhash.near_duplicates(table, bucket_rows=n).collect()} for n in (2, 1 << 16))
+    assert few == many
+
+
+def test_simhash_blocks_for_more_fingerprints():
+    rng = random.Random(3)
+    assert [simhash.agreeing_blocks(n, 4, 1 << 16) for n in (0, 10**8, 10**10, 10**12)] == [1, 1, 2, 3]
+    for agree in (1, 2, 3):
+        masks = simhash.block_masks(4, agree)
+        for _ in range(200):
+            differ = sum(1 << b for b in rng.sample(range(64), 4))
+            assert any(differ & m % 2**64 == 0 for m in masks)
+
+
 def naive_repeats(texts, length):
     where = collections.Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
