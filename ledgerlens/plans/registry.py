@@ -939,7 +939,7 @@ def q_stream_exports_running(spark, sf_dir):
         ("a", EXPORT_A_HEADER, exports.DIALECT_A), ("b", EXPORT_B_HEADER, exports.DIALECT_B))]
     stream = ingest.categorize_stream(rows[0].unionByName(rows[1]))
     out_base = scratch_path(spark, "stream-exports")
-    q = ingest.start_upserts(ingest.running_totals(stream), f"{out_base}/out", f"{out_base}/chk")
+    q = ingest.start_upserts(ingest.running_totals(stream), f"{out_base}/out", f"{out_base}/chk", keys=["month", "category"])
     q.awaitTermination()
     out = ingest.latest_upserts(spark, f"{out_base}/out", ["month", "category"])
     return out.select("month", "category", F.col("amount").cast("double").alias("amount"),
@@ -1030,7 +1030,7 @@ def q_stream_running(spark, sf_dir):
     from ledgerlens.streaming import ingest
     base = scratch_path(spark, "stream-running")
     q = ingest.start_upserts(ingest.running_totals(_events_stream(spark, sf_dir)),
-                             f"{base}/out", f"{base}/chk")
+                             f"{base}/out", f"{base}/chk", keys=["month", "category"])
     q.awaitTermination()
     out = ingest.latest_upserts(spark, f"{base}/out", ["month", "category"])
     return out.select("month", "category", F.col("amount").cast("double").alias("amount"),

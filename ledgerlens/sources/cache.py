@@ -1,95 +1,102 @@
 """The category cache as a versioned parquet dimension.
 
 Layout: ``<root>/v=<n>/`` parquet folders (merchant, parsed_description,
-category). A new version is written next to the old ones and becomes
-current only once its ``_SUCCESS`` marker exists, so a reader never sees a
-half-written table and the folder being read is never overwritten. A
-missing or unreadable cache reads as empty.
+category) hold the pairs of one upsert each; ``<root>/full=<n>/`` holds all
+pairs up to version n and is written every ``COMPACT_EVERY`` versions. A
+folder counts only once its ``_SUCCESS`` marker exists and none is ever
+overwritten, so a reader never sees a half-written one. A missing cache reads
+as empty, an unreadable folder is passed over.
 """
 
 from __future__ import annotations
 
 import warnings
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.skew import BROADCAST_BYTES, measured
 from ledgerlens.schema import CACHE_SCHEMA
 
 PAIR_KEYS = ["merchant", "parsed_description"]
 
+# Upserts between two full copies: a load reads at most so many folders and one full copy.
+COMPACT_EVERY = 16
 
-def _fs(spark: SparkSession, root: str):
+
+def numbered_folders(spark: SparkSession, root: str, name: str, complete: bool = True) -> list[int]:
+    """Numbers n of the folders ``<root>/<name>=<n>``, ascending (a listing
+    by the driver); by default of those with a ``_SUCCESS`` marker."""
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(conf), path, jvm
-
-
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Complete versions under ``root``, oldest first (driver-side listing)."""
-    fs, path, jvm = _fs(spark, root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return []
     out = []
     for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v="):
-            done = jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")
-            if fs.exists(done):
-                try:
-                    out.append(int(name[2:]))
-                except ValueError:
-                    continue
+        label, _, number = st.getPath().getName().partition("=")
+        if st.isDirectory() and label == name and number.isdigit():
+            if not complete or fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                out.append(int(number))
     return sorted(out)
 
 
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Complete versions under ``root``, oldest first."""
+    return numbered_folders(spark, root, "v")
+
+
 def empty_cache(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], CACHE_SCHEMA)
 
 
+def _readable(spark: SparkSession, path: str) -> DataFrame | None:
+    """The folder's pairs, or None with a warning if it is damaged. It is
+    tried by counting it, which reads every file's footer and no rows."""
+    df = spark.read.schema(CACHE_SCHEMA).parquet(path)
+    try:
+        df.count()
+        return df
+    except Exception as broken:  # noqa: BLE001 - whatever a reader raises on a damaged file
+        warnings.warn(f"category cache folder {path} cannot be read and is passed over: {str(broken)[:200]}", stacklevel=3)
+        return None
+
+
 def load_cache(spark: SparkSession, root: str) -> DataFrame:
-    """The newest complete version that can be read; empty if there is none.
-    A version is tried by counting it, which reads every file's footer and
-    no rows: one that is corrupt is passed over for the one before, so a
-    later upsert builds on the last good history."""
-    for v in reversed(versions(spark, root)):
-        df = spark.read.schema(CACHE_SCHEMA).parquet(f"{root.rstrip('/')}/v={v}")
-        try:
-            df.count()
-            return df
-        except Exception as broken:  # noqa: BLE001 - whatever a reader raises on a damaged file
-            warnings.warn(f"category cache version {v} under {root} cannot be read, trying the one before: {str(broken)[:200]}", stacklevel=2)
-    return empty_cache(spark)
-
-
-# Most new pairs broadcast into the anti-join against the old version.
-BROADCAST_PAIRS = 1_000_000
-
-
-def upsert_cache(spark: SparkSession, root: str, new_pairs: DataFrame) -> int:
-    """Write version n+1 = new pairs ∪ (old pairs not re-labelled); newest
-    label wins. Returns the new version number (the current one, with no
-    write, when there are no new pairs: a run that found every pair cached
-    does not copy the cache).
-
-    Pairs are unique on both sides, so the anti-join cannot skew. The new
-    pairs (materialised by ``categorize``, cheap to count) are broadcast
-    when there are at most ``BROADCAST_PAIRS``: the old version is then
-    scanned and rewritten without a shuffle."""
-    vs = versions(spark, root)
-    old = load_cache(spark, root)
+    """All pairs, the newest label of each: the newest full copy that can be
+    read and the versions after it. Damaged folders are passed over (a
+    damaged full copy by the versions it was made of), so the rest of the
+    history stays. Empty if there is none."""
+    root = root.rstrip("/")
+    layers: list[DataFrame] = []
+    through = 0
+    for n in reversed(numbered_folders(spark, root, "full")):
+        full = _readable(spark, f"{root}/full={n}")
+        if full is not None:
+            layers, through = [full], n
+            break
+    layers += [df for v in versions(spark, root) if v > through and (df := _readable(spark, f"{root}/v={v}")) is not None]
+    if len(layers) <= 1:
+        return layers[0] if layers else empty_cache(spark)
+    labelled = reduce(DataFrame.unionByName, [df.withColumn("_layer", F.lit(k)) for k, df in enumerate(layers)])
+    return labelled.groupBy(*PAIR_KEYS).agg(F.max_by("category", "_layer").alias("category"))
+
+
+def upsert_cache(spark: SparkSession, root: str, new_pairs: DataFrame, compact_every: int = COMPACT_EVERY) -> int:
+    """Write version n+1, the new pairs only; the newest label wins on load.
+    Returns the new version number (the current one, with no write, when
+    there are no new pairs). Every ``compact_every`` versions all pairs are
+    copied once, so an upsert costs its own pairs and a load stays bounded."""
+    root = root.rstrip("/")
+    done = versions(spark, root)
+    if done and new_pairs.isEmpty():
+        return done[-1]
+    if done:
+        _readable(spark, f"{root}/v={done[-1]}")  # warns whoever writes that the newest version is damaged
+    # a folder that a lost writer left without its marker keeps its number
+    version = max(numbered_folders(spark, root, "v", complete=False), default=0) + 1
     fresh = new_pairs.select(*PAIR_KEYS, "category").dropDuplicates(PAIR_KEYS)
-    probe = fresh.select(F.col("merchant").alias("_m"), F.col("parsed_description").alias("_d"))
-    n_new, size = measured(probe)
-    if n_new == 0 and vs:
-        return vs[-1]   # nothing to add (every pair was cached): no rewrite
-    if n_new <= BROADCAST_PAIRS and size <= BROADCAST_BYTES:
-        probe = F.broadcast(probe)
-    cond = old["merchant"].eqNullSafe(probe["_m"]) & old["parsed_description"].eqNullSafe(probe["_d"])
-    kept = old.join(probe, cond, "left_anti")
-    merged = kept.unionByName(fresh)
-    nxt = (vs[-1] + 1) if vs else 1
-    merged.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/v={nxt}")
-    return nxt
+    fresh.write.mode("errorifexists").parquet(f"{root}/v={version}")
+    if version - max(numbered_folders(spark, root, "full"), default=0) >= compact_every:
+        load_cache(spark, root).write.mode("overwrite").parquet(f"{root}/full={version}")
+    return version

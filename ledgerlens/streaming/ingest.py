@@ -21,6 +21,7 @@ from ledgerlens.operators.classify import with_rule_category
 from ledgerlens.operators.prepare import month_key, prepare
 from ledgerlens.operators.skew import BROADCAST_ROWS, small_enough
 from ledgerlens.session import checkpoint_root
+from ledgerlens.sources.cache import COMPACT_EVERY, numbered_folders
 from ledgerlens.sources.exports import CSV_GLOB, csv_options, normalize, row_id
 
 
@@ -101,15 +102,25 @@ def start_append(df: DataFrame, sink: str, checkpoint: str, available_now: bool
     return w.start()
 
 
-def start_upserts(df: DataFrame, sink: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def _snapshots(sink: str) -> str:
+    return f"{sink.rstrip('/')}-snapshots"
+
+
+def start_upserts(df: DataFrame, sink: str, checkpoint: str, available_now: bool = True,
+                  keys: Sequence[str] | None = None, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
     """Update-mode results appended per micro-batch with their batch id; the
     current value of a key is its row from the highest batch
     (``latest_upserts``). Rewriting a batch after a failure writes the same
-    rows with the same id, so the read side stays right."""
+    rows with the same id, so the read side stays right. With ``keys``, every
+    ``compact_every`` batches the current values are written as a snapshot
+    next to the log, and later reads take it and the batches after it."""
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append") \
             .partitionBy("batch_id").parquet(sink)
+        if keys is not None and (batch_id + 1) % compact_every == 0:
+            _latest(batch.sparkSession, sink, keys, before=batch_id) \
+                .write.mode("overwrite").parquet(f"{_snapshots(sink)}/through={batch_id}")
 
     w = df.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint) \
         .outputMode("update")
@@ -117,6 +128,18 @@ def start_upserts(df: DataFrame, sink: str, checkpoint: str, available_now: bool
     return w.start()
 
 
+def _latest(spark: SparkSession, sink: str, keys: Sequence[str], before: int | None = None) -> DataFrame:
+    """Per key the row of its latest batch, batch id included: from the newest
+    snapshot (older than batch ``before``, if given) and the batches after it."""
+    log = spark.read.parquet(sink)
+    taken = [n for n in numbered_folders(spark, _snapshots(sink), "through") if before is None or n < before]
+    if taken:
+        snapshot = spark.read.schema(log.schema).parquet(f"{_snapshots(sink)}/through={taken[-1]}")
+        log = log.where(F.col("batch_id") > taken[-1]).unionByName(snapshot)
+    vals = [c for c in log.columns if c not in set(keys) | {"batch_id"}]
+    return log.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in vals], F.max("batch_id").alias("batch_id"))
+
+
 def latest_upserts(spark: SparkSession, sink: str, keys: Sequence[str]) -> DataFrame:
     """Current state of an upsert log: per key, the row of the latest batch.
 
@@ -124,9 +147,7 @@ def latest_upserts(spark: SparkSession, sink: str, keys: Sequence[str]) -> DataF
     under the same id), so each value column can take its own ``max_by``
     over ``batch_id``: numeric value columns keep the buffers fixed-width,
     a hash aggregate instead of a sort of the log."""
-    log = spark.read.parquet(sink)
-    vals = [c for c in log.columns if c not in set(keys) | {"batch_id"}]
-    return log.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in vals])
+    return _latest(spark, sink, keys).drop("batch_id")
 
 
 class ProgressLog(StreamingQueryListener):

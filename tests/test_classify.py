@@ -128,6 +128,22 @@ def test_cache_upsert_versions(spark):
     assert got == {"a": "Travel", "b": "Travel", "c": "Transport"}
 
 
+def test_cache_is_compacted_and_keeps_newest_labels(spark, tmp_path):
+    root = str(tmp_path / "cache")
+    pairs = lambda *rows: spark.createDataFrame(rows, "merchant string, parsed_description string, category string")
+    for k in range(7):
+        assert cache_mod.upsert_cache(spark, root, pairs(("m", f"d{k % 5}", f"c{k}"), (None, "n", f"c{k}")), compact_every=3) == k + 1
+    assert cache_mod.numbered_folders(spark, root, "full") == [3, 6]
+    want = {(None, "n"): "c6", ("m", "d0"): "c5", ("m", "d1"): "c6", ("m", "d2"): "c2", ("m", "d3"): "c3", ("m", "d4"): "c4"}
+    load = lambda: {(r.merchant, r.parsed_description): r.category for r in cache_mod.load_cache(spark, root).collect()}
+    assert load() == want
+    (tmp_path / "cache" / "full=6" / "_SUCCESS").unlink()   # a copy that was not finished
+    (tmp_path / "cache" / "v=9").mkdir()                                      # a version that was not finished
+    assert load() == want
+    assert cache_mod.upsert_cache(spark, root, pairs(("m", "d0", "new")), compact_every=3) == 10
+    assert load() == {**want, ("m", "d0"): "new"}
+
+
 def test_categorize_with_cache_writes_new_pairs(spark):
     root = scratch_path(spark, "cache2")
     cache_mod.upsert_cache(spark, root, spark.createDataFrame(

@@ -1,9 +1,12 @@
 """The stream gives the batch answer."""
 
+from pyspark.sql import functions as F
+
 from ledgerlens.operators import aggregates as agg
 from ledgerlens.operators import classify as cls
 from ledgerlens.session import scratch_path
 from ledgerlens.sources import exports
+from ledgerlens.sources.cache import numbered_folders
 from ledgerlens.operators import prepare as prep
 from ledgerlens.streaming import ingest
 
@@ -58,6 +61,24 @@ def test_latest_upserts_takes_newest_batch_per_key(spark):
     assert "SortAggregate" not in latest._jdf.queryExecution().executedPlan().toString()
 
 
+def test_upsert_log_is_compacted(spark, tmp_path):
+    src, sink = tmp_path / "in", str(tmp_path / "log")
+    rows = [(k % 4, k, k % 9) for k in range(30)]
+    for k in range(10):
+        spark.createDataFrame(rows[3 * k:3 * k + 3], "k int, n int, amount int").coalesce(1).write.mode("append").parquet(str(src))
+    df = spark.readStream.schema("k int, n int, amount int").option("maxFilesPerTrigger", 1).parquet(str(src))
+    sums = df.groupBy("k").agg(F.sum("amount").alias("amount"), F.count("n").alias("count"))
+    ingest.start_upserts(sums, sink, str(tmp_path / "chk"), keys=["k"], compact_every=4).awaitTermination()
+    taken = numbered_folders(spark, f"{sink}-snapshots", "through")
+    assert taken[:2] == [3, 7]
+    want = {k: (sum(a for x, _, a in rows if x == k), sum(x == k for x, _, _ in rows)) for k in range(4)}
+    got = ingest.latest_upserts(spark, sink, ["k"])
+    assert sorted(got.columns) == ["amount", "count", "k"]
+    assert {r.k: (r.amount, r["count"]) for r in got.collect()} == want
+    whole = spark.read.parquet(sink).groupBy("k").agg(F.max_by("amount", "batch_id").alias("amount"))
+    assert {r.k: r.amount for r in whole.collect()} == {k: v[0] for k, v in want.items()}
+
+
 def test_stream_static_attach_broadcasts_a_small_cache(spark, tmp_path):
     folder = tmp_path / "drop2"
     folder.mkdir()
