@@ -70,8 +70,9 @@ class ChunkIds:
     def texts(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        # an upper-case special string must not become one by lower-casing
-        split = [(x if b"<|" in x else x.lower()).split() for x in texts]
+        # an upper-case special string must not become one by lower-casing, and
+        # beside other characters a capital may compose otherwise than its lower case
+        split = [x.split() if b"<|" in x else (x.lower().split() if x.isascii() else [c.lower() if c.isascii() else c for c in x.split()]) for x in texts]
         new = set().union(*split).difference(self.known)
         self.encode(list(new))
         get = self.known.__getitem__

@@ -230,6 +230,13 @@ def test_packing_odd_rows(odd):
     assert packing.pack_documents(odd.limit(0)).count() == 0
 
 
+def test_packing_capitals_before_combining_marks(spark):
+    """NFC comes before lower case: a mark may compose with the lower-case letter only."""
+    texts = [f"Plain {c}{m} {c.lower()}{m} X{c}{m}y" for c, m in zip("HTWYJ", "\u0331\u0308\u030a\u030a\u030c")]
+    rows = list(enumerate([*texts, "J\u030c" * 3000, "\u00c9COLE \u00c9cole E\u0301 <|ENDOFTEXT|>\u00c9"]))
+    check_packing(rows, packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 def naive_targets(sizes):
     names = sorted((x for x in sizes if x is not None)) + [None] * (None in sizes)
     w = {x: (5, 2, 1)[k % 3] for k, x in enumerate(names)}
