@@ -10,8 +10,10 @@ once more with inclusion probability f (or with f times a given importance),
 by Pareto order sampling: documents are ranked by the odds of a random number
 (a hash of id, text and seed, so reruns agree) divided by their inclusion
 odds, and the first are selected as long as they hold no more words than the
-sample is to have, which fixes its size. At the threshold one document on
-either side may then trade places, if that brings the words nearer.
+sample is to have, which fixes its size. The document that does not fit any
+more is left out and the ranks behind it are gone on with (``_fill``), until
+what is lacking is less than each document left; at the threshold one document
+on either side may then trade places, if that brings the words nearer.
 
 The threshold is found as a histogram quantile: the ranking key is mapped to
 ``BINS`` bins per source, bins below the target are taken whole, bins above
@@ -91,6 +93,59 @@ def _sample(rows: DataFrame, asked: DataFrame) -> DataFrame:
             .drop("bin", "state", "room"))
 
 
+def _open(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(s, open): words of ``asked`` (s, words) that the selected rows leave."""
+    got = rows.groupBy("s").agg(F.sum(F.col("more") * F.col("size")).alias("got"))
+    return asked.join(got, "s").select("s", (F.col("words") - F.col("got")).alias("open"))
+
+
+def _fill(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(s, key, tie): documents behind the threshold that fill what the first
+    ones leave open; afterwards each document left is larger than the gap.
+
+    Three passes. The first goes down the ranks again with the documents of at
+    most half the gap. The second does so per size class (a power of two),
+    larger classes first: of a class only the first documents that together
+    fit the gap can be needed. Where a class is not used up, its next document
+    did not fit, so that the gap is less than twice the smallest document left,
+    and the third pass takes the first one that still fits, if any."""
+    gaps = _open(rows, asked).where("open >= 1")
+    # rows that repeat id and text are one: both are taken or neither
+    free = written(rows.where(F.col("more") == 0).groupBy("s", "key", "tie").agg(F.sum("size").alias("size")).where("size > 0")
+                   .join(gaps, "s").where("size <= open"), "free")
+    again = _sample(free.where("size <= open / 2").select("s", "key", "tie", "size"), gaps.select("s", F.col("open").alias("words"))).where("more = 1")
+    first = written(again.select("s", "key", "tie", "size"), "fill")
+    held = first.groupBy("s").agg(F.sum("size").alias("held"))
+    free = (free.join(first.select("s", "key", "tie"), ["s", "key", "tie"], "left_anti").join(held, "s", "left")
+            .withColumn("open", F.col("open") - F.coalesce("held", F.lit(0))).drop("held").where("size <= open"))
+    free = written(free.withColumn("class", F.floor(F.log2("size")).cast("int")), "free")
+    name = F.struct("s", "class")
+    rooms = free.select(name.alias("s"), F.col("open").alias("words")).distinct()
+    near = _sample(free.select(name.alias("s"), "key", "tie", "size"), rooms).where("more = 1")
+    # of each class at most as many documents as fit the gap
+    upto = F.sum("size").over(Window.partitionBy("s", "class").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, 0))
+    near = written(near.select("s.s", "s.class", "key", "tie", "size").withColumn("upto", upto), "near")
+    sums = (near.groupBy("s", "class").agg(F.collect_list("upto").alias("sums")).groupBy("s")
+            .agg(F.reverse(F.sort_array(F.collect_list(F.struct("class", "sums")))).alias("classes"))
+            .join(free.select("s", "open").distinct(), "s"))
+    start = F.struct(F.col("open").alias("room"), F.lit(0).cast("double").alias("last"))
+
+    def step(state: Column, one: Column) -> Column:
+        fits = F.coalesce(F.array_max(F.filter(one["sums"], lambda x: x <= state["room"])), F.lit(0)).cast("double")
+        return F.struct((state["room"] - fits).alias("room"), fits.alias("last"))
+
+    # a class's words depend on the classes before it: at most 64 of them
+    shares = F.transform(F.sequence(F.lit(1), F.size("classes")), lambda k: F.struct(
+        F.element_at("classes", k)["class"].alias("class"), F.aggregate(F.slice("classes", F.lit(1), k), start, step)["last"].alias("most")))
+    limits = sums.select("s", F.explode(shares).alias("l")).select("s", "l.class", "l.most")
+    second = written(near.join(limits, ["s", "class"]).where("upto <= most").select("s", "key", "tie", "size"), "fill")
+    held = second.groupBy("s").agg(F.sum("size").alias("held"))
+    third = (free.join(second.select("s", "key", "tie"), ["s", "key", "tie"], "left_anti").join(held, "s", "left")
+             .where(F.col("size") <= F.col("open") - F.coalesce("held", F.lit(0)))
+             .groupBy("s").agg(F.min(F.struct("key", "tie")).alias("b")).select("s", "b.key", "b.tie"))
+    return first.drop("size").unionByName(second.drop("size")).unionByName(third)
+
+
 def _trades(rows: DataFrame, lacking: DataFrame, edge: int) -> DataFrame:
     """(s, key, tie, now): the documents that change sides at the threshold.
     Of the last ``edge`` documents selected and the first ``edge`` left out,
@@ -138,9 +193,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
              .withColumn("key", F.coalesce(odds / (1 + odds), F.lit(1.0))).withColumn("tie", F.xxhash64(F.lit(seed + 1), "doc_id", "th")))
     state = written(_sample(state.select("s", "doc_id", "th", "size", "source_size", "target", "base", "key", "tie"),
                             aims.select("s", F.col("left").alias("words"))), "sample")
-    lacking = (state.groupBy("s").agg(F.sum(F.col("more") * F.col("size")).alias("got")).join(aims.select("s", "left"), "s")
-               .select("s", (F.col("left") - F.col("got")).alias("open")))
-    trades = _trades(state.where((F.col("size") > 0) & (F.col("base") < max_copies)), lacking, edge)
+    asked = aims.select("s", F.col("left").alias("words"))
+    filled = _fill(state.where(F.col("base") < max_copies), asked).withColumn("fill", F.lit(1))
+    state = written(state.join(filled, ["s", "key", "tie"], "left").withColumn("more", F.coalesce("fill", "more")).drop("fill"), "filled")
+    trades = _trades(state.where((F.col("size") > 0) & (F.col("base") < max_copies)), _open(state, asked), edge)
     state = state.join(trades, ["s", "key", "tie"], "left").withColumn("more", F.coalesce("now", "more"))
     copies = (F.col("base") + F.col("more")).cast("int")
     return state.select("doc_id", "th", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))

@@ -272,6 +272,18 @@ def test_mixing_whole_table(spark, documents):
     assert sorted(again) == sorted(got)
 
 
+def test_mixing_goes_on_behind_a_document_that_does_not_fit(spark):
+    """Long documents at the threshold: the small ones behind them fill the gap."""
+    rng = random.Random(3)
+    long = [(i, "w " * n, "a") for i, n in enumerate((60_000, 30_000, 9_000, 9_000, 9_000))]
+    small = [(100 + i, "w " * rng.randint(3, 40), "a") for i in range(3000)]
+    docs = spark.createDataFrame([*long, *small, (9000, "w " * 100_000, "b")], "doc_id long, text string, source string")
+    for seed in (1, 2, 3):
+        got = [r for r in mixing.mix(docs, weights=(1.0, 2.0), seed=seed, edge=0).collect() if r.doc_id < 9000]
+        lacking = got[0].target - sum(r.taken for r in got)
+        assert -1e-6 <= lacking < min(r.size for r in got if r.copies == int(got[0].target / got[0].source_size))
+
+
 def test_mixing_odd_rows(odd):
     got = mixing.mix(odd).collect()
     rows = odd.collect()
