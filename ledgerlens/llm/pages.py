@@ -39,6 +39,8 @@ MAIN_WORDS = frozenset("article main content post entry story".split())
 SIDE_WORDS = frozenset("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar nav navbar navigation menu
 breadcrumb breadcrumbs footer header masthead comment comments discussion reply replies cookie cookies consent notice notices alert popup modal
 newsletter subscribe subscription signup login share sharing social related recommended widget form search disclaimer gdpr pagination pager toolbar""".split())
+#: Words after these name a part or a state of the element, not the element.
+PARTS = frozenset("has with without no not show hide hides".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 #: Hand-labelled blocks: words, link density, the same of the block before and of the block after, cue, main text.
@@ -77,12 +79,14 @@ LABELLED = (
 
 
 class Blocks(HTMLParser):
-    """Text blocks of one page: (text, words, words in links, cue)."""
+    """Text blocks of one page: (text, words, words in links, cue). Until the
+    end of the page a block's cue is the number of its element in ``tree``."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.found: list[tuple[str, int, int, int]] = []
-        self.open: list[tuple[str, int]] = []  # element, cue
+        self.open: list[tuple[str, int]] = []  # element, its number in tree
+        self.tree: list[tuple[int, str, int, bool]] = [(-1, "", 0, False)]  # element around, tag, told, main text told within others
         self.counts: dict[str, int] = {}
         self.unread = 0
         self.link = 0  # depth at which a link began, plus 1
@@ -96,29 +100,61 @@ class Blocks(HTMLParser):
         self.parts.clear()
         self.linked.clear()
 
-    def cue(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
-        around = self.open[-1][1] if self.open else 0
-        if tag == "header" and around > 0:  # the head of an article
-            return around
-        told = -1 if tag in SIDE_TAGS else 1 if tag in MAIN_TAGS else 0
+    def told(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[int, bool]:
+        """What the element tells itself (-2: not shown), and whether it is main text within a side element, too."""
+        told, inner = -1 if tag in SIDE_TAGS else 1 if tag in MAIN_TAGS else 0, tag in MAIN_TAGS
         for name, value in attrs:
             value = (value or "").lower()
             if name in ("class", "id"):
-                words = set(value.replace("-", " ").replace("_", " ").split())
-                if words & SIDE_WORDS and tag not in MAIN_TAGS and tag not in ("body", "html"):
-                    told = -1
-                elif words & MAIN_WORDS and not told:
+                names = [self.named(x) for x in value.split()]
+                if any(words & SIDE_WORDS for words in names) and tag not in MAIN_TAGS and tag not in ("body", "html"):
+                    told = min(told, -1)
+                elif not told and any(words & MAIN_WORDS for words in names):
                     told = 1
-            elif name == "role" and value in SIDE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-                told = -1
+                    # post-content, article-body: not the "content" of any box
+                    inner = any(len(words & MAIN_WORDS) > 1 or words & MAIN_TAGS for words in names)
+            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+                told = -2
+            elif name == "role" and value in SIDE_ROLES:
+                told = min(told, -1)
             elif name == "role" and value in MAIN_TAGS and not told:
-                told = 1
-        if around < 0 and told >= 0:
-            return 1 if tag in MAIN_TAGS else around
-        return told or around
-
-    def push(self, tag: str, cue: int) -> None:
-        self.open.append((tag, cue))
+                told, inner = 1, True
+        return told, inner and (told > 0 or tag in MAIN_TAGS)
+
+    @staticmethod
+    def named(name: str) -> set[str]:
+        """Words of one class up to the first that names a part."""
+        words = name.replace("-", " ").replace("_", " ").split()
+        return set(words[:next((k for k, x in enumerate(words) if x in PARTS), len(words))])
+
+    def blocks(self) -> list[tuple[str, int, int, int]]:
+        """The blocks with their cues."""
+        held, main = [0] * len(self.tree), [0] * len(self.tree)  # words; words of main text
+        for _, words, _, k in self.found:
+            held[k] += words
+        for k in range(len(self.tree) - 1, 0, -1):  # elements inside come after those around
+            around, tag, told, inner = self.tree[k]
+            main[k] = held[k] if told > 0 else main[k]
+            held[around] += held[k]
+            main[around] += main[k]
+        cues, hidden = [0], [False]
+        for k, (around, tag, told, inner) in enumerate(self.tree[1:], 1):
+            if told == -1 and 2 * held[k] > held[0] and main[0] == main[k]:
+                told = 0
+            up = cues[around]
+            if tag == "header" and up > 0:  # the head of an article
+                cue = up
+            elif up < 0 and told >= 0:
+                cue = 1 if tag in MAIN_TAGS or inner and not hidden[around] else up
+            else:
+                cue = max(told, -1) or up
+            cues.append(cue)
+            hidden.append(told == -2 or hidden[around] and cue < 0)
+        return [(text, words, linked, cues[k]) for text, words, linked, k in self.found]
+
+    def push(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.tree.append((self.open[-1][1] if self.open else 0, tag, *self.told(tag, attrs)))
+        self.open.append((tag, len(self.tree) - 1))
         self.counts[tag] = self.counts.get(tag, 0) + 1
 
     def pop(self) -> str:
@@ -144,7 +180,7 @@ class Blocks(HTMLParser):
         elif tag in BLOCK or tag in UNREAD:
             if tag in UNREAD:
                 self.unread += 1
-            self.push(tag, self.cue(tag, attrs))
+            self.push(tag, attrs)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # as browsers read it: <div/> opens a div
@@ -170,7 +206,7 @@ def page_blocks(html: str) -> list[tuple[str, int, int, int]]:
     reader.feed(html)
     reader.close()
     reader.flush()
-    return reader.found
+    return reader.blocks()
 
 
 def features(blocks: list[tuple[str, int, int, int]]) -> np.ndarray:

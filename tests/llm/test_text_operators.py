@@ -99,6 +99,24 @@ def test_main_text():
         assert isinstance(pages.main_text(odd, tree), str)
 
 
+def test_main_text_in_wrappers():
+    """Elements around the whole page are no side elements, whatever they are called."""
+    tree = pages.train()
+    body = [f"{'word ' * 40}{k}" for k in range(4)]
+    article = "".join(f"<p>{x}</p>" for x in body)
+    sides = "<div class=sidebar><p>Side text that stands beside all of it, of some length.</p></div>"
+    notice = "<div class='cookie-notice'><div class=content><p>We use cookies to make this site work as you expect it to work every day.</p></div></div>"
+    for wrapper in ("<div class='layout has-sidebar'>", "<div class='content-with-sidebar'>", "<div class='page has-header'>", "<form action=x>", "<div class='site-header-wrap header'>", "<div id=widget-page class=widget>"):
+        for inner in ("<div class='post-content'>", "<div class=content>", "<div>"):
+            page = f"<html><body>{wrapper}{sides}{notice}{inner}{article}</div></body></html>"
+            assert pages.main_text(page, tree) == "\n".join(body), (wrapper, inner)
+    small = f"<body><div class=widget><div class='post-content'>{article}</div></div><ul>{'<li>entry of a list ' * 200}</ul></body>"
+    assert "\n".join(body) in pages.main_text(small, tree)
+    comments = f"<body><article><h1>Head</h1>{article}</article><div class=comments>{article * 3}</div></body>"
+    assert pages.main_text(comments, tree) == "Head\n" + "\n".join(body)
+    assert pages.main_text(f"<body><div hidden>{article}</div><p>seen</p></body>", tree).count("word") == 0
+
+
 def test_tree_learns_the_table():
     table = np.array(pages.LABELLED, float)
     right = 0
