@@ -16,10 +16,11 @@ A background class "und" with uniform trigrams stands for text in none of the
 languages. A document is rejected when it holds no letters, when "und" wins,
 or when no language reaches ``MIN_POSTERIOR``.
 
-The text model is fitted on a bounded sample: for each of at most
-``MAX_LANGUAGES`` most frequent declared languages (``MIN_LABELLED``
-documents at least) the ``SAMPLE`` documents of least hash. All counts over
-declarations, suffixes and hosts are over all documents.
+The text model knows every declared language and is fitted on a bounded
+sample: the ``SAMPLE`` documents of least hash of each. It holds the trigram
+buckets that occur in a language's sample (at most ``BUCKETS``), one value
+stands for the others. All counts over declarations, suffixes and hosts are
+over all documents, kept for the languages that occur with them.
 
 Null text is empty (rejected); null declarations, addresses and suffixes add
 no evidence, null hosts share one prior. Repeated rows are judged alike. With
@@ -39,13 +40,13 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import row_slices, ship_by_value, text_buffer, written
 
 SAMPLE = 500
-MAX_LANGUAGES = 32
-MIN_LABELLED = 5
 BUCKETS = 1 << 14
 EFFECTIVE = 60.0
 SHRINK = 20.0
 UNDECIDED = 0.01
 MIN_POSTERIOR = 0.5
+#: Cells (documents by languages) that the fusion works on at once.
+CELLS = 1 << 20
 
 #: Bytes as the model sees them: letters folded, bytes of other scripts kept, all else a blank.
 FOLD = np.array([b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -92,13 +93,14 @@ def _evidence(docs: DataFrame, id_col: str, text_col: str, declared_col: str, ad
                        tag(F.col(declared_col)).alias("declared"), name.alias("host"), domain(name).alias("domain"), suffix(name).alias("suffix"))
 
 
-def fit(evidence: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages, and log P(trigram bucket | language) with a last column for
-    the background."""
+def fit(evidence: DataFrame, sample: int = SAMPLE) -> tuple[list[str], tuple[np.ndarray, ...]]:
+    """Languages, and their model: log P(trigram bucket | language) as one value
+    for the buckets that the sample lacks, where the language's other buckets
+    begin, these buckets and their values."""
     ship_by_value()
-    languages = sorted(r.declared for r in evidence.where("declared is not null").groupBy("declared").count()
-                       .where(F.col("count") >= MIN_LABELLED).orderBy(F.desc("count"), "declared").limit(MAX_LANGUAGES).collect())
-    labelled = evidence.where(F.col("declared").isin(languages)).withColumn("h", F.xxhash64("doc_id", "th"))
+    # one row per declared language
+    languages = sorted(r.declared for r in evidence.where("declared is not null").select("declared").distinct().collect())
+    labelled = evidence.where("declared is not null").withColumn("h", F.xxhash64("doc_id", "th"))
     first = Window.partitionBy("declared").orderBy("h")
     least = (labelled.select("declared", "h").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample)
              .groupBy("declared").agg(F.max("h").alias("most")))  # a row per language
@@ -106,26 +108,25 @@ def fit(evidence: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {x: k for k, x in enumerate(languages)}
-        total = np.zeros((len(languages), BUCKETS), np.int64)
         for b in batches:
             raw, at = text_buffer(b.column(1))
             own = np.array([index[x] for x in b.column(0).to_pylist()], np.int64)
             for lo, hi in row_slices(at):
                 bucket, row = trigrams(raw, at[lo:hi + 1])
-                total += np.bincount(own[lo:hi][row] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["cell", "n"])
+                cell, n = np.unique(own[lo:hi][row] * BUCKETS + bucket, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], ["cell", "n"])
 
-    counts = np.zeros((len(languages), BUCKETS))
-    # at most MAX_LANGUAGES * BUCKETS cells
+    # at most BUCKETS cells per language
     cells = chosen.select("declared", "text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts.ravel()[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.float64)
-    smooth = counts + 0.5
-    model = np.log(smooth / smooth.sum(1, keepdims=True))
-    return languages, np.vstack([model, np.full((1, BUCKETS), -np.log(BUCKETS))]).T.copy()
+    cell, n = cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64)
+    by = np.argsort(cell)
+    cell, n = cell[by], n[by]
+    own = cell // BUCKETS
+    whole = np.bincount(own, n, len(languages)) + 0.5 * BUCKETS
+    return languages, (np.log(0.5 / whole), np.searchsorted(own, np.arange(len(languages) + 1)), (cell % BUCKETS).astype(np.uint16), np.log((n + 0.5) / whole[own]))
 
 
-def text_scores(evidence: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
+def text_scores(evidence: DataFrame, languages: list[str], model: tuple[np.ndarray, ...]) -> DataFrame:
     """Evidence with ``scores`` (log likelihood per language, then the
     background, scaled) and ``letters`` (number of trigrams)."""
     ship_by_value()
@@ -133,15 +134,20 @@ def text_scores(evidence: DataFrame, languages: list[str], model: np.ndarray) ->
     names = ["doc_id", "th", "declared", "host", "domain", "suffix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        other, begin, known, value = model
+        rows = max(1, CELLS // n)
+        for b in (whole.slice(lo, rows) for whole in batches for lo in range(0, whole.num_rows, rows)):
             raw, at = text_buffer(b.column(6))
             scores, letters = np.zeros((b.num_rows, n)), np.zeros(b.num_rows, np.int64)
             for lo, hi in row_slices(at):
                 bucket, row = trigrams(raw, at[lo:hi + 1])
                 number = np.bincount(row, minlength=hi - lo)
                 letters[lo:hi] = number
-                for k in range(n):
-                    scores[lo:hi, k] = np.bincount(row, model[bucket, k], minlength=hi - lo)
+                for k in range(n - 1):
+                    logs = np.full(BUCKETS, other[k])
+                    logs[known[begin[k]:begin[k + 1]]] = value[begin[k]:begin[k + 1]]
+                    scores[lo:hi, k] = np.bincount(row, logs[bucket], minlength=hi - lo)
+                scores[lo:hi, n - 1] = number * -np.log(BUCKETS)
             scores *= np.minimum(1.0, EFFECTIVE / np.maximum(letters, 1))[:, None]
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, scores.size + 1, n, dtype=np.int32)), pa.array(scores.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns[:6], flat, pa.array(letters)], [*names, "scores", "letters"])
@@ -149,6 +155,14 @@ def text_scores(evidence: DataFrame, languages: list[str], model: np.ndarray) ->
     return evidence.select(*names, "text").mapInArrow(run, "doc_id long, th long, declared string, host string, domain string, suffix string, scores array<double>, letters long")
 
 
+def _dense(keys: pa.Array, counts: pa.Array, n: int) -> np.ndarray:
+    """Rows of counts per language from lists of languages and their counts."""
+    out = np.zeros((len(keys), n))
+    size = keys.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    out[np.repeat(np.arange(len(keys)), size), keys.flatten().to_numpy(zero_copy_only=False)] = counts.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang",
              address_col: str = "source", sample: int = SAMPLE, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
     """(doc_id, th, language, posterior, accepted): one row per row of ``docs``."""
@@ -156,44 +170,54 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     languages, model = fit(evidence, sample)
     if not languages:
         return evidence.select("doc_id", "th", F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
-    size = range(len(languages))
+    number = len(languages)
     scored = written(text_scores(evidence, languages, model).withColumn(
         "said", F.when(F.col("letters") > 0, F.array_position("scores", F.array_max("scores")).cast("int") - 1)), "scores")
-
-    def spoken(*keys: str) -> DataFrame:
-        """Documents per language that their text speaks for, by keys."""
-        each = [F.count(F.when(F.col("said") == k, 1)).cast("double") for k in size]
-        return scored.groupBy(*keys).agg(F.array(*each).alias("n"))
-
-    everything = spoken().first().n
-    whole = sum(everything)
-    prior = [(x + 1) / (whole + len(languages)) for x in everything]
-    array = lambda values: F.array(*[F.lit(float(x)) for x in values])
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    shrunk = lambda n, towards: F.zip_with(n, towards, lambda x, p: (x + SHRINK * p) / (total(n) + SHRINK))
-    domains = spoken("domain").select(F.col("domain").alias("up"), shrunk(F.col("n"), array(prior)).alias("towards"))
-    hosts = spoken("host", "domain").join(domains, F.col("domain").eqNullSafe(F.col("up"))).select(
-        F.col("host").alias("h_"), F.col("domain").alias("d_"), shrunk(F.col("n"), F.col("towards")).alias("host_prior"))
-
-    def likelihood(key: str, name: str) -> DataFrame:
-        """P(key | language): smoothed by the key's share of all documents."""
-        share = (total(F.col("n")) + 1) / (whole + 1)
-        per = F.zip_with(F.col("n"), array(everything), lambda x, all_: (x + SHRINK * share) / (all_ + SHRINK))
-        return spoken(key).where(F.col(key).isNotNull()).select(F.col(key).alias(f"{key}_"), per.alias(name))
-
-    both = (scored.join(hosts, F.col("host").eqNullSafe(F.col("h_")) & F.col("domain").eqNullSafe(F.col("d_")), "left")
-            .join(likelihood("declared", "by_declared"), F.col("declared") == F.col("declared_"), "left")
-            .join(likelihood("suffix", "by_suffix"), F.col("suffix") == F.col("suffix_"), "left"))
-    logs = [F.col("scores")[k] + F.log(F.coalesce(F.col("host_prior")[k], F.lit(prior[k])) * (1 - UNDECIDED))
-            + F.log(F.coalesce(F.col("by_declared")[k], F.lit(1.0))) + F.log(F.coalesce(F.col("by_suffix")[k], F.lit(1.0))) for k in size]
-    mean = lambda c: F.log(F.coalesce(total(c) / len(languages), F.lit(1.0)))
-    logs.append(F.col("scores")[len(languages)] + float(np.log(UNDECIDED)) + mean(F.col("by_declared")) + mean(F.col("by_suffix")))
-    fused = both.select("doc_id", "th", "letters", F.array(*logs).alias("logs")).withColumn("top", F.array_max("logs"))
-    mass = F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    names = F.array(*[F.lit(x) for x in [*languages, "und"]])
-    told = fused.select("doc_id", "th", "letters", F.element_at(names, F.array_position("logs", F.col("top")).cast("int")).alias("language"), F.round(1 / mass, 6).alias("posterior"))
-    good = (F.col("letters") > 0) & (F.col("language") != "und") & (F.col("posterior") >= min_posterior)
-    return told.select("doc_id", "th", F.when(F.col("letters") > 0, F.col("language")).otherwise("und").alias("language"), "posterior", good.alias("accepted"))
+    # the last number is the background's: it is no language
+    votes = scored.where(F.col("said") < number)
+
+    def spoken(name: str, *keys: str) -> DataFrame:
+        """The languages that the texts speak for and their documents, by keys."""
+        each = votes.groupBy(*keys, "said").agg(F.count(F.lit(1)).cast("double").alias("n"))  # at most a row per language and key
+        lists = each.groupBy(*keys).agg(F.collect_list(F.struct("said", "n")).alias("l"))
+        return lists.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.col("l.said").alias(f"{name}_k"), F.col("l.n").alias(f"{name}_n"))
+
+    everything = np.zeros(number)
+    for r in votes.groupBy("said").count().collect():  # a row per language
+        everything[r["said"]] = r["count"]
+    whole = everything.sum()
+    prior = (everything + 1) / (whole + number)
+    same = lambda name, key: F.col(key).eqNullSafe(F.col(f"{name}_{key}"))
+    both = (scored.join(spoken("hosts", "host", "domain"), same("hosts", "host") & same("hosts", "domain"), "left")
+            .join(spoken("domains", "domain"), same("domains", "domain"), "left")
+            .join(spoken("tags", "declared"), F.col("declared") == F.col("tags_declared"), "left")
+            .join(spoken("ends", "suffix"), F.col("suffix") == F.col("ends_suffix"), "left"))
+    lists = [f"{name}_{c}" for name in ("hosts", "domains", "tags", "ends") for c in "kn"]
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, rows = np.array([*languages, "und"], object), max(1, CELLS // (number + 1))
+        for b in (all_.slice(lo, rows) for all_ in batches for lo in range(0, all_.num_rows, rows)):
+            logs = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, number + 1).copy()
+            on_host, on_domain, by_tag, by_end = (_dense(b.column(6 + k), b.column(7 + k), number) for k in (0, 2, 4, 6))
+            total = lambda n: n.sum(1, keepdims=True)
+            towards = (on_domain + SHRINK * prior) / (total(on_domain) + SHRINK)
+            logs[:, :number] += np.log((on_host + SHRINK * towards) / (total(on_host) + SHRINK) * (1 - UNDECIDED))
+            logs[:, number] += np.log(UNDECIDED)
+            for n, there in ((by_tag, b.column(4)), (by_end, b.column(5))):
+                # P(key | language), smoothed by the key's share of all documents
+                share = (total(n) + 1) / (whole + 1)
+                per = np.where(there.to_numpy(zero_copy_only=False)[:, None], (n + SHRINK * share) / (everything + SHRINK), 1.0)
+                logs[:, :number] += np.log(per)
+                logs[:, number] += np.log(per.mean(1))
+            best = logs.argmax(1)
+            posterior = 1 / np.exp(logs - logs[np.arange(len(logs)), best][:, None]).sum(1)
+            letters = b.column(2).to_numpy() > 0
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(letters), pa.array(names[best], pa.string()), pa.array(posterior)], ["doc_id", "th", "read", "language", "posterior"])
+
+    fused = (both.select("doc_id", "th", "letters", "scores", F.col("declared").isNotNull().alias("tagged"), F.col("suffix").isNotNull().alias("ended"), *lists)
+             .mapInArrow(fuse, "doc_id long, th long, read boolean, language string, posterior double").withColumn("posterior", F.round("posterior", 6)))
+    good = F.col("read") & (F.col("language") != "und") & (F.col("posterior") >= min_posterior)
+    return fused.select("doc_id", "th", F.when(F.col("read"), F.col("language")).otherwise("und").alias("language"), "posterior", good.alias("accepted"))
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -319,6 +319,20 @@ def test_language_id_text_overrules_wrong_declarations(spark, documents):
     assert sum(r.language == documents[r.doc_id].lang for r in got) >= 0.97 * len(rows)
 
 
+def test_language_id_knows_every_declared_language(spark):
+    """More than 32 languages, some with a few documents only."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(60)]
+        tag = chr(97 + k // 26) + chr(97 + k % 26)
+        rows += [(tag, " ".join(rng.choice(words) for _ in range(150))) for _ in range(2 if k % 6 == 0 else 8)]
+    docs = spark.createDataFrame([(i, text, tag, f"http://h{i % 5}.example.org/") for i, (tag, text) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    assert all(got[i].language == tag and got[i].accepted for i, (tag, _) in enumerate(rows))
+    assert langid.keep_known(docs).count() == len(rows)
+
+
 def test_language_id_odd_rows(odd, spark):
     got = langid.identify(odd).collect()
     assert len(got) == odd.count()
