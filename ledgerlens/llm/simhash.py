@@ -68,18 +68,24 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
     return int((np.uint64(1) << np.arange(64, dtype=np.uint64))[2 * total > n].sum(dtype=np.uint64))
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``, fp as a signed long."""
+    """(doc_id, fp, th): one row per row of ``docs``, fp as a signed long, th
+    the XXH64 of the text."""
     ship_by_value()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, at = text_buffer(b.column(1))
             fp = np.fromiter((simhash(raw[at[i]:at[i + 1]].tobytes(), shingle) for i in range(b.num_rows)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], ["doc_id", "fp", "th"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _text_hash(text_col).alias("th"))
+            .mapInArrow(run, "doc_id long, fp long, th long"))
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -255,33 +261,38 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCK
     return dealt.mapInArrow(run, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    shingle: int = SHINGLE, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id that
-    can be reached over links, the document itself included."""
-    marked = cut(fingerprints(docs, id_col, text_col, shingle))
+def _groups(marked: DataFrame, max_bits: int, bucket_rows: int) -> DataFrame:
+    """``marked`` (doc_id, fp, ...) with root, the group's smallest fingerprint
+    (signed), and component_id."""
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = components(links(distinct, max_bits, bucket_rows))
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    names = placed.join(lowest, "root").select("fp", "component_id")
-    return marked.join(names, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(placed.join(lowest, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    shingle: int = SHINGLE, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id that
+    can be reached over links, the document itself included."""
+    marked = cut(fingerprints(docs, id_col, text_col, shingle).drop("th"))
+    return _groups(marked, max_bits, bucket_rows).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs``, one per near-duplicate group: the one with the
-    group's smallest id. Of rows that repeat that id, one stays; a group whose
-    ids are all null keeps one row."""
-    groups = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    best = cut(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-               .groupBy("doc_id", "fp", "component_id").agg(F.count(F.lit(1)).alias("n"))
-               .groupBy("doc_id", "component_id").agg(F.sum("n").alias("n"))
-               .select(F.col("doc_id").alias("__doc"), F.col("n").alias("__n")))
-    same = docs[id_col].cast("long").eqNullSafe(F.col("__doc"))
+    group's smallest id, rows without an id last; of several texts with that
+    id, the one of least fingerprint, then of least XXH64. Groups are told
+    apart by their fingerprints, so groups that share an id, or have none,
+    keep a row each; of rows that repeat the chosen one, one stays."""
+    marked = cut(fingerprints(docs, id_col, text_col, shingle))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "th")
+    best = (_groups(marked.groupBy("doc_id", "fp", "th").agg(F.count(F.lit(1)).alias("n")), max_bits, BUCKET_ROWS)
+            .groupBy("root").agg(F.min(F.struct(*[order.getField(c).alias(c) for c in ("nameless", "doc_id", "fp", "th")], "n")).alias("k")))
+    best = cut(best.select(F.col("k.doc_id").alias("__doc"), F.col("k.th").alias("__th"), F.col("k.n").alias("__n")))
+    same = docs[id_col].cast("long").eqNullSafe(F.col("__doc")) & (_text_hash(text_col) == F.col("__th"))
     single = docs.join(best.where("__n = 1"), same, "left_semi")
-    repeated = docs.join(best.where("__n > 1"), same, "left_semi")
-    named = repeated.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    nameless = repeated.where(F.col(id_col).isNull())
-    return single.unionByName(named).unionByName(nameless.dropDuplicates([text_col]))
+    repeated = docs.join(best.where("__n > 1"), same, "left_semi").withColumn("__th", _text_hash(text_col))
+    return single.unionByName(repeated.dropDuplicates([id_col, "__th"]).drop("__th"))

@@ -7,10 +7,12 @@ all are judged on the input.
 1. Anchors. Each window of ``length`` bytes names the ``GRAM``-byte string
    with the least hash in it (the leftmost, on ties). Equal windows name
    equal strings, so repeats meet under their anchor. Neighbouring windows
-   with one anchor form a run: one row for about 150 positions. Runs whose
-   anchor occurs once are done.
-2. Equal runs (128-bit hash of their bytes) are folded by a grouped count:
-   a run that occurs twice is repeated throughout. Groups of copies end here.
+   with one anchor string form a run of at most ``length`` windows: one row
+   for about 150 positions, in a text of one character too. Runs whose
+   anchor occurs once, in one place of the run, are done.
+2. Equal runs (named by the anchor's 64 bits and 64 bits of their own bytes)
+   are folded by a grouped count: a run that occurs twice is repeated
+   throughout. Groups of copies end here.
 3. Anchors with several different runs go on with one row per different run.
    Runs are dealt to shards by anchor; an anchor with more than ``SHARD_RUNS``
    different runs is dealt over several shards by the run's own hash. Each
@@ -19,9 +21,19 @@ all are judged on the input.
 4. Shards of one anchor are merged: each sends its windows, dealt by hash and
    sorted, and a binary search finds those that other shards hold too.
 
+With ``across`` a position counts only if its bytes also start in another
+document: the grouped counts and the merged windows then carry the least and
+greatest place of each string, a place being a document, and a string whose
+two ends are one document stays. With ``min_words`` a repeated stretch is taken out only if so many whole
+words (``[^\x20\x09-\x0D]+``) lie in it. ``without_repeats``, the filter of the
+pipeline, uses both: ``PASSAGE_WORDS`` words, found by ``PASSAGE_BYTES`` bytes,
+which passages of so many words have unless their words are shorter than four
+letters on average; op8 uses neither.
+
 Null text is empty; texts shorter than ``length`` lose nothing. Rows are told
 apart by (doc_id, hash of the text), so null or repeated ids are fine: rows
-that repeat a row are copies of it. An empty table gives an empty result.
+that repeat a row are copies of it (with ``across``, the same document). An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,11 +51,17 @@ from ledgerlens.llm.common import ship_by_value, text_buffer, written
 
 LENGTH = 400
 GRAM = 100
+#: A passage for the pipeline: whole words, and the bytes and gram by which it is found.
+PASSAGE_WORDS = 50
+PASSAGE_BYTES = 240
+PASSAGE_GRAM = 60
 #: Positions of a text that are looked at together.
 PIECE = 1 << 19
 SHARD_RUNS = 4096
 #: Bytes of whole anchor groups that are sorted together.
 SHARD_BYTES = 1 << 20
+#: Least and greatest place of what is known to lie at several.
+SEVERAL = (-1 << 63, (1 << 63) - 1)
 #: Odd factor of the polynomial hash modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 
@@ -83,7 +101,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, length: int, gram: int, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(anchor hash, first start, last start) of the runs of one text."""
+    """(anchor hash, first start, last start, the anchor stands at several
+    places) of the runs of one text."""
     found: list[tuple[np.ndarray, ...]] = []
     for lo in range(0, len(data) - length + 1, PIECE):
         part = data[lo:lo + PIECE + length - 1]
@@ -91,11 +110,16 @@ def runs_of(data: np.ndarray, length: int, gram: int, powers: tuple[np.ndarray,
         low = np.uint64((1 << 20) - 1)
         least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
         at = (least & low).astype(np.int64)
-        cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        found.append((h[at[cuts]], cuts + lo, np.r_[cuts[1:], len(at)] - 1 + lo))
+        anchor = h[at]
+        cuts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        parts = -(-np.diff(np.r_[cuts, len(anchor)]) // length)  # periodic text holds on to one anchor
+        inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        cuts = np.repeat(cuts, parts) + inner * length
+        last = np.r_[cuts[1:], len(anchor)] - 1
+        found.append((anchor[cuts], cuts + lo, last + lo, at[cuts] != at[last]))
     if not found:
         none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, none.astype(bool)
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -174,23 +198,34 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, lan
     return common
 
 
-def shard_repeats(data: np.ndarray, base: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def shard_repeats(data: np.ndarray, base: np.ndarray, count: np.ndarray, length: int,
+                  least: np.ndarray, most: np.ndarray, across: bool = False) -> tuple[np.ndarray, ...]:
     """For runs laid one after another in ``data`` (run r has ``count[r]``
-    starts from ``base[r]``): (mark per byte: repeated in the shard; the
-    start's class: the same number for equal strings, -1 elsewhere)."""
+    starts from ``base[r]`` and lies at places from ``least[r]`` to
+    ``most[r]``), per byte: (mark: the string starts several times in the
+    shard, or ``across``, lies at several places; the start's class: the same
+    number for equal strings, -1 elsewhere; the least and the greatest place
+    of its class, ``SEVERAL`` for marked ones)."""
     n = len(data)
-    valid = np.zeros(n, bool)
-    for a, c in zip(base.tolist(), count.tolist()):
-        valid[a:a + c] = True
+    run = np.full(n, -1, np.int64)
+    for r, (a, c) in enumerate(zip(base.tolist(), count.tolist())):
+        run[a:a + c] = r
     order = suffix_array(data)
-    order = order[valid[order]]
+    order = order[run[order] >= 0]
     common = common_prefixes(data, order, base, count, length)[order]
     same = np.zeros(len(order), bool)
     same[1:] = common[1:] >= length
-    mark, kind = np.zeros(n, bool), np.full(n, -1, np.int64)
-    mark[order] = same | np.r_[same[1:], False]
-    kind[order] = np.cumsum(~same)
-    return mark, kind
+    kind, mark = np.full(n, -1, np.int64), np.zeros(n, bool)
+    low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    first, number = np.flatnonzero(~same), np.cumsum(~same) - 1
+    kind[order] = number
+    least, most = np.minimum.reduceat(least[run[order]], first), np.maximum.reduceat(most[run[order]], first)
+    several = least < most
+    if not across:
+        several |= np.diff(np.r_[first, len(order)]) > 1
+    least[several], most[several] = SEVERAL
+    low[order], high[order], mark[order] = least[number], most[number], several[number]
+    return mark, kind, low, high
 
 
 def _spans(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +245,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def find_runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, r1, r2, doc_id, th, a, b): the runs, with a hash of their bytes."""
+    """(anchor, r, doc_id, th, a, b, folds): the runs, with a hash of their
+    bytes; a run that folds may repeat strings in itself."""
     ship_by_value()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,32 +258,33 @@ def find_runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
             for i in range(batch.num_rows):
                 if at[i + 1] - at[i] >= length:
                     data = raw[at[i]:at[i + 1]]
-                    anchor, a, b = runs_of(data, length, gram, powers)
+                    anchor, a, b, folds = runs_of(data, length, gram, powers)
                     text = memoryview(data)
-                    digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[x:y]) for x, y in zip(a.tolist(), (b + length).tolist())]), np.int64).reshape(-1, 2)
-                    out.append((anchor.view(np.int64), digest[:, 0], digest[:, 1], a.astype(np.int32), b.astype(np.int32), np.full(len(a), i, np.int64)))
+                    digest = np.frombuffer(b"".join([xxhash.xxh3_64_digest(text[x:y]) for x, y in zip(a.tolist(), (b + length).tolist())]), np.int64)
+                    out.append((anchor.view(np.int64), digest, a.astype(np.int32), b.astype(np.int32), folds, np.full(len(a), i, np.int64)))
                     held += len(a)
                 if out and (held > 50_000 or i == batch.num_rows - 1):
-                    anchor, r1, r2, a, b, row = (np.concatenate(x) for x in zip(*out))
+                    anchor, r, a, b, folds, row = (np.concatenate(x) for x in zip(*out))
                     row = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(r1), pa.array(r2), batch.column(0).take(row), batch.column(1).take(row), pa.array(a), pa.array(b)], ["anchor", "r1", "r2", "doc_id", "th", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(r), batch.column(0).take(row), batch.column(1).take(row), pa.array(a), pa.array(b), pa.array(folds)], ["anchor", "r", "doc_id", "th", "a", "b", "folds"])
                     out, held = [], 0
 
-    return keyed.mapInArrow(run, f"anchor long, r1 long, r2 long, {KEY}, {RUN}")
+    return keyed.mapInArrow(run, f"anchor long, r long, {KEY}, {RUN}, folds boolean")
 
 
-def _sorted_shards(rows: DataFrame, length: int) -> DataFrame:
-    """Suffix arrays of the shards. Rows: (anchor, part, spread, many, doc_id,
-    th, a, body). Returns (kind, doc_id, th, a, b, w1, w2, todo): kind 0 are
-    repeated starts, kind 1 windows of anchors that lie in several shards."""
+def _sorted_shards(rows: DataFrame, length: int, across: bool) -> DataFrame:
+    """Suffix arrays of the shards. Rows: (anchor, part, spread, many, r, low,
+    high, a, doc_id, th, body). Returns (kind, anchor, r, doc_id, th, a, b, w1,
+    w2, todo, low, high): kind 0 are repeated starts, kind 1 windows of anchors
+    that lie in several shards."""
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
         raw, at = text_buffer(table.column("body").combine_chunks())
         base, data = at[:-1] - at[0], raw[at[0]:at[-1]]
         count = np.diff(at) - length + 1
-        mark, kind = shard_repeats(data, base, count, length)
         spread, many = (table.column(x).to_numpy(zero_copy_only=False).astype(bool) for x in ("spread", "many"))
-        a0 = table.column("a").to_numpy().astype(np.int64)
+        a0, least, most = (table.column(x).to_numpy().astype(np.int64) for x in ("a", "low", "high"))
+        mark, kind, low, high = shard_repeats(data, base, count, length, least, most, across)
         rows, lo, hi, wrow, wpos, w1, w2, todo = [], [], [], [], [], [], [], []
         seen: set[int] = set()
         text = memoryview(data)
@@ -259,20 +296,26 @@ def _sorted_shards(rows: DataFrame, length: int) -> DataFrame:
                 lo.append(x + a0[r])
                 hi.append(y + a0[r])
             if spread[r]:
+                # each start that is still open, and one witness of the classes that are done
                 for p, (k, done) in enumerate(zip(kind[own].tolist(), mark[own].tolist())):
-                    if k not in seen:
+                    is_open = not (done or many[r])
+                    if is_open or k not in seen:
                         seen.add(k)
                         w = xxhash.xxh3_128_digest(text[base[r] + p:base[r] + p + length])
                         wrow.append(r)
-                        wpos.append(a0[r] + p)
+                        wpos.append(p)
                         w1.append(int.from_bytes(w[:8], "little", signed=True))
                         w2.append(int.from_bytes(w[8:], "little", signed=True))
-                        todo.append(not (done or many[r]))
-        for kind_, row, x, y, h1, h2, t in ((0, rows, np.concatenate([*lo, []]), np.concatenate([*hi, []]), [0] * len(rows), [0] * len(rows), [False] * len(rows)), (1, wrow, wpos, wpos, w1, w2, todo)):
+                        todo.append(is_open)
+        at_window = base[wrow] + np.array(wpos, np.int64) if wrow else np.empty(0, np.int64)
+        none, wpos = np.zeros(len(rows), np.int64), a0[wrow] + np.array(wpos, np.int64) if wrow else []
+        for kind_, row, x, y, h1, h2, t, d1, d2 in ((0, rows, np.concatenate([*lo, []]), np.concatenate([*hi, []]), none, none, none.astype(bool), none, none),
+                                                    (1, wrow, wpos, wpos, w1, w2, todo, low[at_window], high[at_window])):
             if len(row):
                 ids = pa.array(row, pa.int64())
-                cols = [pa.array([kind_] * len(row), pa.int32()), table.column("doc_id").combine_chunks().take(ids), table.column("th").combine_chunks().take(ids), pa.array(np.asarray(x, np.int32)), pa.array(np.asarray(y, np.int32)), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(t, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(cols, ["kind", "doc_id", "th", "a", "b", "w1", "w2", "todo"])
+                take = {c: table.column(c).combine_chunks().take(ids) for c in ("anchor", "r", "doc_id", "th")}
+                cols = [pa.array([kind_] * len(row), pa.int32()), *take.values(), pa.array(np.asarray(x, np.int32)), pa.array(np.asarray(y, np.int32)), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(t, pa.bool_()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["kind", *take, "a", "b", "w1", "w2", "todo", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # whole groups of up to SHARD_BYTES, and the group that is not over
@@ -303,12 +346,13 @@ def _sorted_shards(rows: DataFrame, length: int) -> DataFrame:
                 yield from solve(table.slice(lo, end - lo))
                 lo = end
 
-    return rows.mapInArrow(run, f"kind int, {KEY}, {RUN}, w1 long, w2 long, todo boolean")
+    return rows.mapInArrow(run, f"kind int, anchor long, r long, {KEY}, {RUN}, w1 long, w2 long, todo boolean, low long, high long")
 
 
 def _merged(windows: DataFrame) -> DataFrame:
-    """Windows that two shards or more hold: dealt by hash and sorted, a
-    binary search gives each window the range of its equals."""
+    """Open windows whose string lies at several places of all shards:
+    dealt by hash and sorted, a binary search gives each window the range of
+    its equals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -327,35 +371,43 @@ def _merged(windows: DataFrame) -> DataFrame:
             return
         w1, w2 = (table.column(x).to_numpy() for x in ("w1", "w2"))
         name = np.cumsum(np.r_[False, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
-        held_by = np.searchsorted(name, name, "right") - np.searchsorted(name, name, "left")
-        keep = (held_by > 1) & table.column("todo").to_numpy(zero_copy_only=False).astype(bool)
-        out = table.select(["doc_id", "th", "a", "b"]).filter(pa.array(keep)).combine_chunks()
+        first = np.searchsorted(name, np.arange(name[-1] + 1))
+        low, high = (table.column(x).to_numpy() for x in ("low", "high"))
+        several = np.minimum.reduceat(low, first) < np.maximum.reduceat(high, first)
+        keep = several[name] & table.column("todo").to_numpy(zero_copy_only=False).astype(bool)
+        out = table.select(["anchor", "r", "doc_id", "th", "a", "b"]).filter(pa.array(keep)).combine_chunks()
         yield from out.to_batches()
 
-    return (windows.select("w1", "w2", "doc_id", "th", "a", "b", "todo").repartition("w1", "w2")
-            .sortWithinPartitions("w1", "w2").mapInArrow(run, f"{KEY}, {RUN}"))
+    return (windows.select("w1", "w2", "anchor", "r", "doc_id", "th", "a", "b", "todo", "low", "high").repartition("w1", "w2")
+            .sortWithinPartitions("w1", "w2").mapInArrow(run, f"anchor long, r long, {KEY}, {RUN}"))
 
 
-def repeated_starts(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, th, a, b): stretches of starts whose ``length`` bytes also start elsewhere."""
+def repeated_starts(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, across: bool = False) -> DataFrame:
+    """(doc_id, th, a, b): stretches of starts whose ``length`` bytes also
+    start elsewhere (``across``: in another document)."""
     ship_by_value()
     runs = written(find_runs(keyed, length, gram), "runs")
     # written, so that the join below reads plain exchanges, which may be split where an anchor is hot
-    twice = written(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "twice")
+    folds = F.lit(False) if across else F.bool_or("folds")
+    twice = written(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), folds.alias("folds")).where("n > 1 or folds").select("anchor"), "twice")
     runs = written(runs.join(twice, "anchor", "left_semi"), "anchored")
-    different = written(runs.groupBy("anchor", "r1", "r2").agg(
-        F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "th", "a", "b")]), "different")
-    whole = runs.join(different.where("n > 1").select("anchor", "r1", "r2"), ["anchor", "r1", "r2"], "left_semi").select("doc_id", "th", "a", "b")
-    several = written(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1"), "several")
+    place = F.xxhash64("doc_id", "th") if across else F.xxhash64("doc_id", "th", "a")
+    different = runs.groupBy("anchor", "r").agg(
+        F.count(F.lit(1)).alias("n"), F.min(place).alias("low"), F.max(place).alias("high"), folds.alias("folds"), *[F.first(c).alias(c) for c in ("doc_id", "th", "a", "b")])
+    # rows that repeat a row share its places, and are its copies
+    different = written(different.withColumn("many", F.expr("low < high") if across else F.col("n") > 1), "different")
+    whole = runs.join(different.where("many").select("anchor", "r"), ["anchor", "r"], "left_semi").select("doc_id", "th", "a", "b")
+    several = written(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.bool_and("many").alias("done"), F.bool_or("folds").alias("folds")).where("(kinds > 1 or folds) and not done").select("anchor", "kinds"), "several")
     shards = F.ceil(F.col("kinds") / SHARD_RUNS)
-    asked = (different.join(several, "anchor").withColumn("part", F.pmod("r1", shards).cast("int"))
-             .select("doc_id", "th", F.struct("anchor", "part", (shards > 1).alias("spread"), (F.col("n") > 1).alias("many"), "a", "b").alias("run"))
+    ends = [F.when(F.col("many"), F.lit(end)).otherwise(F.col(c)).alias(c) for c, end in zip(("low", "high"), SEVERAL)]
+    asked = (different.join(several, "anchor").withColumn("part", F.pmod("r", shards).cast("int"))
+             .select("doc_id", "th", F.struct("anchor", "part", (shards > 1).alias("spread"), "many", "r", *ends, "a", "b").alias("run"))
              .groupBy("doc_id", "th").agg(F.collect_list("run").alias("asked")))
     texts = keyed.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "text")
     fetched = asked.join(texts, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__t"))).select("doc_id", "th", "text", "asked")
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "part", "spread", "many", "a"]
+        names = ["anchor", "part", "spread", "many", "r", "low", "high", "a"]
         for batch in batches:
             raw, at = text_buffer(batch.column(2))
             lists = batch.column(3)
@@ -368,13 +420,18 @@ def repeated_starts(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 ids = pa.array(rows[own])
                 yield pa.RecordBatch.from_arrays([*[run.field(x)[own] for x in names], batch.column(0).take(ids), batch.column(1).take(ids), pa.array(body, pa.binary())], [*names, "doc_id", "th", "body"])
 
-    rows = fetched.mapInArrow(bodies, f"anchor long, part int, spread boolean, many boolean, a int, {KEY}, body binary")
-    # identical rows (one key twice) fetch their run twice; one is enough
+    rows = fetched.mapInArrow(bodies, f"anchor long, part int, spread boolean, many boolean, r long, low long, high long, a int, {KEY}, body binary")
     rows = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "doc_id", "th", "a")
-    solved = written(_sorted_shards(rows, length), "solved")
-    found = solved.where("kind = 0").select("doc_id", "th", "a", "b")
-    across = _merged(solved.where("kind = 1"))
-    return whole.unionByName(found).unionByName(across)
+    solved = written(_sorted_shards(rows, length, across), "solved")
+    found = solved.where("kind = 0").select("anchor", "r", "doc_id", "th", "a", "b").unionByName(_merged(solved.where("kind = 1")))
+    if across:  # a run that only its own document repeats stood for its copies there
+        found = written(found, "found")
+        folded = different.where("n > 1 and not many").select("anchor", "r", F.col("a").alias("from"))
+        copies = runs.select("anchor", "r", F.col("a").alias("to")).join(folded, ["anchor", "r"])
+        moved = F.col("to") - F.col("from")
+        there = found.join(copies, ["anchor", "r"]).select("doc_id", "th", (F.col("a") + moved).alias("a"), (F.col("b") + moved).alias("b"))
+        whole = whole.unionByName(there)
+    return whole.unionByName(found.select("doc_id", "th", "a", "b"))
 
 
 def _covered(spans: np.ndarray, length: int, n: int) -> np.ndarray:
@@ -386,13 +443,31 @@ def _covered(spans: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
+def _long_enough(mark: np.ndarray, data: np.ndarray, min_words: int) -> np.ndarray:
+    """``mark`` without the stretches that hold fewer whole words."""
+    white = (data == 32) | ((data >= 9) & (data <= 13))
+    first, last = _spans(~white)
+    out = mark.copy()
+    for x, y in zip(*_spans(mark)):
+        if np.searchsorted(last, y, "right") - np.searchsorted(first, x, "left") < min_words:
+            out[x:y + 1] = False
+    return out
+
+
+def decoded(kept: str = "kept") -> Column:
+    """The remaining bytes as text. Where a removed stretch cut a character
+    in two, the bytes left of it go as well."""
+    return F.coalesce(F.try_validate_utf8(kept), F.regexp_replace(F.make_valid_utf8(kept), "\ufffd", ""))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+                   length: int = LENGTH, gram: int = GRAM, across: bool = False, min_words: int = 0) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, other): one row per row of
     ``docs``; kept are the remaining bytes, other the columns besides the two
     named."""
+    ship_by_value()
     keyed = _keyed(docs, id_col, text_col)
-    found = (repeated_starts(keyed.drop("other"), length, gram).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    found = (repeated_starts(keyed.drop("other"), length, gram, across).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
              .select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "spans"))
     both = (keyed.join(found, keyed.doc_id.eqNullSafe(F.col("__d")) & (keyed.th == F.col("__t")), "left")
             .select("doc_id", "text", "spans", "other"))
@@ -408,6 +483,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if has[i]:
                     own = lists[i].values
                     mark = _covered(np.stack([own.field(0).to_numpy(), own.field(1).to_numpy()], 1).astype(np.int64), length, len(data))
+                    if min_words:
+                        mark = _long_enough(mark, data, min_words)
                     removed.append(int(mark.sum()))
                     spans.append(len(_spans(mark)[0]))
                     data = data[~mark]
@@ -421,18 +498,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return both.mapInArrow(run, T.StructType([*fields, both.schema["other"]]))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` with the repeats taken out of the text (and ``n_chars``
-    counted anew, if there is such a column); all rows stay, if need be with
-    empty text. Where a removed stretch cuts a character in two, the bytes
-    left of it go as well."""
-    ship_by_value()
-    out = remove_repeats(docs, id_col, text_col, length, gram)
-    text = F.try_validate_utf8("kept")
-    decode = F.coalesce(text, F.regexp_replace(F.make_valid_utf8("kept"), "\ufffd", ""))
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = PASSAGE_BYTES,
+                    gram: int = PASSAGE_GRAM, across: bool = True, min_words: int = PASSAGE_WORDS) -> DataFrame:
+    """``docs`` with the passages that other documents hold too taken out of
+    the text, at all their places (and ``n_chars`` counted anew, if there is
+    such a column); all rows stay, if need be with empty text."""
+    out = remove_repeats(docs, id_col, text_col, length, gram, across, min_words)
     other = {c: F.col("other").getField(c) for c in docs.columns if c not in (id_col, text_col)}
     if "n_chars" in other:
-        other["n_chars"] = F.length(decode).cast(docs.schema["n_chars"].dataType)
-    columns = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text_col: decode, **other}
+        other["n_chars"] = F.length(decoded()).cast(docs.schema["n_chars"].dataType)
+    columns = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text_col: decoded(), **other}
     return out.select(*[columns[c].alias(c) for c in docs.columns])

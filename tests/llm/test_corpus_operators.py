@@ -93,6 +93,17 @@ def test_simhash_odd_rows(odd, spark):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_simhash_keep_one_by_group(spark):
+    """Ids shared by different texts, and rows without an id, lose nothing."""
+    text = lambda seed: " ".join(random.Random(seed).choice("abcdefghij") * 3 + str(k) for k in range(60))
+    a, b, c, d = map(text, range(4))
+    rows = [(7, a), (7, b), (None, c), (None, c), (None, d), (8, a), (9, d + " more"), (3, None), (None, "")]
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    groups = {frozenset(map(rows.__getitem__, g)) for g in naive_components({k: naive_simhash(t) for k, (_, t) in enumerate(rows)}).values()}
+    assert len(kept) == len(groups) and all(sum(k in g for k in kept) == 1 for g in groups)
+    assert {(7, a), (7, b), (None, c), (3, None)} <= set(kept)
+
+
 def test_simhash_bucket_index_finds_every_component():
     import numpy as np
 
@@ -151,12 +162,66 @@ def naive_repeats(texts, length):
     return out
 
 
+def naive_passages(texts, length=240, min_words=50):
+    """Texts without the stretches of ``min_words`` whole words whose every
+    ``length`` bytes also stand in another text."""
+    where = collections.defaultdict(set)
+    for k, t in enumerate(texts):
+        for i in range(len(t) - length + 1):
+            where[t[i:i + length]].add(t)
+    out = []
+    for t in texts:
+        mark = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if len(where[t[i:i + length]]) > 1:
+                mark[i:i + length] = b"\1" * length
+        words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        for m in re.finditer(rb"\x01+", bytes(mark)):
+            if sum(m.start() <= a and b <= m.end() for a, b in words) < min_words:
+                mark[m.start():m.end()] = bytes(m.end() - m.start())
+        out.append(bytes(b for b, m in zip(t, mark) if not m))
+    return out
+
+
+def test_passages_of_fifty_words(spark, monkeypatch):
+    """Planted passages of 51 words, across documents and inside one, shorter ones, and copies in one document of what others hold."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    shared = [prose(51) for _ in range(4)]
+    short, own, periodic = prose(46), prose(70), "ab " * 400
+    rows = [(i, f"{prose(rng.randint(5, 90))}\n{shared[i % 4]}\n{prose(rng.randint(5, 90))}") for i in range(40)]
+    rows += [(100 + i, f"{prose(20)}\n{own}\n{prose(20)}\n{own}\n{shared[0]}\n{prose(9)}\n{shared[0]}") for i in range(1)]
+    rows += [(200 + i, f"{prose(60)}\n{short}\n{prose(60)}") for i in range(3)]
+    rows += [(300, periodic), (301, prose(30) + periodic + prose(3)), (302, "x" * 5000), (303, prose(80))]
+    for limit in (4096, 3):
+        monkeypatch.setattr(suffixes, "SHARD_RUNS", limit)
+        got = {r.doc_id: r.text for r in suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert [got[i].encode() for i, _ in rows] == naive_passages([t.encode() for _, t in rows])
+    for i, t in rows:
+        if i < 40:
+            assert shared[i % 4] not in got[i] and len(got[i]) > len(t) - len(shared[i % 4]) - 20
+        elif i >= 200 and i not in (300, 301):
+            assert got[i] == t
+    assert got[100].count(own) == 2 and shared[0] not in got[100]
+
+
+def test_periodic_text_has_few_runs():
+    import numpy as np
+
+    data = np.frombuffer(b"a" * 100_000 + b"xy" * 50_000, np.uint8)
+    anchor, first, last, folds = suffixes.runs_of(data, 400, 100, suffixes._powers(suffixes.PIECE + 400))
+    assert len(first) < 700 and folds.any() and first[0] == 0 and last[-1] == len(data) - 400
+    assert (first[1:] == last[:-1] + 1).all() and (last - first < 400).all()
+
+
 def test_suffix_dedup_whole_table(spark):
     got = {r.doc_id: r for r in queries.op8_suffix_dedup(spark, SF001).collect()}
     rows = spark.read.parquet(f"{SF001}/documents.parquet").collect()
     for r, (n, removed, spans, kept) in zip(rows, naive_repeats([(r.text or "").encode() for r in rows], suffixes.LENGTH)):
         g = got[r.doc_id]
         assert (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) == (n, removed, spans, hashlib.sha256(kept).hexdigest())
+        assert (g.text, g.n_kept) == (kept.decode("utf-8", "ignore"), len(kept))
 
 
 def test_suffix_dedup_odd_rows(odd):
@@ -173,7 +238,7 @@ def test_suffix_dedup_cuts_no_character_in_two(spark):
     # the shared bytes begin inside a character: é and ĩ end in the same byte
     tail = "é" + "x" * 500
     docs = spark.createDataFrame([(1, "a" + tail), (2, "bĩ" + "x" * 500)], "doc_id long, text string")
-    out = {r.doc_id: r.text for r in suffixes.without_repeats(docs).collect()}
+    out = {r.doc_id: r.text for r in suffixes.without_repeats(docs, min_words=0).collect()}
     assert out == {1: "a", 2: "b"}
 
 

@@ -5,7 +5,7 @@ import collections
 import corpus_pipeline
 from ledgerlens.llm import langid
 
-from .test_corpus_operators import naive_components, naive_repeats, naive_simhash
+from .test_corpus_operators import naive_components, naive_passages, naive_simhash
 
 SF001 = "/root/testdata/sf0.001"
 
@@ -31,7 +31,7 @@ def test_stages_against_brute_force(spark, tmp_path):
 
     clean = stage("repeated_passages", single)
     rows = single.collect()
-    want = {r.doc_id: w[3].decode("utf-8", "ignore") for r, w in zip(rows, naive_repeats([r.text.encode() for r in rows], 400))}
+    want = {r.doc_id: w.decode("utf-8", "ignore") for r, w in zip(rows, naive_passages([r.text.encode() for r in rows]))}
     assert {r.doc_id: r.text for r in clean.collect()} == want
     assert all(r.n_chars == len(r.text) for r in clean.collect()) and clean.columns == columns
 
