@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, langid, metric, mixing, packing, pages, phrases, simhash, suffixes, tokens
+from ledgerlens.llm import chat, exact, langid, lexical, metric, mixing, packing, pages, phrases, simhash, suffixes, tokens, variants
 from ledgerlens.llm.common import load
+from ledgerlens.session import scratch_path
 
 
 def op1_metric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,10 +63,25 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.rank_documents(docs, load(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.deduplicate(load(spark, sf_dir, "documents").select("doc_id", "text"), scratch_path(spark, "digest-index"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_metric_search, op2_main_text, op3_language_id, op4_simhash, op5_packing, op6_token_counts, op7_mixing,
-                                op8_suffix_dedup, op9_fingerprints, op10_chat)
+                                op8_suffix_dedup, op9_fingerprints, op10_chat, op11_lexical_search, op12_spelling_variants, op13_exact_dedup)
 }
+FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES: dict[str, str] = {
     "op1_metric_search": """
         WITH v AS (
@@ -88,4 +104,18 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length(role) + length(text) + 24 + len(regexp_extract_all(text, '<\\\\*\\|'))) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op11_lexical_search": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({FOLDED}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS terms FROM documents),
+        c AS (SELECT count(*) FILTER (len(terms) > 0) AS docs, CAST(sum(len(terms)) AS BIGINT) AS words FROM d),
+        f AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY doc_id, n, term),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({FOLDED}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS term FROM benchmark),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY term, docs),
+        s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words)))) AS BIGINT) AS score
+              FROM q JOIN w USING (term) JOIN f USING (term), c GROUP BY item_id, doc_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50""",
+    "op13_exact_dedup": f"""
+        WITH d AS (SELECT doc_id, sha256({FOLDED}) AS text_sha256 FROM documents)
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, text_sha256
+        FROM d WINDOW same AS (PARTITION BY text_sha256)""",
 }
