@@ -18,16 +18,20 @@ from __future__ import annotations
 import inspect
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import journal as jn
 from ledgerlens.operators.indexing import global_index
 from ledgerlens.operators.skew import BROADCAST_ROWS, HOT_ROWS, balanced_join, small_enough
 from ledgerlens.schema import CATEGORIES, REPLY_SCHEMA, UNCATEGORIZED
+from ledgerlens.session import scratch_path
 
 # ---------------------------------------------------------------------------
 # U2 seed rules. Keywords are matched as whole words in
@@ -280,7 +284,14 @@ ClassifierFn = Callable[..., object]
 class PermanentClassifierError(RuntimeError):
     """Raised by a classifier function for an error that no retry mends (a
     rejected key, an exhausted account): it stops the run instead of turning
-    the batch into Uncategorized."""
+    the batch into Uncategorized. ``call_classifier`` with a journal and
+    ``categorize`` raise it themselves, after the finished batches are saved."""
+
+
+def _is_permanent(failed: Exception) -> bool:
+    """By name: a function shipped with this package by value and one that
+    imports it on the executor have classes of their own."""
+    return any(c.__name__ == PermanentClassifierError.__name__ for c in type(failed).__mro__)
 
 
 def _call_with_retry(fn: ClassifierFn, prompt: str, items: list[dict], max_tokens: int,
@@ -292,9 +303,9 @@ def _call_with_retry(fn: ClassifierFn, prompt: str, items: list[dict], max_token
             if reply is None:
                 return None
             return reply if isinstance(reply, str) else json.dumps(reply)
-        except PermanentClassifierError:
-            raise
-        except Exception:  # noqa: BLE001 - any other failure of the plug → retry, then give up
+        except Exception as failed:  # noqa: BLE001 - any failure of the plug but a permanent one → retry, then give up
+            if _is_permanent(failed):
+                raise
             if attempt < retries:
                 time.sleep(pause * (attempt + 1))
     return None
@@ -308,7 +319,8 @@ def _pickle_package_by_value() -> None:
 
 
 def call_classifier(batched: DataFrame, fn: ClassifierFn, retries: int = 1, pause: float = 1.0,
-                    tasks: int | None = None, threads: int = 1) -> DataFrame:
+                    tasks: int | None = None, threads: int = 1, journal: str | None = None,
+                    journal_every: int = 16) -> DataFrame:
     """One call of ``fn`` per batch, from ``mapInPandas`` on the
     executors; a batch that still fails after ``retries`` gets reply NULL.
     ``fn(prompt)``, ``fn(prompt, items)`` or ``fn(prompt, items,
@@ -317,32 +329,57 @@ def call_classifier(batched: DataFrame, fn: ClassifierFn, retries: int = 1, paus
 
     The request table is tiny next to the time a call takes, so AQE would
     coalesce it into one partition and make every call wait for the one
-    before. It is hash-partitioned by batch into ``tasks`` partitions
-    (default: the cluster's default parallelism; a fixed partition count
-    is not coalesced), and each task keeps up to ``threads`` calls in
-    flight: ``tasks × threads`` concurrent calls in all."""
+    before. It is dealt by batch number into at least ``tasks`` partitions
+    (default: the cluster's default parallelism) of at most ``journal_every``
+    batches, and each task keeps up to ``threads`` calls in flight. Every
+    finished batch goes to the journal (see ``operators/journal.py``; a folder
+    of its own under the checkpoint root if none is named), batches that the
+    journal answers already are not called, and a ``PermanentClassifierError``
+    is raised here, when the journal is written."""
     spark = batched.sparkSession
-    n_tasks = tasks or spark.sparkContext.defaultParallelism
-    work = build_prompts(batched, with_items=True).repartition(n_tasks, "batch_id")
+    journal = journal or scratch_path(spark, "reply-journal")
+    work = build_prompts(batched, with_items=True).withColumn("key", F.sha2(F.concat_ws("\n", "prompt", "items_json"), 256))
+    work = work.checkpoint(eager=True)  # its batches, their keys and the reply join below must be the same
+    known = jn.entries(spark, journal).where(F.col("status") == jn.ANSWERED)
+    todo = work.join(known.select("key"), "key", "left_anti")
+    this = uuid.uuid4().hex
+    n_tasks = max(tasks or spark.sparkContext.defaultParallelism, -(-work.count() // journal_every))
     # Ship this package's code with the closure, so executors whose Python
     # path lacks ledgerlens can still run it (a user's own ``fn`` module is
     # the user's to ship, e.g. with --py-files).
     _pickle_package_by_value()
 
-    def one(prompt: str, items_json: str, budget: int) -> str | None:
-        its = [{"merchant": i["merchant"], "description": i["description"]}
-               for i in json.loads(items_json)]
-        return _call_with_retry(fn, prompt, its, int(budget), retries, pause)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from concurrent.futures import ThreadPoolExecutor
 
+        stopped: list[str] = []
+
+        def one(prompt: str, items_json: str, budget: int) -> tuple[str, str | None]:
+            if stopped:
+                return jn.LEFT_OUT, None
+            its = [{"merchant": i.get("merchant"), "description": i.get("description")} for i in json.loads(items_json)]
+            try:
+                reply = _call_with_retry(fn, prompt, its, int(budget), retries, pause)
+            except Exception as rejected:  # noqa: BLE001 - only a permanent one gets here
+                stopped.append(str(rejected))
+                return jn.PERMANENT, str(rejected)
+            return (jn.FAILED, None) if reply is None else (jn.ANSWERED, reply)
+
         with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
             for pdf in batches:
-                replies = list(pool.map(one, pdf["prompt"], pdf["items_json"], pdf["max_tokens"]))
-                yield pd.DataFrame({"batch_id": pdf["batch_id"], "reply": replies})
+                said = list(pool.map(one, pdf["prompt"], pdf["items_json"], pdf["max_tokens"]))
+                yield pd.DataFrame({"key": pdf["key"], "batch_id": pdf["batch_id"], "items_json": pdf["items_json"], "run": this,
+                                    "status": [s for s, _ in said], "reply": [r for _, r in said]})
 
-    return work.mapInPandas(run, "batch_id long, reply string")
+    dealt = todo.repartitionById(n_tasks, F.pmod("batch_id", F.lit(n_tasks)).cast("int"))
+    jn.append(dealt.select("key", "batch_id", "items_json", "prompt", "max_tokens").mapInPandas(run, jn.JOURNAL_SCHEMA), journal)
+    told = jn.entries(spark, journal)
+    stop = told.where((F.col("status") == jn.PERMANENT) & (F.col("run") == this)).select("reply").first()
+    if stop is not None:
+        raise PermanentClassifierError(stop["reply"])
+    answers = told.where(F.col("status") == jn.ANSWERED).select("key", "reply")
+    # the journal may be cleared later: its answers are kept with the run
+    return work.select("key", "batch_id").join(answers, "key", "left").select("batch_id", "reply").checkpoint(eager=True)
 
 
 # Fixed value: where a chat-completion response body keeps the reply text.
@@ -394,19 +431,22 @@ def parse_replies(replies: DataFrame, batched: DataFrame) -> DataFrame:
 @dataclass
 class BatchClassifier:
     """U3 plug: ``fn`` called with 20 pairs at a time, retried once;
-    ``tasks`` × ``threads`` calls in flight (see ``call_classifier``)."""
+    ``tasks`` × ``threads`` calls in flight, ``journal_every`` batches per
+    task (see ``call_classifier``)."""
     fn: ClassifierFn
     batch_size: int = 20
     retries: int = 1
     pause: float = 1.0
     tasks: int | None = None
     threads: int = 1
+    journal_every: int = 16
 
 
 def categorize(df: DataFrame, classifier: Sequence[Rule] | BatchClassifier | None = None,
                cache: DataFrame | None = None, cache_root: str | None = None,
                cache_failures: bool = False, hot_rows: int = HOT_ROWS,
-               broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+               broadcast_rows: int = BROADCAST_ROWS, journal: str | None = None,
+               report: dict[str, int] | None = None) -> DataFrame:
     """Add ``category`` to every row (row count unchanged).
 
     Rules and no cache: one column expression, no shuffle.
@@ -420,7 +460,15 @@ def categorize(df: DataFrame, classifier: Sequence[Rule] | BatchClassifier | Non
     ``cache_root`` → join back: a broadcast of a mapping of at most
     ``broadcast_rows`` pairs, else a sort-merge join salting the pairs of
     more than ``hot_rows`` rows. Failed batches are not cached unless
-    ``cache_failures``."""
+    ``cache_failures``.
+
+    A batch classifier's replies go to ``journal`` (default: next to the
+    cache at ``cache_root``) as they come. If a run fails, for whatever
+    reason, the next one with the same journal takes its answers over and
+    asks for the other pairs only; a run that has saved its pairs at
+    ``cache_root`` clears the journal. ``report``, if given, is filled with
+    the number of batches, of those without an answer, and of pairs taken over
+    from the journal."""
     from ledgerlens.session import checkpoint_root
     from ledgerlens.sources.cache import upsert_cache
 
@@ -447,10 +495,24 @@ def categorize(df: DataFrame, classifier: Sequence[Rule] | BatchClassifier | Non
         misses = pairs
 
     if isinstance(classifier, BatchClassifier):
-        batched = assign_batches(misses, classifier.batch_size)
-        replies = call_classifier(batched, classifier.fn, classifier.retries, classifier.pause,
-                                  classifier.tasks, classifier.threads)
+        if journal is None and cache_root is not None:
+            journal = f"{cache_root.rstrip('/')}/journal"
+        taken = None
+        if journal is not None:
+            taken = parse_replies(*jn.answered_batches(df.sparkSession, journal)).checkpoint(eager=True)
+            t = taken.select(*[F.col(c).alias("_" + c) for c in [*PAIR_KEYS, "category", "answered"]])
+            cond = reduce(lambda a, b: a & b, [misses[c].eqNullSafe(t["_" + c]) for c in PAIR_KEYS])
+            asked, taken = misses.join(t, cond, "left_anti"), t.join(misses, cond).select(*PAIR_KEYS, F.col("_category").alias("category"), F.col("_answered").alias("answered"))
+        else:
+            asked = misses
+        batched = assign_batches(asked, classifier.batch_size)
+        replies = call_classifier(batched, classifier.fn, classifier.retries, classifier.pause, classifier.tasks,
+                                  classifier.threads, journal, classifier.journal_every)
+        if report is not None:
+            report.update(failed_batches(replies).first().asDict(), resumed_pairs=0 if taken is None else taken.count())
         fresh = parse_replies(replies, batched)
+        if taken is not None:
+            fresh = fresh.select(*PAIR_KEYS, "category", "answered").unionByName(taken.select(*PAIR_KEYS, "category", "answered"))
         keep = F.lit(True) if cache_failures else F.col("answered")
         new_pairs = fresh.filter(keep).select(*PAIR_KEYS, "category")
     else:
@@ -463,6 +525,8 @@ def categorize(df: DataFrame, classifier: Sequence[Rule] | BatchClassifier | Non
     mapping = new_pairs if hits is None else hits.unionByName(new_pairs)
     if cache_root is not None:
         upsert_cache(df.sparkSession, cache_root, new_pairs)
+        if isinstance(classifier, BatchClassifier):
+            jn.clear(df.sparkSession, journal)
     return attach_categories(df, mapping, counts, hot_rows, broadcast_rows)
 
 

@@ -733,6 +733,22 @@ def q_cache_upsert(spark, sf_dir):
     return cache.load_cache(spark, root)
 
 
+@register("cache_compacted", _with(*O_RULED, ("c", "SELECT DISTINCT merchant, parsed_description, rule_cat FROM k")) + """
+SELECT merchant, parsed_description, CASE WHEN length(parsed_description) % 2 = 0 THEN 'Travel' ELSE rule_cat END AS category FROM c""")
+def q_cache_compacted(spark, sf_dir):
+    """Seven upserts with a full copy after every second one, the last
+    ones label half of the pairs anew; then vacuum."""
+    ruled = cls.with_rule_category(cls.distinct_pairs(o_prepared(spark, sf_dir))).checkpoint()
+    root = scratch_path(spark, "category-cache")
+    for k in range(5):
+        cache.upsert_cache(spark, root, ruled.where(F.pmod(F.xxhash64(*cls.PAIR_KEYS), F.lit(5)) == k), compact_every=2)
+    anew = ruled.where(F.length("parsed_description") % 2 == 0).withColumn("category", F.lit("Travel"))
+    for k in range(2):
+        cache.upsert_cache(spark, root, anew.where(F.length("merchant") % 2 == k), compact_every=2)
+    cache.vacuum_cache(spark, root)
+    return cache.load_cache(spark, root)
+
+
 @register("categorize_cached", _with(*O_RULED) + """
 SELECT txn_id, merchant, parsed_description, rule_cat AS category FROM k""")
 def q_categorize_cached(spark, sf_dir):
@@ -808,6 +824,48 @@ def q_categorize_batch(spark, sf_dir):
     return out.select("txn_id", "merchant", "parsed_description", "category")
 
 
+def _rejecting_classifier(prompt: str, items: list[dict]) -> dict:
+    """As ``_length_classifier``, but its account is closed for some requests."""
+    if items[0]["merchant"] == "4-NOT SPECIFIED":
+        raise cls.PermanentClassifierError("account closed")
+    return _length_classifier(prompt, items)
+
+
+def _travel_classifier(prompt: str, items: list[dict]) -> dict:
+    return {"results": [{**it, "category": "Travel"} for it in items]}
+
+
+@register("categorize_resumed", _with(*O_BATCHED, ("answer", """
+SELECT bt.merchant, bt.parsed_description, h.merchant = '4-NOT SPECIFIED' AS rejected
+FROM bt JOIN (SELECT batch_id, merchant FROM bt WHERE position = 1) h USING (batch_id)""")) + f"""
+SELECT txn_id, q.merchant, q.parsed_description,
+       CASE WHEN rejected THEN 'Travel' ELSE
+       list_extract({'[' + ', '.join("'" + c + "'" for c in CATEGORIES) + ']'}, (length(q.parsed_description) % 8) + 1) END AS category
+FROM q JOIN answer ON q.merchant = answer.merchant AND q.parsed_description = answer.parsed_description""")
+def q_categorize_resumed(spark, sf_dir):
+    """A run that fails for good on some batches, and a second one
+    with another classifier: it is asked for the pairs of those batches only,
+    the answers of the first run are taken from its journal."""
+    prepared = o_prepared(spark, sf_dir).drop("category")
+    root = scratch_path(spark, "resumed-cache")
+    try:
+        cls.categorize(prepared, cls.BatchClassifier(_rejecting_classifier, journal_every=1), cache_root=root)
+    except cls.PermanentClassifierError:
+        pass  # on tables without such pairs the first run answers everything
+    out = cls.categorize(prepared, cls.BatchClassifier(_travel_classifier), cache=cache.load_cache(spark, root), cache_root=root)
+    return out.select("txn_id", "merchant", "parsed_description", "category")
+
+
+@register("categorize_one_pair", _with(*O_RULED, ("best", "SELECT merchant, parsed_description, COUNT(*) AS n FROM q GROUP BY ALL"),
+                                       ("one", "SELECT * FROM best ORDER BY n DESC, merchant, parsed_description LIMIT 1")) + f"""
+SELECT merchant, parsed_description, {rule_sql('merchant', 'parsed_description')} AS category FROM one""")
+def q_categorize_one_pair(spark, sf_dir):
+    """The pair that most rows have, through the path of one pair."""
+    pairs = o_prepared(spark, sf_dir).groupBy(*cls.PAIR_KEYS).agg(F.count(F.lit(1)).alias("n"))
+    top = pairs.orderBy(F.desc("n"), *cls.PAIR_KEYS).first()
+    return cls.categorize_one(spark, top["merchant"], top["parsed_description"], cache_root=scratch_path(spark, "one-pair"))
+
+
 # ---------------------------------------------------------------------------
 # Formatting and sinks
 # ---------------------------------------------------------------------------

@@ -21,7 +21,8 @@ from ledgerlens.operators.classify import with_rule_category
 from ledgerlens.operators.prepare import month_key, prepare
 from ledgerlens.operators.skew import BROADCAST_ROWS, small_enough
 from ledgerlens.session import checkpoint_root
-from ledgerlens.sources.cache import COMPACT_EVERY, numbered_folders
+from ledgerlens.sources.cache import COMPACT_EVERY
+from ledgerlens.sources.files import numbered_folders
 from ledgerlens.sources.exports import CSV_GLOB, csv_options, normalize, row_id
 
 
