@@ -41,7 +41,7 @@ from ledgerlens.llm.common import row_slices, ship_by_value, text_buffer, worker
 CAPACITY = 4096
 END_ID = 1
 #: Chunks that a worker remembers; then it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 
 def default_tokenizer() -> str:
@@ -51,7 +51,14 @@ def default_tokenizer() -> str:
 
 
 class ChunkIds:
-    """Ids (little-endian unsigned 32 bit) of chunks without white space."""
+    """Ids (little-endian unsigned 32 bit) of chunks without white space.
+
+    Words of letters alone are encoded many to a string: such a word is one
+    word to the tokenizer too, whose last id is one that ends words, so the
+    ids are cut there again. (Where the number of ends differs, a letter was
+    normalized into something else, and each word is encoded by itself.) Marks
+    behind a letter or digit of ASCII are words of their own, so they are
+    looked up apart."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -60,13 +67,43 @@ class ChunkIds:
         from tokenizers import Tokenizer
 
         self.library, self.known = Tokenizer.from_file(path), {}
+        ids = self.library.get_vocab()
+        self.ends = np.zeros(max(ids.values()) + 1, bool)
+        self.ends[[i for token, i in ids.items() if token.endswith("</w>")]] = True
 
-    def encode(self, chunks: list[bytes]) -> None:
+    def single(self, chunks: list[bytes]) -> None:
         for lo in range(0, len(chunks), 10_000):
             part = chunks[lo:lo + 10_000]
             for chunk, got in zip(part, self.library.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)):
                 self.known[chunk] = np.array(got.ids, "<u4").tobytes()
 
+    def joined(self, words: list[bytes]) -> None:
+        for lo in range(0, len(words), 20_000):
+            parts = [words[k:k + 200] for k in range(lo, min(lo + 20_000, len(words)), 200)]
+            for part, got in zip(parts, self.library.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False)):
+                ids = np.array(got.ids, "<u4")
+                cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                if len(cuts) != len(part):
+                    self.single(part)
+                    continue
+                raw = ids.tobytes()
+                self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
+
+    def encode(self, chunks: set[bytes]) -> None:
+        marked, words, rest = {}, [], []
+        for chunk in chunks:
+            word = chunk.rstrip(b".,;:!?")
+            if len(word) < len(chunk) and word[-1:].isalnum() and b"<|" not in chunk:
+                marked[chunk] = word
+        chunks = chunks.difference(marked).union(marked.values(), [c[len(w):] for c, w in marked.items()]).difference(self.known)
+        for chunk in chunks:
+            (words if chunk.isalpha() or not chunk.isascii() and chunk.decode("utf-8", "replace").isalpha() else rest).append(chunk)
+        self.joined(words)
+        self.single(rest)
+        known = self.known
+        for chunk, word in marked.items():
+            known[chunk] = known[word] + known[chunk[len(word):]]
+
     def texts(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
@@ -74,7 +111,7 @@ class ChunkIds:
         # beside other characters a capital may compose otherwise than its lower case
         split = [x.split() if b"<|" in x else (x.lower().split() if x.isascii() else [c.lower() if c.isascii() else c for c in x.split()]) for x in texts]
         new = set().union(*split).difference(self.known)
-        self.encode(list(new))
+        self.encode(new)
         get = self.known.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
