@@ -52,8 +52,12 @@ def category_totals(df: DataFrame, keys: Sequence[str] = (), ascending: bool = F
 def category_share(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """A4: category totals with their percent of the key's total and a rank
     (rank 1 = the leader shown on the breakdown card)."""
+    return share_of(df.groupBy(*keys, "category").agg(F.sum("amount").alias("_sum")), keys)
+
+
+def share_of(grouped: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``category_share`` of the exact sums (keys, category, _sum)."""
     keys = _keys(keys)
-    grouped = df.groupBy(*keys, "category").agg(F.sum("amount").alias("_sum"))
     w = _totals_window(keys)
     rank_w = w.orderBy(F.col("_sum").desc(), F.col("category"))
     out = grouped.select(
@@ -72,9 +76,13 @@ def metrics(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     Two-level aggregate: per (keys, category), then per keys; the top
     category is ``min_by(category, (-total, category))`` so a tie goes to
     the alphabetically first name. No join and no window."""
+    return metrics_of(df.groupBy(*keys, "category").agg(
+        F.sum("amount").alias("_sum"), F.count(F.lit(1)).alias("_n")), keys)
+
+
+def metrics_of(per_cat: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``metrics`` of the exact sums and counts (keys, category, _sum, _n)."""
     keys = _keys(keys)
-    per_cat = df.groupBy(*keys, "category").agg(
-        F.sum("amount").alias("_sum"), F.count(F.lit(1)).alias("_n"))
     out = per_cat.groupBy(*keys).agg(
         F.coalesce(F.sum("_sum"), F.lit(0)).alias("_total"),
         F.coalesce(F.sum("_n"), F.lit(0)).alias("count"),
@@ -139,23 +147,24 @@ def monthly_wide(df: DataFrame, categories: Sequence[str] | None = None,
     )
 
 
-def _weekday_wide(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _weekday_wide(df: DataFrame, keys: Sequence[str], rows: str | None = None) -> DataFrame:
     """One row per key with the 7 weekday sums and counts (conditional
-    aggregation: one shuffle, partial aggregation, no spine join)."""
+    aggregation: one shuffle, partial aggregation, no spine join). ``rows``
+    names the number of transactions that a row stands for (one, if None)."""
     dow = F.weekday("date")
     aggs = []
     for i in range(7):
         hit = dow == i
         aggs.append(F.coalesce(F.sum(F.when(hit, F.col("amount"))), F.lit(0)).alias(f"_s{i}"))
-        aggs.append(F.count(F.when(hit, F.lit(1))).alias(f"_c{i}"))
+        aggs.append((F.count(F.when(hit, F.lit(1))) if rows is None else F.coalesce(F.sum(F.when(hit, F.col(rows))), F.lit(0))).alias(f"_c{i}"))
     return df.groupBy(*keys).agg(*aggs)
 
 
-def weekday_profile(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def weekday_profile(df: DataFrame, keys: Sequence[str] = (), rows: str | None = None) -> DataFrame:
     """Spend and count for all 7 weekdays (Mon..Sun), zero-filled.
     The calendar spine is an array of 7 structs exploded per key."""
     keys = _keys(keys)
-    wide = _weekday_wide(df, keys)
+    wide = _weekday_wide(df, keys, rows)
     spine = F.array(*[
         F.struct(F.lit(i).alias("dow"), F.col(f"_s{i}").alias("s"), F.col(f"_c{i}").alias("c"))
         for i in range(7)

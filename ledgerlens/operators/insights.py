@@ -44,6 +44,13 @@ def merchant_stats(df: DataFrame, keys: Sequence[str] = (), by: str = "merchant"
         F.count(F.lit(1)).alias("_n"),
         F.max(newest_rank()).alias("_newest"),
     )
+    return stats_of(lvl1, keys, by)
+
+
+def stats_of(lvl1: DataFrame, keys: Sequence[str] = (), by: str = "merchant") -> DataFrame:
+    """``merchant_stats`` of the amounts of each merchant (keys, merchant,
+    amount, _n, _newest): level 2."""
+    keys = list(keys)
     lvl2 = lvl1.groupBy(*keys, by).agg(
         F.sum("_n").alias("count"),
         F.sum(F.when(F.col("amount").isNotNull(), F.col("_n"))).alias("_known"),
@@ -78,8 +85,12 @@ def recurring(df: DataFrame, keys: Sequence[str] = (), min_count: int = 3, ddof:
     ``ddof=0`` (population std, ≥3 charges) is the dashboard card, sorted
     by total; ``ddof=1`` with ``min_count=2`` is the alternative card,
     sorted by name ignoring case, which also shows the latest charge."""
+    return recurring_of(merchant_stats(df, keys, by), keys, min_count, ddof, exact)
+
+
+def recurring_of(stats: DataFrame, keys: Sequence[str] = (), min_count: int = 3, ddof: int = 0, exact: bool = False) -> DataFrame:
+    """``recurring`` of merchants' statistics."""
     keys = list(keys)
-    stats = merchant_stats(df, keys, by)
     std = F.col("std_pop") if ddof == 0 else F.col("std_samp")
     steady = F.coalesce(std < F.col("avg") * RECURRING_STD_RATIO, F.lit(False))
     out = stats.filter(
@@ -102,8 +113,13 @@ def recurring(df: DataFrame, keys: Sequence[str] = (), min_count: int = 3, ddof:
 def recurring_total(df: DataFrame, keys: Sequence[str] = (), min_count: int = 3,
                     ddof: int = 0) -> DataFrame:
     """Grand total and number of recurring merchants per key."""
+    return recurring_total_of(recurring(df, keys, min_count, ddof, exact=True), keys)
+
+
+def recurring_total_of(found: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``recurring_total`` of recurring merchants with their exact totals."""
     keys = list(keys)
-    return recurring(df, keys, min_count, ddof, exact=True).groupBy(*keys).agg(
+    return found.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("recurring_count"),
         money(F.sum("total_exact")).alias("grand_total"),
     )
@@ -146,8 +162,12 @@ def month_over_month(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
     ``lag`` and ``row_number`` run on the monthly aggregate, partitioned by
     key: at most one row per month present, whatever the row volume."""
+    return change_of(monthly_series(df, keys), keys)
+
+
+def change_of(monthly: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``month_over_month`` of the exact monthly sums (keys, month, _sum)."""
     keys = list(keys)
-    monthly = monthly_series(df, keys)
     w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy("month")
     last_w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(F.col("month").desc())
     with_prev = monthly.select(

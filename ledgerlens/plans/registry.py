@@ -24,6 +24,7 @@ from ledgerlens.operators import explore as ex
 from ledgerlens.operators import insights as ins
 from ledgerlens.operators import prepare as prep
 from ledgerlens.plans.report import dashboard
+from ledgerlens.plans.rollups import DashboardStore
 from ledgerlens.schema import CATEGORIES, REPLY_SCHEMA
 from ledgerlens.session import scratch_path
 from ledgerlens.sources import cache, exports, sinks
@@ -529,6 +530,75 @@ def q_largest_purchase(spark, sf_dir):
     return ins.largest_purchase(l_posted(spark, sf_dir))
 
 
+# ---------------------------------------------------------------------------
+# The maintained dashboard (S6, S7, S14): four uploads are added, one is
+# removed and one replaced; every result against the rows that are left.
+# ---------------------------------------------------------------------------
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+KEPT = (*O_ALL, ("p", "SELECT * FROM feed_o WHERE txn_id % 4 <> 1"))
+_STORES: dict[tuple[str, str], DashboardStore] = {}
+
+
+def _maintained(spark: SparkSession, sf_dir: str) -> DashboardStore:
+    """The store of this application and these tables; made once, all results read it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORES:
+        store = DashboardStore(spark, scratch_path(spark, "dashboard"), ACCT)
+        rows = feed_orders(spark, sf_dir)
+        for k in range(4):
+            part = rows.where(F.pmod("txn_id", F.lit(4)) == k)
+            # the third upload comes with wrong amounts at first
+            store.add(f"upload {k}", part.withColumn("amount", (F.col("amount") * 2).cast("decimal(18,2)")) if k == 2 else part)
+        store.remove("upload 1")
+        store.add("upload 2", rows.where(F.pmod("txn_id", F.lit(4)) == 2))
+        _STORES[key] = store
+    return _STORES[key]
+
+
+@register("maintained_transactions", _with(*KEPT) + """
+SELECT strftime(date, '%Y-%m-%d') AS date, merchant, description, CAST(amount AS DOUBLE) AS amount, category FROM p""")
+def q_maintained_transactions(spark, sf_dir):
+    return _maintained(spark, sf_dir).dashboard(SEGMENTS)["transactions"]
+
+
+@register("maintained_category_totals", _with(*KEPT) + """
+SELECT account_id, category, CAST(SUM(amount) AS DOUBLE) AS amount, COUNT(*) AS count FROM p GROUP BY ALL""")
+def q_maintained_category_totals(spark, sf_dir):
+    return _maintained(spark, sf_dir).category_totals()
+
+
+@register("maintained_monthly_series", _with(*KEPT) + "SELECT account_id, strftime(date, '%Y-%m') AS month, " + ", ".join(
+    f"CAST(COALESCE(SUM(amount) FILTER (WHERE category = '{c}'), 0) AS DOUBLE) AS \"{c}\"" for c in SEGMENTS) + " FROM p WHERE date IS NOT NULL GROUP BY ALL")
+def q_maintained_monthly_series(spark, sf_dir):
+    return _maintained(spark, sf_dir).monthly_series(SEGMENTS)
+
+
+@register("maintained_metrics", _with(*KEPT) + METRICS_SQL.format(keys_sel="account_id,", group="GROUP BY account_id"))
+def q_maintained_metrics(spark, sf_dir):
+    return _maintained(spark, sf_dir).metrics()
+
+
+@register("maintained_weekdays", _with(*KEPT)[:-1] + WEEKDAY_SQL.format(
+    keys_sel="account_id,", keysrc="(SELECT DISTINCT account_id FROM p)", spine_keys="spine.account_id,", join_keys="AND spine.account_id = g.account_id"))
+def q_maintained_weekdays(spark, sf_dir):
+    return _maintained(spark, sf_dir).insights()["day_of_week"]
+
+
+@register("maintained_recurring", _with(*KEPT, ("st", stats_sql("account_id", "merchant", "p"))) + recurring_sql("account_id", 3, "std_pop"))
+def q_maintained_recurring(spark, sf_dir):
+    return _maintained(spark, sf_dir).insights()["recurring"]
+
+
+@register("maintained_largest_purchase", _with(*KEPT) + """
+SELECT account_id, txn_id, date, merchant, description, category, CAST(amount AS DOUBLE) AS amount,
+       strftime(date, '%b %d, %Y') AS date_label
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY account_id ORDER BY amount DESC, date DESC NULLS LAST, txn_id) AS rn
+      FROM p) t WHERE rn = 1""")
+def q_maintained_largest_purchase(spark, sf_dir):
+    return _maintained(spark, sf_dir).insights()["largest_purchase"]
+
+
 # ---------------------------------------------------------------------------
 # Exploration
 # ---------------------------------------------------------------------------
