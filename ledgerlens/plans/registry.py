@@ -1182,3 +1182,89 @@ def q_stream_progress(spark, sf_dir):
     finally:
         spark.streams.removeListener(log)
     return prog.agg(F.sum("input_rows").cast("bigint").alias("input_rows"))
+
+
+# ---------------------------------------------------------------------------
+# Streams with state (R1–R4): several micro-batches, real late rows
+# ---------------------------------------------------------------------------
+
+# Events arrive in six files by their day; every tenth one two files later.
+ARRIVAL = "least(floor((day(ts) - 1) / 6) + (CASE WHEN event_id % 10 = 3 THEN 2 ELSE 0 END), 5)"
+
+
+def _arriving_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of six files, one per micro-batch."""
+    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select(
+        F.col("event_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("category"), F.col("value").cast("decimal(18,2)").alias("amount"))
+    folder = scratch_path(spark, "arriving")
+    for k in range(6):  # a file stream takes files in the order of their times
+        events.where(F.expr(ARRIVAL) == k).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+E_ARRIVING = (("a", f"""
+SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, event_type AS category, CAST(value AS DECIMAL(18,2)) AS amount, CAST({ARRIVAL} AS INTEGER) AS part FROM events"""),
+              ("tops", "SELECT part, MAX(ts) AS top FROM a GROUP BY part"),
+              ("marks", "SELECT parts.part, MAX(tops.top) - INTERVAL 1 DAY AS mark FROM (SELECT DISTINCT part FROM a) parts LEFT JOIN tops ON tops.part < parts.part GROUP BY parts.part"),
+              ("x", "SELECT a.*, COALESCE(date_trunc('day', ts) + INTERVAL 1 DAY <= mark, false) AS late FROM a JOIN marks USING (part)"))
+
+
+@register("stream_late_ledger", _with(*E_ARRIVING) + """
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, CAST(COALESCE(SUM(amount) FILTER (WHERE NOT late), 0) AS DOUBLE) AS amount, COUNT(*) FILTER (WHERE NOT late) AS count,
+       CAST(COALESCE(SUM(amount) FILTER (WHERE late), 0) AS DOUBLE) AS late_amount, COUNT(*) FILTER (WHERE late) AS late_count
+FROM x GROUP BY 1""")
+def q_stream_late_ledger(spark, sf_dir):
+    """What came in time for each day and what came when it was over."""
+    from ledgerlens.streaming import stateful
+    base = scratch_path(spark, "stream-late")
+    stateful.start_daily_ledger(_arriving_events(spark, sf_dir), f"{base}/out", f"{base}/chk").awaitTermination()
+    return stateful.daily_ledger(spark, f"{base}/out").select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("amount").cast("double").alias("amount"), "count",
+        F.col("late_amount").cast("double").alias("late_amount"), "late_count")
+
+
+@register("stream_closing_months", _with(*E_ARRIVING) + """
+SELECT strftime(ts, '%Y-%m') AS month, category, CAST(SUM(amount) AS DOUBLE) AS amount, COUNT(*) AS count FROM a GROUP BY ALL""")
+def q_stream_closing_months(spark, sf_dir):
+    """Running totals whose months leave the state when they are over."""
+    from ledgerlens.streaming import stateful
+    base = scratch_path(spark, "stream-months")
+    stateful.start_closing_totals(_arriving_events(spark, sf_dir), f"{base}/out", f"{base}/chk").awaitTermination()
+    return stateful.month_totals(spark, f"{base}/out").select("month", "category", F.col("amount").cast("double").alias("amount"), "count")
+
+
+@register("stream_live_cache", _with(*O_RULED) + """
+SELECT txn_id, merchant, parsed_description, CASE WHEN merchant = '5-LOW' THEN 'Uncategorized' ELSE rule_cat END AS category FROM k""")
+def q_stream_live_cache(spark, sf_dir):
+    """R2: transactions in four micro-batches under a cache that grows in
+    two; the labels of two merchants come after their first rows, those of one never."""
+    from ledgerlens.streaming import stateful
+    base = scratch_path(spark, "stream-live")
+    prepared = cls.with_rule_category(o_prepared(spark, sf_dir)).select("merchant", "parsed_description", "txn_id", "category").checkpoint()
+    labels = prepared.drop("txn_id").distinct().withColumn("version", F.lit(1).cast("long"))
+    for k in range(4):
+        prepared.where(F.pmod("txn_id", F.lit(4)) == k).drop("category").coalesce(1).write.mode("append").parquet(f"{base}/rows")
+    later = F.col("merchant").isin("1-URGENT", "2-HIGH")
+    labels.where(~later & (F.col("merchant") != "5-LOW")).coalesce(1).write.mode("append").parquet(f"{base}/labels")
+    labels.where(later).coalesce(1).write.mode("append").parquet(f"{base}/labels")
+    rows, changes = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/{name}") for df, name in ((prepared.drop("category"), "rows"), (labels, "labels")))
+    stateful.start_live_categories(rows, changes, f"{base}/out", f"{base}/chk").awaitTermination()
+    return stateful.latest_categories(spark, f"{base}/out").drop("corrected")
+
+
+@register("stream_mixed_folder", _with(*O_ALL) + f"""
+SELECT 'A' AS dialect, COUNT(*) AS rows, CAST(SUM(amount) AS DOUBLE) AS amount FROM feed_o WHERE {POSTED}
+UNION ALL
+SELECT 'B' AS dialect, COUNT(*) AS rows, CAST(SUM(amount) AS DOUBLE) AS amount FROM feed_o WHERE status <> 'Pending' AND amount > 0 AND merchant <> '5-LOW'
+UNION ALL
+SELECT 'quarantined files' AS dialect, 1 AS rows, 0.0 AS amount""")
+def q_stream_mixed_folder(spark, sf_dir):
+    """One stream over a folder with exports of both dialects and a file of another kind."""
+    from ledgerlens.streaming import stateful
+    base = _write_exports(spark, sf_dir)
+    feed_orders(spark, sf_dir).select("txn_id", "merchant").coalesce(1).write.option("header", True).csv(f"{base}/acct=x")
+    out = scratch_path(spark, "stream-folder")
+    stateful.start_folder(spark, f"{base}/*", f"{out}/out", f"{out}/chk", max_files_per_trigger=4).awaitTermination()
+    rows = spark.read.parquet(f"{out}/out/rows").groupBy("dialect").agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").cast("double").alias("amount"))
+    bad = spark.read.parquet(f"{out}/out/quarantine").agg(F.count(F.lit(1)).alias("rows"))
+    return rows.unionByName(bad.select(F.lit("quarantined files").alias("dialect"), "rows", F.lit(0.0).alias("amount")))

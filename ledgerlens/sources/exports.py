@@ -172,26 +172,32 @@ def read_exports(spark: SparkSession, path: str | Sequence[str], dialect: str |
         tag = "A" if found == DIALECT_A else "B"
         return normalize(_common(raw, tag, account_pattern), found).select(*NORMALIZED_COLUMNS)
     records, files = read_records(spark, path, CSV_GLOB, multiline)
+    return by_header(records, header_table(files, dialect), account_pattern, unknown, f"{path!r}")
+
+
+def header_table(files: DataFrame, dialect: str | None = None) -> DataFrame:
+    """(file_path, names, kind, known) of files with their header lines: the
+    dialect (the given one, if there is one), and whether the header has all
+    columns that it needs."""
     names = _header_cells(F.col("header"))
-    headers = files.select(F.col("file_path"), names.alias("names"), (F.lit(dialect) if dialect else _dialect_of(names)).alias("kind"))
-    return _by_header(records, headers, account_pattern, unknown, f"{path!r}")
+    lacks = reduce(lambda a, b: a | b, [(F.col("kind") == kind) & (F.size(F.array_except(F.lit(cols), F.col("names"))) > 0) for kind, cols in REQUIRED.items()])
+    return (files.select("file_path", names.alias("names")).withColumn("kind", F.lit(dialect) if dialect else _dialect_of(F.col("names")))
+            .withColumn("known", F.col("kind").isNotNull() & ~lacks))
 
 
-def _by_header(records: DataFrame, headers: DataFrame, account_pattern: str | None, unknown: str, where: str) -> DataFrame:
+def by_header(records: DataFrame, headers: DataFrame, account_pattern: str | None, unknown: str, where: str) -> DataFrame:
     """Normalised rows of ``records`` (record, file_path) with the names and
-    the dialect that ``headers`` (file_path, names, kind) has for their files."""
+    the dialect that ``headers`` (see ``header_table``) has for their files."""
     widest = headers.agg(F.max(F.size("names")), F.count(F.lit(1))).first()
     if not widest[1]:
         raise ValueError(f"no CSV export found under {where}")
-    lacks = reduce(lambda a, b: a | b, [(F.col("kind") == kind) & F.arrays_overlap(F.lit(cols), F.array_except(F.lit(cols), F.col("names")))
-                                        for kind, cols in REQUIRED.items()])
-    bad = headers.where(F.col("kind").isNull() | lacks)
-    first = bad.first()
+    first = headers.where("not known").first()
     if first is not None:
         if unknown == "fail":
             detect_dialect(first["names"])
             raise ValueError(f"{first['file_path']} lacks columns of {first['kind']}: it has {first['names']}")
-        headers = headers.where(F.col("kind").isNotNull() & ~lacks)
+        headers = headers.where("known")
+    headers = headers.drop("known")
     if small_enough(headers):
         headers = F.broadcast(headers)
     options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in csv_options().items() if k in ("multiLine", "escape", "mode")}

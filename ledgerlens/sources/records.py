@@ -167,8 +167,12 @@ def read_records(spark: SparkSession, path: str | Sequence[str], glob: str, mult
     """(records (record, file_path), files (file_path, header)). Header lines
     are not among the records; neither are blank ones. Without ``multiline``
     every line is a record. Repeated header lines inside a file are data."""
-    checkpoint_root(spark)
-    lines = text_lines(spark, path, glob)
+    return records_of(text_lines(spark, path, glob), multiline)
+
+
+def records_of(lines: DataFrame, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``read_records`` of lines (value, file_path, block) of whole files."""
+    checkpoint_root(lines.sparkSession)
     splits = begins_inside(split_table(lines)).checkpoint(eager=True)
     files = splits.where("block = 0 and header is not null").select("file_path", "header")
     # of the splits that begin or end inside quotes: what the scan itself keeps of each split is larger
