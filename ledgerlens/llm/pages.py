@@ -4,7 +4,10 @@ A page is read tag by tag into blocks: the text between two block-level tags,
 with its word count and link density (share of words inside links). A block is
 classified by its own and its neighbours' counts and densities and by a cue of
 the elements around it (1: article or main text, -1: menu, header, footer,
-sidebar, notice, advert, form or comment, 0: nothing told). The classifier is
+sidebar, notice, advert, form or comment, 0: nothing told). Inside main text a
+class tells a side element only if all its words do (``social-share``, but not
+``share-price``), or if the element is short and mostly links; links in
+headings there count as plain words. The classifier is
 a decision tree (Gini splits) trained on ``LABELLED``, a small table of
 hand-labelled blocks. Scripts, styles and other elements without readable
 text, and all markup, are left out. The blocks that are kept are joined.
@@ -39,6 +42,12 @@ MAIN_WORDS = frozenset("article main content post entry story".split())
 SIDE_WORDS = frozenset("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar nav navbar navigation menu
 breadcrumb breadcrumbs footer header masthead comment comments discussion reply replies cookie cookies consent notice notices alert popup modal
 newsletter subscribe subscription signup login share sharing social related recommended widget form search disclaimer gdpr pagination pager toolbar""".split())
+#: Words that say nothing of what an element is, beside side words.
+SHAPES = frozenset("""area bar block box button buttons container content contents group icons inner item items link links list outer panel post posts
+row section strip text title top bottom left right slot unit wrap wrapper zone article articles story stories""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of an element that is short.
+SHORT = 40
 #: Words after these name a part or a state of the element, not the element.
 PARTS = frozenset("has with without no not show hide hides".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -47,13 +56,19 @@ SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form
 LABELLED = (
     # menus, link lists
     (1, 1.0, 0, 0.0, 1, 1.0, -1, 0), (1, 1.0, 1, 1.0, 1, 1.0, -1, 0), (2, 1.0, 1, 1.0, 7, 0.0, -1, 0), (1, 1.0, 1, 1.0, 30, 0.0, 0, 0),
-    (3, 1.0, 2, 1.0, 2, 1.0, 0, 0), (12, 0.9, 40, 0.1, 10, 1.0, 0, 0), (6, 0.8, 80, 0.0, 5, 0.9, 1, 0), (25, 0.7, 3, 1.0, 4, 1.0, 0, 0),
-    (8, 1.0, 9, 1.0, 7, 1.0, 1, 0), (4, 0.75, 60, 0.0, 0, 0.0, 1, 0), (15, 0.6, 12, 0.8, 3, 1.0, 0, 0), (2, 1.0, 1, 1.0, 90, 0.0, 0, 0),
-    (40, 0.9, 2, 1.0, 30, 0.0, 0, 0), (60, 0.8, 50, 0.0, 40, 0.0, 1, 0), (22, 1.0, 45, 0.0, 33, 0.0, 1, 0), (10, 1.0, 30, 0.0, 25, 0.0, 0, 0),
-    (5, 1.0, 60, 0.0, 70, 0.0, 1, 0), (3, 1.0, 80, 0.0, 66, 0.0, 0, 0), (90, 1.0, 40, 0.0, 3, 0.0, 0, 0), (9, 0.6, 2, 0.0, 8, 0.0, 1, 0),
+    (3, 1.0, 2, 1.0, 2, 1.0, 0, 0), (12, 0.9, 40, 0.1, 10, 1.0, 0, 0), (25, 0.7, 3, 1.0, 4, 1.0, 0, 0), (15, 0.6, 12, 0.8, 3, 1.0, 0, 0),
+    (2, 1.0, 1, 1.0, 90, 0.0, 0, 0), (40, 0.9, 2, 1.0, 30, 0.0, 0, 0), (10, 1.0, 30, 0.0, 25, 0.0, 0, 0), (3, 1.0, 80, 0.0, 66, 0.0, 0, 0),
+    (90, 1.0, 40, 0.0, 3, 0.0, 0, 0),
+    # reference lists, linked names and quotations inside articles
+    (8, 1.0, 9, 1.0, 7, 1.0, 1, 1), (4, 0.75, 60, 0.0, 0, 0.0, 1, 1), (6, 0.8, 80, 0.0, 5, 0.9, 1, 1), (60, 0.8, 50, 0.0, 40, 0.0, 1, 1),
+    (22, 1.0, 45, 0.0, 33, 0.0, 1, 1), (5, 1.0, 60, 0.0, 70, 0.0, 1, 1), (9, 0.6, 2, 0.0, 8, 0.0, 1, 1), (2, 1.0, 30, 0.0, 3, 1.0, 1, 1),
+    # texts whose links do not make them lists: much text before and after
+    (30, 0.55, 60, 0.0, 70, 0.0, 0, 1), (45, 0.6, 50, 0.1, 80, 0.0, 0, 1), (28, 0.55, 3, 1.0, 4, 1.0, 0, 0), (32, 0.6, 20, 0.9, 18, 1.0, 0, 0),
     # adverts, notices, forms, headers, footers, comments that the elements tell
     (7, 0.0, 1, 1.0, 8, 0.0, -1, 0), (12, 0.0, 2, 1.0, 10, 0.0, -1, 0), (30, 0.0, 50, 0.0, 60, 0.0, -1, 0), (80, 0.0, 100, 0.0, 40, 0.0, -1, 0),
     (8, 0.0, 90, 0.0, 0, 0.0, -1, 0), (14, 0.1, 70, 0.0, 0, 0.0, -1, 0), (5, 0.0, 0, 0.0, 3, 0.0, -1, 0), (45, 0.05, 20, 0.0, 33, 0.0, -1, 0),
+    (5, 0.0, 60, 0.0, 70, 0.0, -1, 0), (7, 0.0, 45, 0.0, 80, 0.0, -1, 0), (4, 0.0, 90, 0.0, 35, 0.0, -1, 0), (9, 0.0, 50, 0.0, 60, 0.0, -1, 0),
+    (3, 0.0, 33, 0.0, 41, 0.0, -1, 0), (12, 0.0, 70, 0.0, 55, 0.0, -1, 0), (25, 0.0, 60, 0.0, 48, 0.0, -1, 0), (60, 0.1, 44, 0.0, 52, 0.0, -1, 0),
     (3, 0.0, 2, 0.0, 2, 0.0, -1, 0), (120, 0.0, 60, 0.0, 20, 0.0, -1, 0), (18, 0.3, 6, 0.0, 4, 0.5, -1, 0), (1, 0.0, 33, 0.0, 1, 0.0, -1, 0),
     # short pieces between other short pieces, told by nothing
     (4, 0.0, 1, 1.0, 3, 0.0, 0, 0), (6, 0.0, 3, 1.0, 2, 1.0, 0, 0), (5, 0.0, 4, 0.0, 0, 0.0, 0, 0), (9, 0.0, 2, 0.5, 4, 0.0, 0, 0),
@@ -86,7 +101,7 @@ class Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.found: list[tuple[str, int, int, int]] = []
         self.open: list[tuple[str, int]] = []  # element, its number in tree
-        self.tree: list[tuple[int, str, int, bool]] = [(-1, "", 0, False)]  # element around, tag, told, main text told within others
+        self.tree: list[tuple[int, str, int, bool, bool]] = [(-1, "", 0, False, False)]  # element around, tag, told, main text told within others, told by part of a class
         self.counts: dict[str, int] = {}
         self.unread = 0
         self.link = 0  # depth at which a link began, plus 1
@@ -100,26 +115,31 @@ class Blocks(HTMLParser):
         self.parts.clear()
         self.linked.clear()
 
-    def told(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[int, bool]:
-        """What the element tells itself (-2: not shown), and whether it is main text within a side element, too."""
+    def told(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[int, bool, bool]:
+        """What the element tells itself (-2: not shown), whether it is main
+        text within a side element, too, and whether only a part of a class
+        makes it a side element."""
         told, inner = -1 if tag in SIDE_TAGS else 1 if tag in MAIN_TAGS else 0, tag in MAIN_TAGS
+        part, plain = False, told < 0
         for name, value in attrs:
             value = (value or "").lower()
             if name in ("class", "id"):
                 names = [self.named(x) for x in value.split()]
                 if any(words & SIDE_WORDS for words in names) and tag not in MAIN_TAGS and tag not in ("body", "html"):
                     told = min(told, -1)
+                    part = True
+                    plain |= any(words & SIDE_WORDS and words <= SIDE_WORDS | SHAPES for words in names)
                 elif not told and any(words & MAIN_WORDS for words in names):
                     told = 1
                     # post-content, article-body: not the "content" of any box
                     inner = any(len(words & MAIN_WORDS) > 1 or words & MAIN_TAGS for words in names)
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-                told = -2
+                told, plain = -2, True
             elif name == "role" and value in SIDE_ROLES:
-                told = min(told, -1)
+                told, plain = min(told, -1), True
             elif name == "role" and value in MAIN_TAGS and not told:
                 told, inner = 1, True
-        return told, inner and (told > 0 or tag in MAIN_TAGS)
+        return told, inner and (told > 0 or tag in MAIN_TAGS), part and not plain
 
     @staticmethod
     def named(name: str) -> set[str]:
@@ -129,16 +149,20 @@ class Blocks(HTMLParser):
 
     def blocks(self) -> list[tuple[str, int, int, int]]:
         """The blocks with their cues."""
-        held, main = [0] * len(self.tree), [0] * len(self.tree)  # words; words of main text
-        for _, words, _, k in self.found:
+        held, main, links = ([0] * len(self.tree) for _ in range(3))  # words; words of main text; words in links
+        for _, words, linked, k in self.found:
             held[k] += words
+            links[k] += linked
         for k in range(len(self.tree) - 1, 0, -1):  # elements inside come after those around
-            around, tag, told, inner = self.tree[k]
+            around, tag, told, inner, part = self.tree[k]
             main[k] = held[k] if told > 0 else main[k]
             held[around] += held[k]
+            links[around] += links[k]
             main[around] += main[k]
         cues, hidden = [0], [False]
-        for k, (around, tag, told, inner) in enumerate(self.tree[1:], 1):
+        for k, (around, tag, told, inner, part) in enumerate(self.tree[1:], 1):
+            if part and cues[around] > 0 and not (held[k] <= SHORT and 2 * links[k] >= held[k]):
+                told = 0
             if told == -1 and 2 * held[k] > held[0] and main[0] == main[k]:
                 told = 0
             up = cues[around]
@@ -150,7 +174,7 @@ class Blocks(HTMLParser):
                 cue = max(told, -1) or up
             cues.append(cue)
             hidden.append(told == -2 or hidden[around] and cue < 0)
-        return [(text, words, linked, cues[k]) for text, words, linked, k in self.found]
+        return [(text, words, 0 if cues[k] > 0 and self.tree[k][1] in HEADINGS else linked, cues[k]) for text, words, linked, k in self.found]
 
     def push(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tree.append((self.open[-1][1] if self.open else 0, tag, *self.told(tag, attrs)))

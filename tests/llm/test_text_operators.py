@@ -292,3 +292,45 @@ def test_chat_layouts(spark):
         1: ("prompt and response", [("user", "p"), ("assistant", "r")]), 2: ("instruction", [("user", "i\n\nn"), ("assistant", "o")]),
         3: ("instruction", [("user", "i"), ("assistant", "o")]), 4: ("messages", [("user", "a"), ("assistant", "")]),
         5: ("from and value", [("user", "a"), ("assistant", "b")]), 6: (None, []), 7: ("question", [("system", "s"), ("user", "q"), ("assistant", "a")]), 8: (None, [])}
+
+
+BODY = "<p>" + "Long text of the piece with words. " * 8 + "</p>"
+
+
+@pytest.mark.parametrize("name", "share-price related-work social-history search-engines form-of-government menu-planning ad-astra reply-to-critics".split())
+def test_main_text_keeps_article_parts_with_side_words(name):
+    """A class inside an article counts only if all its words tell a side element."""
+    tree = pages.train()
+    page = f"<body><nav><a>x</a></nav><article><h1><a href=x>Title here</a></h1>{BODY}<div class='{name}'>{BODY}Short {name} note.</div>{BODY}</article></body>"
+    text = pages.main_text(page, tree)
+    assert text.startswith("Title here\n") and f"Short {name} note." in text and text.count("Long text") == 24
+    links = "".join(f"<li><a href=x>one {name} link</a></li>" for _ in range(4))
+    assert name not in pages.main_text(f"<body><article><h1>T</h1>{BODY}<div class='{name}'><ul>{links}</ul></div>{BODY}</article></body>", tree)
+
+
+def test_main_text_blocks_of_several_templates():
+    """Precision and recall of blocks over templates: marked blocks (M) are main text, the others (S) are not."""
+    tree = pages.train()
+    item = lambda k: f"<li><a href=r{k}>M reference {k} by its author</a></li>"
+    side = "".join(f"<li><a href=s{k}>S link {k}</a></li>" for k in range(6))
+    text = lambda k: f"<p>M paragraph {k} " + "of running text " * 9 + "</p>"
+    body = "<h1><a href=x>M heading</a></h1>" + text(1) + "<h2>M part</h2>" + text(2) + "<ol>" + "".join(map(item, range(5))) + "</ol>" + text(3)
+    templates = [
+        f"<body><nav><ul>{side}</ul></nav><article>{body}<div class='ad'>S buy this now</div>{text(4)}</article><footer>S all rights</footer></body>",
+        f"<body><div id=menu><ul>{side}</ul></div><main>{body}<aside>S see also this piece of news</aside><div class='social-share'>S tell your friends</div></main><div class=comments><p>S {'a reader says ' * 9}</p></div></body>",
+        f"<body class=has-sidebar><div class=wrapper><div class='post-content'>{body}</div><div class='sidebar widget-area'><ul>{side}</ul><p>S {'about this site ' * 8}</p></div></div></body>",
+        f"<body><header><h1>S site name</h1></header><div role=main>{body}<form>S your address <input></form></div><div class='cookie-notice'>S {'we store things ' * 10}</div></body>",
+        f"<body><article><header><h1><a>M heading</a></h1></header>{text(1)}<div class=related-posts><ul>{side}</ul></div>{text(2)}<section class='form-of-government'>{text(3)}</section></article></body>",
+    ]
+    found = kept = marked = 0
+    for page in templates:
+        lines = pages.main_text(page, tree).split("\n")
+        want = [b[0] for b in pages.page_blocks(page) if b[0].startswith("M ")]
+        found += sum(x in lines for x in want)
+        marked, kept = marked + len(want), kept + len(lines)
+    assert found == marked == kept
+
+
+def test_main_text_of_a_long_page():
+    page = "<body><nav><a>S</a></nav><article>" + "".join(f"<p>word {k} of a long page, told again</p>" for k in range(30_000)) + "</article></body>"
+    assert pages.main_text(page, pages.train()).count("\n") == 29_999
