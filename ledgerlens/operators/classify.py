@@ -122,6 +122,54 @@ def with_rule_category(df: DataFrame, rules: Sequence[Rule] | None = None, first
             .withColumn("category", ruled if first is None else F.coalesce(F.col(first), ruled)).drop("_rule_text"))
 
 
+WORD_BREAK = r"([^\w\s])"
+
+
+def _words(text: Column) -> Column:
+    """Words of a lowered text; a character that is neither of a word nor white
+    space stands as a word of its own, so no phrase goes across it."""
+    return F.filter(F.split(F.regexp_replace(text, WORD_BREAK, " $1 "), r"\s+"), lambda w: w != "")
+
+
+def phrase_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(phrases, patterns) of a rule table (priority, pattern, category):
+    patterns of words and blanks alone are phrases, the others stay regular
+    expressions for ``rules_from_table``."""
+    plain = F.col("pattern").rlike(r"^\w+( +\w+)*$")
+    return rules.where(plain), rules.where(~plain | F.col("pattern").isNull())
+
+
+def indexed_rule_category(pairs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """U2 for large rule tables: ``pairs`` with the category of the phrase of
+    lowest priority that stands in merchant and description as whole words
+    (ties: the lesser phrase), else ``Uncategorized``.
+
+    Each pair gives the n-grams of its words, n up to the longest phrase, and an
+    equi-join on their hashes finds the phrases, whose number does not matter:
+    no rule is tried on a text that lacks its words. One row per phrase is left
+    before the join, so a common word multiplies nothing."""
+    rules = phrases.select(F.lower(F.regexp_replace("pattern", " +", " ")).alias("_phrase"), "priority", F.col("category").alias("_rule"))
+    rules = rules.groupBy("_phrase").agg(F.min("priority").alias("_priority"), F.min_by("_rule", "priority").alias("_rule"))
+    rules = rules.withColumn("_words", F.size(F.split("_phrase", " "))).withColumn("_key", F.xxhash64("_phrase")).checkpoint(eager=True)
+    longest = rules.agg(F.max("_words")).first()[0]
+    texts = pairs.select(*PAIR_KEYS).distinct().withColumn("_w", _words(classify_text()))
+    if longest is None:
+        return texts.select(*PAIR_KEYS, F.lit(UNCATEGORIZED).alias("category"))
+
+    def runs(n: int) -> Column:
+        """The runs of n neighbouring words (all words, if they are fewer)."""
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - (n - 1), F.lit(1))), lambda k: F.array_join(F.slice("_w", k, n), " "))
+
+    grams = [runs(n) for n in range(1, longest + 1)]
+    found = texts.select(*PAIR_KEYS, F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("_gram")).withColumn("_key", F.xxhash64("_gram"))
+    side = F.broadcast(rules) if small_enough(rules) else rules
+    best = (found.join(side, (found["_key"] == side["_key"]) & (found["_gram"] == side["_phrase"]))
+            .groupBy(*PAIR_KEYS).agg(F.min_by("_rule", F.struct("_priority", "_phrase")).alias("category")))
+    b = best.select(*[F.col(c).alias("_" + c) for c in PAIR_KEYS], "category")
+    cond = reduce(lambda x, y: x & y, [texts[c].eqNullSafe(b["_" + c]) for c in PAIR_KEYS])
+    return texts.join(b, cond, "left").select(*PAIR_KEYS, F.coalesce("category", F.lit(UNCATEGORIZED)).alias("category"))
+
+
 def rule_category_sql(text_sql: str, rules: Sequence[Rule] | None = None) -> str:
     """The same rules as a DuckDB CASE (oracle side)."""
     rules = sorted(rules if rules is not None else seed_rules(), key=lambda r: r.priority)

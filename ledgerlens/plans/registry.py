@@ -21,6 +21,7 @@ from ledgerlens.functions import formatting as fmt
 from ledgerlens.operators import aggregates as agg
 from ledgerlens.operators import classify as cls
 from ledgerlens.operators import explore as ex
+from ledgerlens.operators import indexes
 from ledgerlens.operators import insights as ins
 from ledgerlens.operators import prepare as prep
 from ledgerlens.plans.report import dashboard
@@ -1268,3 +1269,68 @@ def q_stream_mixed_folder(spark, sf_dir):
     rows = spark.read.parquet(f"{out}/out/rows").groupBy("dialect").agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").cast("double").alias("amount"))
     bad = spark.read.parquet(f"{out}/out/quarantine").agg(F.count(F.lit(1)).alias("rows"))
     return rows.unionByName(bad.select(F.lit("quarantined files").alias("dialect"), "rows", F.lit(0.0).alias("amount")))
+
+
+# ---------------------------------------------------------------------------
+# Indexes (O3/O6, P10, U2) and sketches
+# ---------------------------------------------------------------------------
+
+@register("order_index_page", _with(*O_ALL) + """
+SELECT txn_id, date, merchant, CAST(amount AS DOUBLE) AS amount FROM feed_o
+ORDER BY amount DESC, txn_id LIMIT 10 OFFSET (SELECT 10 * (COUNT(*) // 10 - 101) FROM feed_o)""")
+def q_order_index_page(spark, sf_dir):
+    """A page of ten rows 100 pages before the end, by the order index."""
+    root = scratch_path(spark, "order-index")
+    indexes.build_order_index(feed_orders(spark, sf_dir), root, "amount", "desc", parts=16)
+    last = spark.read.parquet(f"{root}/prefix").agg(F.sum("rows")).first()[0] // 10
+    return indexes.indexed_page(spark, root, last - 100, 10).select("txn_id", "date", "merchant", F.col("amount").cast("double").alias("amount"))
+
+
+@register("search_indexed", _with(*O_POSTED) + """
+SELECT txn_id, merchant, description FROM p
+WHERE contains(lower(merchant), 'spotify p3') OR contains(lower(description), 'spotify p3')""")
+def q_search_indexed(spark, sf_dir):
+    """P10 by the trigram index."""
+    root = scratch_path(spark, "search-index")
+    indexes.build_search_index(o_posted(spark, sf_dir).select("txn_id", "merchant", "description"), root)
+    return indexes.indexed_search(spark, root, "Spotify P3")
+
+
+RULE_TABLE = (("rules", """
+SELECT s_suppkey AS priority, lower(split_part(s_name, '#', 2)) AS phrase, s_suppkey % 8 AS kind FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL
+SELECT 1000000 + p_partkey AS priority, lower(split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2)) AS phrase, p_partkey % 8 AS kind FROM part WHERE contains(p_name, ' ')"""),
+              ("first", "SELECT phrase, MIN(priority) AS priority, arg_min(kind, priority) AS kind FROM rules GROUP BY phrase"),
+              ("pairs", "SELECT DISTINCT merchant, description AS parsed_description FROM feed_l"),
+              ("w", """SELECT *, list_filter(regexp_split_to_array(regexp_replace(lower(merchant || ' ' || parsed_description), '([^\\w\\s])', ' \\1 ', 'g'), '\\s+'), lambda x: x <> '') AS w FROM pairs"""),
+              ("g", """SELECT merchant, parsed_description, unnest(w) AS gram FROM w
+                       UNION ALL SELECT merchant, parsed_description, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM w"""),
+              ("hit", "SELECT merchant, parsed_description, arg_min(kind, (priority, phrase)) AS kind FROM g JOIN first ON gram = phrase GROUP BY ALL"))
+
+
+@register("rules_indexed", _with(("feed_l", FEED_L_SQL), *RULE_TABLE) + f"""
+SELECT pairs.merchant, pairs.parsed_description,
+       COALESCE(list_extract({'[' + ', '.join("'" + c + "'" for c in CATEGORIES) + ']'}, CAST(kind AS INTEGER) + 1), 'Uncategorized') AS category
+FROM pairs LEFT JOIN hit ON pairs.merchant = hit.merchant AND pairs.parsed_description = hit.parsed_description""")
+def q_rules_indexed(spark, sf_dir):
+    """A rule per supplier and per beginning of a part's name, looked up by word n-grams."""
+    label = F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (F.col("kind") + 1).cast("int"))
+    s, p = (spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in ("supplier", "part"))
+    suppliers = s.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").cast("long").alias("priority"), F.element_at(F.split("s_name", "#"), 2).alias("pattern"), (F.col("s_suppkey") % 8).alias("kind"))
+    words = F.split("p_name", " ")
+    parts = p.where(F.col("p_name").contains(" ")).select((F.col("p_partkey") + 1_000_000).cast("long").alias("priority"), F.concat_ws(" ", words[0], words[1]).alias("pattern"), (F.col("p_partkey") % 8).alias("kind"))
+    phrases, _ = cls.phrase_rules(suppliers.unionByName(parts).select("priority", "pattern", label.alias("category")))
+    pairs = feed_lineitem(spark, sf_dir).select("merchant", F.col("description").alias("parsed_description"))
+    return cls.indexed_rule_category(pairs, phrases)
+
+
+@register("merchant_count_sketched", _with(*L_POSTED) + """
+SELECT strftime(date, '%Y') AS year, COUNT(DISTINCT merchant) AS merchants, true AS within FROM p GROUP BY 1""")
+def q_merchant_count_sketched(spark, sf_dir):
+    """Monthly sketches united to years; ``within`` tells whether the
+    estimate lies within four standard errors of the exact count."""
+    rows = l_posted(spark, sf_dir)
+    year = F.substring("month", 1, 4).alias("year")
+    estimate = agg.approx_merchant_count(agg.merchant_sketches(rows).select(year, "sketch"), ["year"])
+    exact = rows.groupBy(F.date_format("date", "yyyy").alias("year")).agg(F.count_distinct("merchant").alias("merchants"))
+    return exact.join(estimate, "year").select("year", "merchants", (F.abs(F.col("merchant_count") - F.col("merchants")) <= F.col("merchants") * (4 * 1.04 / 64)).alias("within"))
