@@ -5,14 +5,18 @@ of 150 % of all words; a source's target stops at ``max_copies`` times its
 size and the excess is shared again by weight until none is above.
 
 Every document is taken floor(target / size) whole times for certain. What
-is left of the target is a share f < 1 of the source: each document is taken
-once more with inclusion probability f (or with f times a given importance),
+is left of the target is a share f < 1 of the source: each document is taken once more
+with inclusion probability f times its importance over the mean importance of
+the source's words (at most 1). The importance is a column, or by default
+``size ** -TILT``: a document of 16 times the words has half the odds, so the
+part copies hold more different documents than an even draw would. It is done
 by Pareto order sampling: documents are ranked by the odds of a random number
 (a hash of id, text and seed, so reruns agree) divided by their inclusion
 odds, and the first are selected as long as they hold no more words than the
 sample is to have, which fixes its size. The document that does not fit any
 more is left out and the ranks behind it are gone on with (``_fill``), until
-what is lacking is less than each document left; at the threshold one document
+what is lacking is less than each document left (a few documents of a source,
+smaller ones more often than their odds say); at the threshold one document
 on either side may then trade places, if that brings the words nearer.
 
 The threshold is found as a histogram quantile: the ranking key is mapped to
@@ -41,6 +45,7 @@ MAX_COPIES = 2
 SEED = 17
 BINS = 4096
 EDGE = 64
+TILT = 0.25
 
 
 def word_count(text: Column) -> Column:
@@ -175,7 +180,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), word_count(F.col(text_col).cast("string")).alias("size"),
         F.col(source_col).cast("string").alias("source"),
-        (F.lit(1.0) if importance_col is None else F.greatest(F.coalesce(F.col(importance_col).cast("double"), F.lit(0.0)), F.lit(0.0))).alias("importance"))
+        *([] if importance_col is None else [F.greatest(F.coalesce(F.col(importance_col).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("importance")]))
+    if importance_col is None:
+        rows = rows.withColumn("importance", F.pow(F.greatest("size", F.lit(1)), F.lit(-TILT)))
     rows = written(rows, "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("importance")).alias("pull"))
     aims = written(targets(sizes.drop("pull"), weights, share, max_copies).alias("t").join(

@@ -409,3 +409,19 @@ def test_language_id_odd_rows(odd, spark):
     h = langid.host(urls.u)
     assert [tuple(r) for r in urls.select(h, langid.domain(h), langid.suffix(h)).collect()] == [
         ("www.example.co.uk", "co.uk", "uk"), ("src4", "src4", None), (None, None, None)]
+
+
+def test_mixing_odds_fall_with_the_size(spark):
+    """Without a column of importance, realised shares per size follow the documented odds."""
+    rng = random.Random(9)
+    sizes = {k: (8, 32, 128)[k % 3] for k in range(3000)}
+    rows = [(k, " ".join(f"w{rng.randrange(50)}" for _ in range(n)), "a") for k, n in sizes.items()] + [(9000, "x " * 120_000, "b")]
+    got = [r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1.0, 9.0)).collect() if r.doc_id < 9000]
+    target, total = got[0].target, got[0].source_size
+    base = int(target // total)
+    pull = sum(n * n ** -mixing.TILT for n in sizes.values())
+    for n in (8, 32, 128):
+        intended = (target - base * total) * n ** -mixing.TILT / pull
+        realised = sum(r.copies - base for r in got if r.size == n) / 1000
+        assert 0.05 < intended < 0.95 and abs(realised - intended) < 0.06, (n, intended, realised)
+    assert abs(sum(r.taken for r in got) - target) < 8
