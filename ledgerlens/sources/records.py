@@ -113,14 +113,15 @@ def fold(lines: DataFrame, kinds: Sequence[str], multiline: bool = True) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, inside, tail, header = None, [], False, False, False  # held: lines of the record that is not over
 
-        def rows(records: list[str], kind: str) -> Iterator[pa.RecordBatch]:
-            if records and kind in wanted:
-                n = len(records)
-                yield pa.RecordBatch.from_arrays([pa.array(records, pa.string()), pa.array([key[0]] * n), pa.array([key[1]] * n, pa.int64()), pa.array([kind] * n)], ["record", *SPLIT, "kind"])
+        def rows(records: pa.Array, kind: str) -> Iterator[pa.RecordBatch]:
+            n = len(records)
+            if n and kind in wanted:
+                same = [pa.repeat(pa.scalar(x, t), n) for x, t in ((key[0], pa.string()), (key[1], pa.int64()), (kind, pa.string()))]
+                yield pa.RecordBatch.from_arrays([records, *same], ["record", *SPLIT, "kind"])
 
         def rest() -> Iterator[pa.RecordBatch]:
             if held:
-                yield from rows(["\n".join(held)], TAIL if tail else HEAD)
+                yield from rows(pa.array(["\n".join(held)], pa.string()), TAIL if tail else HEAD)
 
         for batch in batches:
             cuts = _cuts(batch)
@@ -133,21 +134,23 @@ def fold(lines: DataFrame, kinds: Sequence[str], multiline: bool = True) -> Data
                 part = batch.column(0).slice(lo, hi - lo)
                 quotes = pc.count_substring(part, '"').to_numpy(zero_copy_only=False) if multiline else np.zeros(hi - lo, np.int64)
                 after = (np.cumsum(quotes) + inside) % 2 == 1
-                values, done = part.to_pylist(), []
-                first = 0
-                for end in np.flatnonzero(~after).tolist():
-                    record = values[first] if first == end and not held else "\n".join([*held, *values[first:end + 1]])
-                    held, first = [], end + 1
-                    if header:
-                        header = not record.strip(BLANK)
-                    elif tail:
-                        yield from rows([record], TAIL)
-                        tail = False
-                    else:
-                        done.append(record)
-                held += values[first:]
+                ends = np.flatnonzero(~after) + 1
+                first = int(ends[-1]) if len(ends) else 0
+                if first:
+                    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), part.slice(0, first).cast(pa.string()))
+                    records = pc.binary_join(lists, "\n")
+                    if held:
+                        records = pa.concat_arrays([pa.array(["\n".join([*held, records[0].as_py()])], pa.string()), records.slice(1)])
+                        held = []
+                    while header and len(records):
+                        header = not records[0].as_py().strip(BLANK)
+                        records = records.slice(1)
+                    if tail and len(records):
+                        yield from rows(records.slice(0, 1), TAIL)
+                        records, tail = records.slice(1), False
+                    yield from rows(records, WHOLE)
+                held += part.slice(first).to_pylist()
                 inside = bool(after[-1])
-                yield from rows(done, WHOLE)
         if key is not None:
             yield from rest()
 
