@@ -89,9 +89,9 @@ def retain_recent(df: DataFrame, ts: str, now: str | Column, ttl: str = "2 hours
 
 
 def require_nonempty(df: DataFrame) -> DataFrame:
-    """Refuse a load without posted purchases."""
+    """Refuse a prepared load without rows."""
     if df.isEmpty():
-        raise ValueError("No posted purchase transactions found")
+        raise ValueError("the load holds no row that is posted, a purchase and above zero")
     return df
 
 

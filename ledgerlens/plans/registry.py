@@ -749,11 +749,9 @@ def q_coverage(spark, sf_dir):
     return cls.coverage(out, ACCT)
 
 
-@register("taxonomy_audit", _with(*O_POSTED) + """
+@register("taxonomy_audit", _with(*O_POSTED) + f"""
 SELECT category, COUNT(*) AS count FROM p
-WHERE category NOT IN ('Dining & Drinks', 'Groceries & Essentials', 'Transport', 'Shopping', 'Travel',
-                       'Subscriptions & Services', 'Entertainment', 'Fees & Charges', 'Uncategorized')
-GROUP BY category""")
+WHERE category NOT IN ({', '.join("'" + c + "'" for c in [*CATEGORIES, 'Uncategorized'])}) GROUP BY category""")
 def q_taxonomy_audit(spark, sf_dir):
     # FEED_O carries market segments as labels: all of them fall outside.
     return cls.taxonomy_audit(o_posted(spark, sf_dir))

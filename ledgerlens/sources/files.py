@@ -3,6 +3,8 @@ systems (a folder may lie in any store that Spark reads)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -24,21 +26,40 @@ def listing(spark: SparkSession, path: str) -> list[tuple[str, bool, int]]:
     return [(st.getPath().getName(), st.isDirectory(), st.getLen()) for st in fs.listStatus(where)]
 
 
+#: Stores that show an object only when it is whole; where they can create one
+#: exclusively (S3: conditional writes), that decides between two writers.
+OBJECT_STORES = ("s3", "s3a", "gs")
+
+
 def create_new(spark: SparkSession, path: str, text: str) -> bool:
-    """Write a file that must not be there yet; False if it is. The store
-    decides between two writers: one of them gets False."""
+    """Put a file that must not be there yet, whole or not at all; False if it
+    is there. The store decides between two writers: one of them gets False.
+    The text is written beside it and then linked (local files) or renamed
+    (HDFS and its like, where a rename never replaces a file)."""
+    jvm = spark.sparkContext._jvm
     fs, where = _at(spark, path)
+    scheme = fs.getUri().getScheme()
+    if fs.exists(where):
+        return False
+    beside = where if scheme in OBJECT_STORES else jvm.org.apache.hadoop.fs.Path(where.getParent(), f".{where.getName()}-{uuid.uuid4().hex}")
     try:
-        out = fs.create(where, False)
-    except Exception:  # noqa: BLE001 - each store has its own class for this
+        out = fs.create(beside, False)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        if scheme == "file":
+            local = [jvm.java.nio.file.Paths.get(p.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)) for p in (where, beside)]
+            jvm.java.nio.file.Files.createLink(*local)
+            return True
+        return beside is where or fs.rename(beside, where)
+    except Exception:  # noqa: BLE001 - each store has its own class for a file that is there
         if fs.exists(where):
             return False
         raise
-    try:
-        out.write(bytearray(text.encode()))
     finally:
-        out.close()
-    return True
+        if beside is not where:
+            fs.delete(beside, False)
 
 
 def read_text(spark: SparkSession, path: str) -> str:

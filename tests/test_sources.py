@@ -93,3 +93,18 @@ def test_single_layout_fast_path(spark, tmp_path):
     _write(tmp_path / "c.csv", "Date,Merchant,Amount,Description,Status,Type\n2024-01-07,Bob,1,,Posted,Purchase\n")
     with pytest.raises(Exception):
         exports.read_exports(spark, str(tmp_path), single_layout=True).collect()
+
+
+def test_empty_loads_are_refused_and_records_are_written(spark, tmp_path, txns):
+    from ledgerlens.functions.formatting import day_span
+    from ledgerlens.operators.prepare import require_nonempty
+    from ledgerlens.sources.sinks import write_records
+
+    df = txns([("x", 1, "2024-01-05", 1.5, "m", "d", "Travel"), ("x", 2, None, 2, "m", None, "c")])
+    assert require_nonempty(df) is df
+    with pytest.raises(ValueError, match="holds no row"):
+        require_nonempty(df.limit(0))
+    write_records(df, str(tmp_path / "records"), include_category=True)
+    rows = {(r.date, r.merchant, r.amount, r.category) for r in spark.read.json(str(tmp_path / "records")).collect()}
+    assert rows == {("2024-01-05", "m", 1.5, "Travel"), (None, "m", 2.0, "c")}
+    assert spark.sql("SELECT DATE'2024-01-01' a, DATE'2024-03-01' b").select(day_span("a", "b")).first()[0] == 60
