@@ -2,7 +2,7 @@
 
 Tokens: the named tokenizer's ids without added special tokens, then one end
 id. White space never joins tokens in the supported tokenizers, so a text is
-cut at ASCII white space and each distinct chunk is tokenized once per worker
+cut at ASCII white space and each distinct chunk is tokenized once per task
 (``ChunkIds``); tests hold the result against the library on whole texts.
 
 Packing. Longer documents are cut into full pieces and a rest; full pieces
@@ -40,7 +40,7 @@ from ledgerlens.llm.common import row_slices, ship_by_value, text_buffer, worker
 
 CAPACITY = 4096
 END_ID = 1
-#: Chunks that a worker remembers; then it starts anew.
+#: Chunks that a task remembers; then it starts anew.
 REMEMBERED = 400_000
 
 
@@ -141,6 +141,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                         crc.append(zlib.crc32(part))
                 own = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), *[pa.array(x, pa.int64()) for x in (piece, start, length, crc)]], ["doc_id", "row", "piece", "start", "length", "ids_crc32"])
+        chunks.known.clear()  # a worker that goes on with other work keeps the tokenizer only
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
             .mapInArrow(run, "doc_id long, row long, piece long, start long, length long, ids_crc32 long"))
