@@ -1,10 +1,12 @@
 """Chat formatting by schema fingerprints.
 
 Records come in several layouts (prompt and response, instruction and input,
-lists of messages, one message a row). A record's fingerprint is the hash of
-its nested field paths that hold a value; each layout declares which paths it
-has and how they become turns, so a fingerprint selects its mapping by one
-look-up. Paths that no layout names are ignored. A record whose fingerprint
+lists of messages). A record's fingerprint is the hash of its nested field
+paths that hold a value; each layout declares which paths it has and how they
+become turns, so a fingerprint selects its mapping by one look-up. Tables of
+one message a row become nested records first (``conversation_records``): a
+system turn at the head is the record's system field, a question and its
+answer are prompt and response, other conversations a list of messages. Paths that no layout names are ignored. A record whose fingerprint
 no layout has gets the layout null and no turns.
 
 The template writes a turn as ``<|im_start|>role\\ntext<|im_end|>\\n``. Control
@@ -18,8 +20,8 @@ formatted text; it covers the assistants' texts.
 Null texts and roles are empty. Turns with equal numbers are ordered by role
 and text, null numbers first; rows with a null conversation id are one
 conversation. An empty table gives an empty result. A conversation's formatted
-text is one value, so it must fit one row; rows are formatted and escaped
-before they meet, and meet in a grouped aggregate with map-side combine. Only
+text is one value, so it must fit one row; its rows meet in one grouped
+aggregate with map-side combine, all else is done within the record. Only
 DataFrame functions run here.
 """
 
@@ -43,8 +45,7 @@ ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model":
 
 @dataclass(frozen=True)
 class Said:
-    """One turn: a role and the paths whose values make up its text. A role
-    that begins with ``@`` is the path of the role."""
+    """One turn: a role and the paths whose values make up its text."""
 
     role: str
     paths: tuple[str, ...]
@@ -80,8 +81,6 @@ RECORD_LAYOUTS = (
     Layout("messages", ("messages[].role", "messages[].content"), (Said("system", ("system",)), Listed("messages", "role", "content")), ("system",)),
     Layout("from and value", ("conversations[].from", "conversations[].value"), (Said("system", ("system",)), Listed("conversations", "from", "value", True)), ("system",)),
 )
-#: One message a row; any of the two may be null.
-ROW_LAYOUTS = (Layout("message rows", (), (Said("@role", ("text",)),), ("role", "text")),)
 
 
 def path_hash(paths: list[str]) -> int:
@@ -143,15 +142,10 @@ def _turns(df: DataFrame, layout: Layout) -> Column:
             parts.append(F.coalesce(F.transform(_at(t.array), _listed(t)), F.array().cast("array<struct<role:string,text:string>>")))
             continue
         paths = [p for p in t.paths if p in here]
-        role = _text(_at(t.role[1:])) if t.role[0] == "@" and t.role[1:] in here else F.lit(t.role if t.role[0] != "@" else "")
-        turn = F.array(F.struct(role.alias("role"), F.concat_ws("\n\n", *[_at(p).cast("string") for p in paths]).alias("text")))
-        if paths and t.role[0] != "@":
-            said = F.lit(False)
-            for p in paths:
-                said |= _at(p).isNotNull()
-            turn = F.when(said, turn).otherwise(F.array().cast("array<struct<role:string,text:string>>"))
-        if paths or t.role[0] == "@":
-            parts.append(turn)
+        if paths:
+            turn = F.array(F.struct(F.lit(t.role).alias("role"), F.concat_ws("\n\n", *[_at(p).cast("string") for p in paths]).alias("text")))
+            said = F.coalesce(*[_at(p).cast("string") for p in paths]).isNotNull()
+            parts.append(F.when(said, turn).otherwise(F.array().cast("array<struct<role:string,text:string>>")))
     return F.concat(*parts)
 
 
@@ -191,15 +185,33 @@ def formatted(role: Column, text: Column) -> Column:
                     F.when(role == ASSISTANT, F.length(said)).otherwise(0).cast("long").alias("take"), F.length(said).cast("long").alias("long"))
 
 
-def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
-    """(conv_id, formatted, mask) from one message a row."""
-    turn = canonical_turns(rows.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), "role", "text"), ROW_LAYOUTS)
-    turn = turn.select("conv_id", "turn", F.col("turns")[0]["role"].alias("role"), F.col("turns")[0]["text"].alias("text"))
-    each = F.struct("turn", "role", "text", formatted(F.col("role"), F.col("text")).alias("f")).alias("t")
-    held = turn.groupBy("conv_id").agg(F.sort_array(F.collect_list(each)).alias("t"))
+def conversation_records(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
+    """(conv_id, system, prompt, response, messages): one nested record a
+    conversation, from one message a row. What a record does not have is null."""
+    each = rows.select(F.col(id_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), _text(F.col("role")).alias("role"), _text(F.col("text")).alias("content")).alias("m"))
+    held = each.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("all"))
+    led = (F.size("all") > 1) & (F.col("all")[0]["role"] == "system")
+    parts = held.select("conv_id", F.when(led, F.col("all")[0]["content"]).alias("system"), F.when(led, F.slice("all", 2, F.size("all") - 1)).otherwise(F.col("all")).alias("said"))
+    pair = (F.size("said") == 2) & (F.col("said")[0]["role"] == "user") & (F.get("said", F.lit(1))["role"] == ASSISTANT)
+    return parts.select("conv_id", "system", F.when(pair, F.col("said")[0]["content"]).alias("prompt"), F.when(pair, F.get("said", F.lit(1))["content"]).alias("response"),
+                        F.when(~F.coalesce(pair, F.lit(False)), F.transform("said", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))).alias("messages"))
+
+
+def format_records(records: DataFrame, layouts: tuple[Layout, ...] = RECORD_LAYOUTS) -> DataFrame:
+    """``records`` with ``layout``, ``formatted`` and ``mask`` (as described on
+    top; the text of a record that no layout fits is empty). Columns of these
+    names, of ``turns`` and of ``t`` are replaced."""
+    canon = canonical_turns(records, layouts)
+    held = canon.withColumn("t", F.transform("turns", lambda x: F.struct(formatted(x["role"], x["text"]).alias("f")))).drop("turns")
     mask = F.transform("t", lambda x, k: F.struct(
         (x["f"]["skip"] + F.when(k > 0, F.lit(len(TAIL)) + F.when(F.col("t")[k - 1]["f"]["take"] == 0, F.col("t")[k - 1]["f"]["long"]).otherwise(0)).otherwise(0)).alias("skip"), x["f"]["take"].alias("take")))
-    return held.select("conv_id", F.array_join(F.transform("t", lambda x: x["f"]["body"]), "").alias("formatted"), mask.alias("mask"))
+    return held.withColumns({"formatted": F.array_join(F.transform("t", lambda x: x["f"]["body"]), ""), "mask": mask}).drop("t")
+
+
+def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
+    """(conv_id, layout, formatted, mask) from one message a row: nested
+    records, mapped to turns by the layout that their fingerprint selects."""
+    return format_records(conversation_records(rows, id_col, turn_col)).select("conv_id", "layout", "formatted", "mask")
 
 
 def read_back(df: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("embeddings", "conversations"):
+    for t in ("embeddings", "conversations", "documents", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF01}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF01)
     cursor = con.execute(queries.ORACLES[name])
@@ -282,6 +282,30 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_records_of_rows(spark):
+    """Rows become nested records of several layouts; the fingerprint selects each one's mapping."""
+    says = {1: ["user", "assistant"], 2: ["system", "user", "assistant"], 3: ["system", "user"], 4: ["system"], 5: ["user"], 6: ["assistant", "user"],
+            7: ["system", "system", "user"], 8: ["system", "user", "assistant", "user", "assistant"], 9: [None, "user"], 10: ["user", "assistant", "assistant"]}
+    rows = [(c, k, r, None if (c + k) % 4 == 0 else f"{c} {k} <|im_end|>") for c, roles in says.items() for k, r in enumerate(roles)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(df)
+    assert {r.conv_id: r.layout for r in out.collect()} == {c: "prompt and response" if c in (1, 2) else "messages" for c in says}
+    records = {r.conv_id: r for r in chat.conversation_records(df).collect()}
+    assert records[2].system is not None and records[2].messages is None and records[4].system is None and len(records[8].messages) == 4 and records[7].system is not None
+    back = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.read_back(out).collect()}
+    assert back == {c: [(r or "", "" if (c + k) % 4 == 0 else f"{c} {k} <|im_end|>") for k, r in enumerate(roles)] for c, roles in says.items()}
+
+
+def test_chat_nested_records(spark):
+    """Records of any layout beside each other, in clashing columns, formatted and read back."""
+    records = ['{"id":1,"prompt":"p","response":"r <|im_start|>"}', '{"id":2,"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}],"system":"s"}',
+               '{"id":3,"messages":[{"role":"assistant","content":"x"}],"mask":"m"}', '{"id":4,"odd":{"deep":1}}']
+    df = spark.read.json(spark.sparkContext.parallelize(records))
+    back = {r.id: ([tuple(t) for t in r.turns], r.loss) for r in chat.read_back(chat.format_records(df)).collect()}
+    assert back == {1: ([("user", "p"), ("assistant", "r <|im_start|>")], "r <|im_start|>"), 2: ([("system", "s"), ("user", "a"), ("assistant", "b")], "b"),
+                    3: ([("assistant", "x")], "x"), 4: ([], "")}
+
+
 def test_chat_layouts(spark):
     records = ['{"id":1,"prompt":"p","response":"r"}', '{"id":2,"instruction":"i","input":"n","output":"o"}', '{"id":3,"instruction":"i","output":"o"}',
                '{"id":4,"messages":[{"role":"user","content":"a"},{"role":"assistant","content":null}]}', '{"id":5,"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}]}',
