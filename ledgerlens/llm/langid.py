@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import row_slices, ship_by_value, text_buffer, written
+from ledgerlens.llm.common import row_slices, ship_by_value, text_buffer, tidied, written
 
 SAMPLE = 500
 BUCKETS = 1 << 14
@@ -117,7 +117,7 @@ def fit(evidence: DataFrame, sample: int = SAMPLE) -> tuple[list[str], tuple[np.
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], ["cell", "n"])
 
     # at most BUCKETS cells per language
-    cells = chosen.select("declared", "text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = chosen.select("declared", "text").mapInArrow(tidied(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     cell, n = cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64)
     by = np.argsort(cell)
     cell, n = cell[by], n[by]
@@ -152,7 +152,7 @@ def text_scores(evidence: DataFrame, languages: list[str], model: tuple[np.ndarr
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, scores.size + 1, n, dtype=np.int32)), pa.array(scores.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns[:6], flat, pa.array(letters)], [*names, "scores", "letters"])
 
-    return evidence.select(*names, "text").mapInArrow(run, "doc_id long, th long, declared string, host string, domain string, suffix string, scores array<double>, letters long")
+    return evidence.select(*names, "text").mapInArrow(tidied(run), "doc_id long, th long, declared string, host string, domain string, suffix string, scores array<double>, letters long")
 
 
 def _dense(keys: pa.Array, counts: pa.Array, n: int) -> np.ndarray:
@@ -215,7 +215,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(letters), pa.array(names[best], pa.string()), pa.array(posterior)], ["doc_id", "th", "read", "language", "posterior"])
 
     fused = (both.select("doc_id", "th", "letters", "scores", F.col("declared").isNotNull().alias("tagged"), F.col("suffix").isNotNull().alias("ended"), *lists)
-             .mapInArrow(fuse, "doc_id long, th long, read boolean, language string, posterior double").withColumn("posterior", F.round("posterior", 6)))
+             .mapInArrow(tidied(fuse), "doc_id long, th long, read boolean, language string, posterior double").withColumn("posterior", F.round("posterior", 6)))
     good = F.col("read") & (F.col("language") != "und") & (F.col("posterior") >= min_posterior)
     return fused.select("doc_id", "th", F.when(F.col("read"), F.col("language")).otherwise("und").alias("language"), "posterior", good.alias("accepted"))
 

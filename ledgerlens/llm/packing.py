@@ -17,9 +17,11 @@ what is left over goes on to the next larger gap or opens new sequences, and
 the gaps that took documents come back with their new size. One round places
 one run at one successor; the rounds end when no document is left, which
 gives what best-fit decreasing gives on single documents. The rounds touch
-runs only. Ranks of the single pieces are counted in ``buckets`` parts per
-length, so a length that a third of all documents share is not one task, and
-each piece looks its place up by binary search in the table of matches.
+runs only. Full pieces are a sequence each where they stand: no rank, no
+shuffle. Ranks of the others are counted in buckets of each length, whose
+number grows with the most frequent length's count (``BUCKET_PIECES`` a
+bucket), so a length that a third of all documents share is not one task,
+and each piece looks its place up by binary search in the table of matches.
 
 Null text is empty: a piece of the end id alone. Repeated rows are separate
 documents; null ids are kept. An empty table gives an empty result.
@@ -36,12 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import row_slices, ship_by_value, text_buffer, worker_cache, written
+from ledgerlens.llm.common import row_slices, ship_by_value, text_buffer, tidied, worker_cache, written
 
 CAPACITY = 4096
 END_ID = 1
 #: Chunks that a task remembers; then it starts anew.
 REMEMBERED = 400_000
+#: Pieces of one length that are ranked together, on average.
+BUCKET_PIECES = 100_000
 
 
 def default_tokenizer() -> str:
@@ -144,7 +148,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         chunks.known.clear()  # a worker that goes on with other work keeps the tokenizer only
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-            .mapInArrow(run, "doc_id long, row long, piece long, start long, length long, ids_crc32 long"))
+            .mapInArrow(tidied(run), "doc_id long, row long, piece long, start long, length long, ids_crc32 long"))
 
 
 def match_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -189,13 +193,17 @@ def match_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, in
     return out
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, buckets: int = 64) -> DataFrame:
-    """``parts`` with sequence_id and offset."""
+def pack(parts: DataFrame, capacity: int = CAPACITY, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:
+    """``parts`` with sequence_id (below zero for full pieces) and offset."""
     ship_by_value()
-    keyed = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(buckets)).cast("int"))
-    counts = written(keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    out = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    full = parts.where(F.col("length") == capacity).select(*out[:5], (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    parts = parts.where(F.col("length") < capacity)
     # at most capacity rows, whatever the number of documents
-    total = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    total = {r.length: r.n for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    buckets = -(-max(total.values(), default=1) // bucket_pieces)
+    keyed = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(buckets)))
+    counts = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     table = np.array(match_runs(total, capacity), np.int64).reshape(-1, 5)
     keys = (table[:, 0] << 48) + table[:, 1]
     by = np.argsort(keys, kind="stable")
@@ -213,13 +221,14 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, buckets: int = 64) -> DataF
             own = table[np.searchsorted(keys, (length << 48) + rank, "right") - 1]
             r = rank - own[:, 1]
             yield pa.RecordBatch.from_arrays([b.column(0), *[b.column(k) for k in (2, 3, 4, 5)], pa.array(own[:, 2] + r // own[:, 3]), pa.array(own[:, 4] + r % own[:, 3] * length)],
-                                             ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+                                             out)
 
-    return ranked.mapInArrow(place, "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = ranked.mapInArrow(tidied(place), "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.unionByName(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-                   capacity: int = CAPACITY, end_id: int = END_ID, buckets: int = 64) -> DataFrame:
+                   capacity: int = CAPACITY, end_id: int = END_ID, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces."""
     parts = written(pieces(docs, tokenizer or default_tokenizer(), id_col, text_col, capacity, end_id), "pieces")
-    return pack(parts, capacity, buckets)
+    return pack(parts, capacity, bucket_pieces)

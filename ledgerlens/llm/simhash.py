@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import components, cut, ship_by_value, text_buffer, written
+from ledgerlens.llm.common import components, cut, ship_by_value, text_buffer, tidied, written
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], ["doc_id", "fp", "th"])
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _text_hash(text_col).alias("th"))
-            .mapInArrow(run, "doc_id long, fp long, th long"))
+            .mapInArrow(tidied(run), "doc_id long, fp long, th long"))
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -258,7 +258,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCK
         if held.shape[1]:
             yield solve(np.ascontiguousarray(held))
 
-    return dealt.mapInArrow(run, "src long, dst long")
+    return dealt.mapInArrow(tidied(run), "src long, dst long")
 
 
 def _groups(marked: DataFrame, max_bits: int, bucket_rows: int) -> DataFrame:

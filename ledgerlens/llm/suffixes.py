@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import ship_by_value, text_buffer, written
+from ledgerlens.llm.common import ship_by_value, text_buffer, tidied, written
 
 LENGTH = 400
 GRAM = 100
@@ -269,7 +269,7 @@ def find_runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(r), batch.column(0).take(row), batch.column(1).take(row), pa.array(a), pa.array(b), pa.array(folds)], ["anchor", "r", "doc_id", "th", "a", "b", "folds"])
                     out, held = [], 0
 
-    return keyed.mapInArrow(run, f"anchor long, r long, {KEY}, {RUN}, folds boolean")
+    return keyed.mapInArrow(tidied(run), f"anchor long, r long, {KEY}, {RUN}, folds boolean")
 
 
 def _sorted_shards(rows: DataFrame, length: int, across: bool) -> DataFrame:
@@ -346,7 +346,7 @@ def _sorted_shards(rows: DataFrame, length: int, across: bool) -> DataFrame:
                 yield from solve(table.slice(lo, end - lo))
                 lo = end
 
-    return rows.mapInArrow(run, f"kind int, anchor long, r long, {KEY}, {RUN}, w1 long, w2 long, todo boolean, low long, high long")
+    return rows.mapInArrow(tidied(run), f"kind int, anchor long, r long, {KEY}, {RUN}, w1 long, w2 long, todo boolean, low long, high long")
 
 
 def _merged(windows: DataFrame) -> DataFrame:
@@ -379,7 +379,7 @@ def _merged(windows: DataFrame) -> DataFrame:
         yield from out.to_batches()
 
     return (windows.select("w1", "w2", "anchor", "r", "doc_id", "th", "a", "b", "todo", "low", "high").repartition("w1", "w2")
-            .sortWithinPartitions("w1", "w2").mapInArrow(run, f"anchor long, r long, {KEY}, {RUN}"))
+            .sortWithinPartitions("w1", "w2").mapInArrow(tidied(run), f"anchor long, r long, {KEY}, {RUN}"))
 
 
 def repeated_starts(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, across: bool = False) -> DataFrame:
@@ -420,7 +420,7 @@ def repeated_starts(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, ac
                 ids = pa.array(rows[own])
                 yield pa.RecordBatch.from_arrays([*[run.field(x)[own] for x in names], batch.column(0).take(ids), batch.column(1).take(ids), pa.array(body, pa.binary())], [*names, "doc_id", "th", "body"])
 
-    rows = fetched.mapInArrow(bodies, f"anchor long, part int, spread boolean, many boolean, r long, low long, high long, a int, {KEY}, body binary")
+    rows = fetched.mapInArrow(tidied(bodies), f"anchor long, part int, spread boolean, many boolean, r long, low long, high long, a int, {KEY}, body binary")
     rows = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "doc_id", "th", "a")
     solved = written(_sorted_shards(rows, length, across), "solved")
     found = solved.where("kind = 0").select("anchor", "r", "doc_id", "th", "a", "b").unionByName(_merged(solved.where("kind = 1")))
@@ -495,7 +495,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), batch.column(3)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "other"])
 
     fields = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").fields
-    return both.mapInArrow(run, T.StructType([*fields, both.schema["other"]]))
+    return both.mapInArrow(tidied(run), T.StructType([*fields, both.schema["other"]]))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = PASSAGE_BYTES,

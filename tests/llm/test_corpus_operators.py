@@ -425,3 +425,20 @@ def test_mixing_odds_fall_with_the_size(spark):
         realised = sum(r.copies - base for r in got if r.size == n) / 1000
         assert 0.05 < intended < 0.95 and abs(realised - intended) < 0.06, (n, intended, realised)
     assert abs(sum(r.taken for r in got) - target) < 8
+
+
+def test_packing_full_pieces_and_hot_lengths(spark):
+    """Full pieces are sequences of their own without a rank; a length that most pieces share is ranked in several buckets."""
+    sizes = [8] * 40 + [3] * 200 + [5] * 30 + [1] * 7
+    parts = spark.createDataFrame([(k % 9, k, 0, 0, n, k) for k, n in enumerate(sizes)], "doc_id long, row long, piece long, start long, length long, ids_crc32 long")
+    for bucket_pieces in (7, 1000):
+        rows = packing.pack(parts, 8, bucket_pieces).collect()
+        held = {}
+        for r in rows:
+            held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert sorted(r.length for r in rows) == sorted(sizes)
+        for places in held.values():
+            places.sort()
+            assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 8
+        assert len(held) == 40 + 30 + 85 and all((i < 0) == (places == [(0, 8)]) for i, places in held.items())
+    assert packing.pack(parts.where("length = 8"), 8).count() == 40 and packing.pack(parts.limit(0), 8).count() == 0
