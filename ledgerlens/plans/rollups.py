@@ -1,24 +1,34 @@
 """A dashboard that is kept up while uploads come and go.
 
 A store under ``<root>`` holds, per upload, its rows, its rollup and each key's
-largest purchase, and one merged rollup of all uploads. A rollup has exact sums
-and counts on three grains, made in one pass (grouping sets):
+largest purchase, and merged rollups that together stand for all uploads. A
+rollup has exact sums and counts on three grains, made in one pass (grouping
+sets):
 
 * (keys, category, month)   totals, shares, metrics, monthly series
 * (keys, date)              weekdays
 * (keys, merchant, amount)  a multiset of amounts: counts, exact sums of squares
   and distinct amounts per merchant, so recurring charges can be taken back
 
-All of it is sums, so an upload is added to the merged rollup with its sign,
-and taken out with the other: grains that come to zero vanish. Neither reads
-rows. A maximum cannot be taken back; the largest purchase is therefore kept
-per upload (a row per key) and looked up among those that are there. The four
-summaries of the dashboard read the merged rollup, whose size is bounded by
-keys × (categories × months + days + distinct merchant amounts).
-
-``log/<n>.json`` names the uploads that are there and the merged rollup. It is
-created only if it is not there, so of two writers one does its merge again
-on top of the other's. A writer that dies leaves folders that no state names.
+All of it is sums, so an upload's rollup is a part with a sign: it is added
+with one and taken out with the other, and grains that come to zero vanish.
+Neither reads rows. Parts are merged by levels: ``FOLD`` parts of a level become
+one of the next, so a grain is written anew once a level and not at every
+change, and a store has a few parts a level. Once the parts stand for more than
+twice the uploads that are there, all become one. The summaries of the
+dashboard add up the parts of their grain; at most twice as many as there are
+uploads and ``2 * FOLD`` more go into them, and their sum is bounded by keys ×
+(categories × months + days + distinct merchant amounts). A maximum cannot be
+taken back; the largest purchase is therefore kept per upload (a row per key)
+and looked up among those that are there.
+
+Parts are merged in tasks of about ``TASK_GRAINS`` grains, whatever their size
+in files: a part holds a grain once, so adding up before the shuffle finds
+nothing to add and fills the memory of the task.
+
+``log/<n>.json`` names the uploads that are there and the parts. It is created
+only if it is not there, so of two writers one does its change again on top
+of the other's. A writer that dies leaves folders that no state names.
 """
 
 from __future__ import annotations
@@ -39,6 +49,10 @@ from ledgerlens.sources.sinks import to_records
 
 GRAINS = {"category": ["category", "month"], "day": ["date"], "amount": ["merchant", "amount"]}
 SUM = "decimal(38,2)"
+#: Parts of a level that are merged into one of the next.
+FOLD = 4
+#: Grains that one task adds up.
+TASK_GRAINS = 250_000
 
 
 def rollup(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -55,10 +69,13 @@ def rollup(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return grouped.select(grain.alias("grain"), *keys, *columns, "_sum", "_n")
 
 
-def merged(parts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Rollups added up; ``_n`` (and ``_sum``) of a part to take out are negative."""
+def merged(parts: DataFrame, keys: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
+    """Rollups added up, if need be in so many ``tasks``; ``_n`` (and ``_sum``)
+    of a part to take out are negative. Where only some parts are added up, as
+    many rows may come as go and leave another sum."""
     columns = ["grain", *keys, *[c for own in GRAINS.values() for c in own]]
-    return parts.groupBy(*columns).agg(F.sum("_sum").cast(SUM).alias("_sum"), F.sum("_n").alias("_n")).where("_n <> 0")
+    dealt = parts if tasks is None else parts.repartition(tasks, *columns)
+    return dealt.groupBy(*columns).agg(F.sum("_sum").cast(SUM).alias("_sum"), F.sum("_n").alias("_n")).where("_n <> 0 or _sum <> 0")
 
 
 class DashboardStore:
@@ -70,33 +87,72 @@ class DashboardStore:
     def _state(self) -> tuple[int, dict]:
         numbers = [int(name.partition(".")[0]) for name, folder, _ in listing(self.spark, f"{self.root}/log") if not folder and name.endswith(".json")]
         if not numbers:
-            return 0, {"uploads": {}, "merged": None}
-        return max(numbers), json.loads(read_text(self.spark, f"{self.root}/log/{max(numbers):09d}.json"))
+            return 0, {"uploads": {}, "parts": []}
+        state = json.loads(read_text(self.spark, f"{self.root}/log/{max(numbers):09d}.json"))
+        if "parts" not in state:  # of a store that had one merged rollup
+            state["parts"] = [self._part(state["merged"], 1, len(state["uploads"]), 1)] if state["merged"] else []
+        return max(numbers), state
+
+    def _part(self, at: str, sign: int, uploads: int, level: int) -> dict:
+        """What the log says of a part: its folder, sign, how many uploads'
+        rollups went into it, level and number of grains."""
+        grains = self.spark.read.parquet(f"{self.root}/{at}").count()
+        return {"at": at, "sign": sign, "uploads": uploads, "level": level, "grains": grains}
 
     def uploads(self) -> list[str]:
         return sorted(self._state()[1]["uploads"])
 
-    def _signed(self, folder: str, sign: int) -> DataFrame:
-        part = self.spark.read.parquet(f"{self.root}/{folder}/rollup")
-        return part.withColumns({"_sum": (F.col("_sum") * sign).cast(SUM), "_n": F.col("_n") * sign})
+    def _signed(self, part: dict) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.root}/{part['at']}")
+        return df.withColumns({"_sum": (F.col("_sum") * part["sign"]).cast(SUM), "_n": F.col("_n") * part["sign"]})
+
+    def _added_up(self, parts: list[dict], grain: str | None = None) -> DataFrame:
+        """The parts' sums, of one grain or all."""
+        together = self._signed(parts[0])
+        for part in parts[1:]:
+            together = together.unionByName(self._signed(part))
+        if grain is not None:
+            together = together.where(F.col("grain") == grain)
+        return merged(together, self.keys, -(-sum(p["grains"] for p in parts) // TASK_GRAINS) or 1)
+
+    def _fold(self, parts: list[dict], uploads: int, level: int) -> dict:
+        """One part in the place of several."""
+        target = f"merged/{uuid.uuid4().hex[:12]}"
+        self._added_up(parts).write.parquet(f"{self.root}/{target}")
+        return self._part(target, 1, uploads, level)
+
+    def _levelled(self, parts: list[dict], uploads: int) -> list[dict]:
+        """``parts`` with those merged that are due, for so many uploads."""
+        if sum(p["uploads"] for p in parts) > 2 * (uploads + FOLD):
+            level = 0
+            while FOLD ** (level + 1) <= uploads:
+                level += 1
+            return [self._fold(parts, uploads, level)]
+        level = 0
+        while any(p["level"] >= level for p in parts):
+            own = [p for p in parts if p["level"] == level]
+            if len(own) >= FOLD:
+                parts = [p for p in parts if p["level"] != level] + [self._fold(own, sum(p["uploads"] for p in own), level + 1)]
+            level += 1
+        return parts
 
     def _change(self, upload: str, folder: str | None) -> None:
         """Put ``folder`` in the place of the upload (None: take it out), and
         commit; done again on the newest state if another writer was first."""
+        new = self._part(f"{folder}/rollup", 1, 1, 0) if folder is not None else None
         while True:
             number, state = self._state()
             old = state["uploads"].get(upload)
-            parts = [self.spark.read.parquet(f"{self.root}/{state['merged']}")] if state["merged"] else []
-            parts += [self._signed(f, sign) for f, sign in ((old, -1), (folder, 1)) if f is not None]
             if old is None and folder is None:
                 return
-            target = f"merged/{uuid.uuid4().hex[:12]}"
-            together = parts[0]
-            for part in parts[1:]:
-                together = together.unionByName(part)
-            merged(together, self.keys).write.parquet(f"{self.root}/{target}")
+            parts = list(state["parts"])
+            if old is not None:
+                parts.append(self._part(f"{old}/rollup", -1, 1, 0))
+            if new is not None:
+                parts.append(new)
             uploads = {**{k: v for k, v in state["uploads"].items() if k != upload}, **({upload: folder} if folder is not None else {})}
-            if create_new(self.spark, f"{self.root}/log/{number + 1:09d}.json", json.dumps({"uploads": uploads, "merged": target})):
+            parts = self._levelled(parts, len(uploads))
+            if create_new(self.spark, f"{self.root}/log/{number + 1:09d}.json", json.dumps({"uploads": uploads, "parts": parts})):
                 return
 
     def add(self, upload: str, categorised: DataFrame) -> None:
@@ -129,10 +185,10 @@ class DashboardStore:
 
     def grain(self, name: str) -> DataFrame:
         """The merged rollup of one grain: (keys, its columns, _sum, _n)."""
-        state = self._state()[1]
-        if not state["merged"]:
+        parts = self._state()[1]["parts"]
+        if not parts:
             raise ValueError(f"no upload under {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{state['merged']}").where(F.col("grain") == name).select(*self.keys, *GRAINS[name], "_sum", "_n")
+        return self._added_up(parts, name).select(*self.keys, *GRAINS[name], "_sum", "_n")
 
     def category_totals(self) -> DataFrame:
         sums = self.grain("category").groupBy(*self.keys, "category").agg(agg.money(F.sum("_sum")).alias("amount"), F.sum("_n").alias("count"))

@@ -1,10 +1,12 @@
 """The maintained dashboard against the dashboard over the rows."""
 
+import json
 import threading
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.plans import rollups
 from ledgerlens.plans.report import dashboard
 from ledgerlens.plans.rollups import DashboardStore, merged, rollup
 
@@ -68,3 +70,41 @@ def test_two_writers_at_once(spark, tmp_path, uploads):
     [t.join() for t in threads]
     store = DashboardStore(spark, root)
     assert store.uploads() == ["u0", "u2", "u3"] and store.metrics().first()["count"] == 180
+
+
+def test_a_change_does_not_write_the_store_anew(spark, tmp_path, txns):
+    store = DashboardStore(spark, str(tmp_path / "store"))
+    for k in range(8):
+        store.add(f"u{k}", txns([("a", 10 * k + i, f"2024-01-{1 + i:02d}", 100 * k + i, f"m{k}", "d", f"c{k}") for i in range(9)]))
+    own, again = (spark.read.parquet(str(tmp_path / "store" / at)).count() for at in ("uploads/*/rollup", "merged/*"))
+    assert again <= 2 * own   # one merged rollup at every change: over four times as many
+    assert store.metrics().first()["count"] == 72
+
+
+def test_levels_and_tasks_add_up_alike(spark, tmp_path, txns, uploads, monkeypatch):
+    """Many changes, parts that are merged without what they take from, and several tasks."""
+    monkeypatch.setattr(rollups, "FOLD", 2)
+    monkeypatch.setattr(rollups, "TASK_GRAINS", 50)
+    store = DashboardStore(spark, str(tmp_path / "store"), ["account_id"])
+    wrong = uploads(3).withColumn("amount", (F.col("amount") * 2).cast("decimal(18,2)"))
+    for name, rows in (("u1", uploads(1)), ("u2", uploads(2)), ("u3", wrong), ("u3", uploads(3)), ("u1", None), ("u2", uploads(4)), ("u2", uploads(6)), ("u5", uploads(5)), ("u5", None)):
+        store.add(name, rows) if rows is not None else store.remove(name)
+        _, state = store._state()
+        assert sum(p["uploads"] for p in state["parts"]) <= 2 * (len(state["uploads"]) + 2)
+    assert store.uploads() == ["u2", "u3"]
+    assert store._added_up(state["parts"]).rdd.getNumPartitions() > 1
+    left = uploads(3).unionByName(uploads(6))
+    assert flat(store.dashboard(CATEGORIES)) == flat(dashboard(left, ["account_id"], CATEGORIES, persist=False))
+
+
+def test_a_store_with_one_merged_rollup_goes_on(spark, tmp_path, uploads):
+    root = tmp_path / "store"
+    store = DashboardStore(spark, str(root))
+    for k in (1, 2):
+        store.add(f"u{k}", uploads(k))
+    _, state = store._state()
+    store._added_up(state["parts"]).write.parquet(str(root / "merged" / "old"))
+    (root / "log" / "000000009.json").write_text(json.dumps({"uploads": state["uploads"], "merged": "merged/old"}))
+    store.remove("u1")
+    assert store.metrics().first()["count"] == 60
+    assert flat({"insights": store.insights()}) == flat({"insights": dashboard(uploads(2), [], CATEGORIES, persist=False)["insights"]})
