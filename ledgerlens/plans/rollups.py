@@ -24,7 +24,9 @@ and looked up among those that are there.
 
 Parts are merged in tasks of about ``TASK_GRAINS`` grains, whatever their size
 in files: a part holds a grain once, so adding up before the shuffle finds
-nothing to add and fills the memory of the task.
+nothing to add and fills the memory of the task. An upload's rows are dealt
+likewise before they are rolled up: each stands for a grain of every kind, and
+what a split of a file holds would grow with the upload.
 
 ``log/<n>.json`` names the uploads that are there and the parts. It is created
 only if it is not there, so of two writers one does its change again on top
@@ -55,12 +57,15 @@ FOLD = 4
 TASK_GRAINS = 250_000
 
 
-def rollup(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def rollup(df: DataFrame, keys: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
     """(grain, keys, category, month, date, merchant, amount, _sum, _n): the
-    three grains of ``df`` from one pass; columns of other grains are null."""
+    three grains of ``df`` from one pass, its rows dealt to so many ``tasks`` if
+    need be; columns of other grains are null."""
     keys = list(keys)
     columns = [c for own in GRAINS.values() for c in own]
-    rows = df.select(*keys, "category", month_key("date").alias("month"), "date", "merchant", "amount", F.col("amount").alias("_value"))
+    own_columns = [*keys, "category", "date", "merchant", "amount"]
+    dealt = df.select(*own_columns) if tasks is None else df.select(*own_columns).repartition(tasks, *own_columns)
+    rows = dealt.withColumns({"month": month_key("date"), "_value": F.col("amount")})
     places = {c: F.grouping(c) for c in columns}
     sets = [[F.col(c) for c in [*keys, *own]] for own in GRAINS.values()]
     grouped = rows.groupingSets(sets, *[F.col(c) for c in [*keys, *columns]]).agg(
@@ -74,8 +79,15 @@ def merged(parts: DataFrame, keys: Sequence[str] = (), tasks: int | None = None)
     of a part to take out are negative. Where only some parts are added up, as
     many rows may come as go and leave another sum."""
     columns = ["grain", *keys, *[c for own in GRAINS.values() for c in own]]
-    dealt = parts if tasks is None else parts.repartition(tasks, *columns)
-    return dealt.groupBy(*columns).agg(F.sum("_sum").cast(SUM).alias("_sum"), F.sum("_n").alias("_n")).where("_n <> 0 or _sum <> 0")
+    return _summed(parts if tasks is None else parts.repartition(tasks, *columns), columns)
+
+
+def _summed(parts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return parts.groupBy(*columns).agg(F.sum("_sum").cast(SUM).alias("_sum"), F.sum("_n").alias("_n")).where("_n <> 0 or _sum <> 0")
+
+
+def _tasks(grains: int) -> int:
+    return -(-grains // TASK_GRAINS) or 1
 
 
 class DashboardStore:
@@ -106,14 +118,15 @@ class DashboardStore:
         df = self.spark.read.parquet(f"{self.root}/{part['at']}")
         return df.withColumns({"_sum": (F.col("_sum") * part["sign"]).cast(SUM), "_n": F.col("_n") * part["sign"]})
 
-    def _added_up(self, parts: list[dict], grain: str | None = None) -> DataFrame:
-        """The parts' sums, of one grain or all."""
+    def _together(self, parts: list[dict]) -> DataFrame:
         together = self._signed(parts[0])
         for part in parts[1:]:
             together = together.unionByName(self._signed(part))
-        if grain is not None:
-            together = together.where(F.col("grain") == grain)
-        return merged(together, self.keys, -(-sum(p["grains"] for p in parts) // TASK_GRAINS) or 1)
+        return together
+
+    def _added_up(self, parts: list[dict]) -> DataFrame:
+        """The parts' sums, of all grains."""
+        return merged(self._together(parts), self.keys, _tasks(sum(p["grains"] for p in parts)))
 
     def _fold(self, parts: list[dict], uploads: int, level: int) -> dict:
         """One part in the place of several."""
@@ -162,7 +175,7 @@ class DashboardStore:
         folder = f"uploads/{uuid.uuid4().hex[:12]}"
         categorised.write.parquet(f"{self.root}/{folder}/rows")
         rows = self.spark.read.parquet(f"{self.root}/{folder}/rows")
-        rollup(rows, self.keys).write.parquet(f"{self.root}/{folder}/rollup")
+        rollup(rows, self.keys, _tasks(len(GRAINS) * rows.count())).write.parquet(f"{self.root}/{folder}/rollup")
         self._largest_rows(rows).write.parquet(f"{self.root}/{folder}/largest")
         self._change(upload, folder)
 
@@ -185,13 +198,20 @@ class DashboardStore:
 
     def grain(self, name: str) -> DataFrame:
         """The merged rollup of one grain: (keys, its columns, _sum, _n)."""
+        return self._sums(name, GRAINS[name], [*self.keys, *GRAINS[name]])
+
+    def _sums(self, name: str, by: Sequence[str], deal: Sequence[str]) -> DataFrame:
+        """The sums of one grain by the keys and ``by``, straight from the
+        parts, which are dealt by ``deal``; only these columns move."""
         parts = self._state()[1]["parts"]
         if not parts:
             raise ValueError(f"no upload under {self.root}")
-        return self._added_up(parts, name).select(*self.keys, *GRAINS[name], "_sum", "_n")
+        columns = [*self.keys, *by]
+        own = self._together(parts).where(F.col("grain") == name).select(*columns, "_sum", "_n")
+        return _summed(own.repartition(_tasks(sum(p["grains"] for p in parts)), *deal), columns)
 
     def category_totals(self) -> DataFrame:
-        sums = self.grain("category").groupBy(*self.keys, "category").agg(agg.money(F.sum("_sum")).alias("amount"), F.sum("_n").alias("count"))
+        sums = self._per("category").select(*self.keys, "category", agg.money(F.col("_sum")).alias("amount"), F.col("_n").alias("count"))
         return sums if self.keys else sums.orderBy(F.desc("amount"), "category")
 
     def monthly_series(self, categories: Sequence[str]) -> DataFrame:
@@ -200,19 +220,22 @@ class DashboardStore:
         return wide.select(*self.keys, "month", *[F.coalesce(agg.money(F.col(f"`{c}`")), F.lit(0.0)).alias(c) for c in sorted(categories)])
 
     def metrics(self) -> DataFrame:
-        return agg.metrics_of(self._per_category(), self.keys)
+        return agg.metrics_of(self._per("category"), self.keys)
 
-    def _per_category(self) -> DataFrame:
-        return self.grain("category").groupBy(*self.keys, "category").agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
+    def _per(self, column: str) -> DataFrame:
+        """(keys, category or month, _sum, _n). Dealt by the keys alone, a key
+        having at most categories × months a part: what a summary then does per
+        key moves nothing again."""
+        return self._sums("category", [column], self.keys or [column])
 
     def insights(self) -> dict[str, DataFrame]:
         """The cards of ``report.insight_cards``."""
         keys = self.keys
         days = self.grain("day").withColumnRenamed("_sum", "amount")
-        months = self.grain("category").where(F.col("month").isNotNull()).groupBy(*keys, "month").agg(F.sum("_sum").alias("_sum"))
+        months = self._per("month").where(F.col("month").isNotNull()).drop("_n")
         stats = ins.stats_of(self.grain("amount").withColumn("_newest", F.lit(None).cast("decimal(38,0)")), keys)
         return {
-            "top_category": agg.share_of(self._per_category(), keys),
+            "top_category": agg.share_of(self._per("category"), keys),
             "day_of_week": agg.weekday_profile(days, keys, rows="_n"),
             "peak_day": agg.peak_weekday(days, keys),
             "largest_purchase": ins.largest_purchase(self._read("largest"), keys),

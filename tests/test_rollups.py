@@ -108,3 +108,16 @@ def test_a_store_with_one_merged_rollup_goes_on(spark, tmp_path, uploads):
     store.remove("u1")
     assert store.metrics().first()["count"] == 60
     assert flat({"insights": store.insights()}) == flat({"insights": dashboard(uploads(2), [], CATEGORIES, persist=False)["insights"]})
+
+
+def test_rows_are_dealt_before_they_are_rolled_up(spark, tmp_path, uploads, monkeypatch):
+    """A task rolls up a bounded number of rows, and the metrics move grains once."""
+    monkeypatch.setattr(rollups, "TASK_GRAINS", 50)
+    asked = []
+    monkeypatch.setattr(rollups, "rollup", lambda df, keys, tasks=None: asked.append(tasks) or rollup(df, keys, tasks))
+    store = DashboardStore(spark, str(tmp_path / "store"), ["account_id"])
+    store.add("u", uploads(1))
+    assert asked == [4]
+    dealt, whole = (rollup(uploads(1), ["account_id"], tasks) for tasks in (4, None))
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, whole.collect()))
+    assert store.metrics()._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1   # three before
